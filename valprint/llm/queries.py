@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valprint.llm import backoff_language, noisy_or
 from valprint.llm.best_fit import pack
 from valprint.llm.differencing import byte_shards
 from valprint.llm.rank_merge import token_counts
 from valprint.llm.shared import table
 from valprint.llm.simple8b import packed_ids
+from valprint.llm.threshold_search import top_k
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -26,6 +28,31 @@ def llm_query(name: str, oracle: str | None = None):
     return add
 
 
+@llm_query(
+    "op2_threshold_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@llm_query("op3_backoff_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return backoff_language.identify(docs, backoff_language.learn(docs))
+
+
 @llm_query("op5_rank_merge_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
@@ -36,6 +63,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@llm_query("op8_noisy_or_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return noisy_or.score(docs, noisy_or.learn(docs, table(spark, sf_dir, "labels")))
+
+
 @llm_query("op9_differencing_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
