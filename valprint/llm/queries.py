@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from valprint.llm import backoff_language, noisy_or
 from valprint.llm.best_fit import pack
 from valprint.llm.differencing import byte_shards
+from valprint.llm.gray_index import simhash_components
 from valprint.llm.rank_merge import token_counts
 from valprint.llm.shared import table
 from valprint.llm.simple8b import packed_ids
@@ -63,6 +64,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@llm_query("op7_gray_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 @llm_query("op8_noisy_or_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
