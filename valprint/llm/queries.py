@@ -10,9 +10,11 @@ from valprint.llm import backoff_language, noisy_or
 from valprint.llm.best_fit import pack
 from valprint.llm.differencing import byte_shards
 from valprint.llm.gray_index import simhash_components
+from valprint.llm.perspectives import segments
 from valprint.llm.rank_merge import token_counts
 from valprint.llm.shared import table
 from valprint.llm.simple8b import packed_ids
+from valprint.llm.template_leaks import leaks
 from valprint.llm.threshold_search import top_k
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,11 @@ def llm_query(name: str, oracle: str | None = None):
     return add
 
 
+@llm_query("op1_template_leaks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @llm_query(
     "op2_threshold_top_k",
     """
@@ -54,6 +61,37 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_language.identify(docs, backoff_language.learn(docs))
 
 
+@llm_query(
+    "op4_perspectives",
+    """
+    WITH r AS (
+      SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+    ), p AS (
+      SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'
+    ), j AS (
+      SELECT r.*, p.perspective,
+        CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+        CASE WHEN speaker <> perspective AND speaker <> 'system' THEN speaker END AS name
+      FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+    ), h AS (
+      SELECT *, '<|im_start|>' || role || CASE WHEN name IS NULL THEN '' ELSE ' name=' || name END || chr(10) AS head FROM j
+    ), s AS (
+      SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h
+    ), t AS (
+      SELECT *, coalesce(sum(length(segment)) OVER (
+        PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM s
+    )
+    SELECT conv_id, perspective, turn, role, name, segment, start,
+      CASE WHEN role = 'assistant' THEN start + length(head) END AS mask_start,
+      CASE WHEN role = 'assistant' THEN start + length(segment) - 1 END AS mask_end
+    FROM t
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(table(spark, sf_dir, "conversations"))
+
+
 @llm_query("op5_rank_merge_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
