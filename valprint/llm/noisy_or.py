@@ -21,6 +21,8 @@ SAMPLE, CHARS = 8_000, 64_000_000
 #: Features that get a weight; documents in which a feature must occur.
 FEATURES, LEAST = 1_500, 3
 STEPS, RATE, DECAY = 300, 0.1, 2e-5
+#: Log odds of a sentence without evidence.
+BIAS = -8.0
 #: What a toxic document weighs in the loss; they are the fewer.
 POSITIVE = 2.0
 #: A document is toxic from this score on, a sentence offends from that.
@@ -38,10 +40,12 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of features; a sentence's log odds are bias plus the weights of the words in its distinct chunks."""
+    """Weights of features; a sentence's log odds are BIAS plus the weights of the words in its distinct chunks.
+
+    What a sentence without evidence would add is taken off, so the length of a text alone makes no score.
+    """
 
     weights: dict[str, float]
-    bias: float
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def of_word(self, word: str) -> float:
@@ -94,20 +98,18 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least: in
                     row += [len(bag_of)] * len(cols)
             bag_of.append(d)
     col, row, bag_of = (np.array(x, np.int64) for x in (col, row, bag_of))
-    w, bias, sentences = np.zeros(len(names)), -5.0, len(bag_of)
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, sentences, rest = np.zeros(len(names)), len(bag_of), np.logaddexp(0, BIAS)
+    m, v = np.zeros(len(names)), np.zeros(len(names))
     y = toxic.astype(np.float64)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col], minlength=sentences) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        a = np.bincount(bag_of, np.logaddexp(0, z), minlength=len(y))  # -log of P(not toxic)
-        slope = np.where(y > 0, -POSITIVE / np.expm1(np.clip(a, 1e-6, 50)), 1.0)
-        dz = slope[bag_of] * p / len(y) if sentences else np.zeros(0)
-        grad = np.append(np.bincount(col, dz[row], minlength=len(names)) + DECAY * w, dz.sum())
+        z = np.bincount(row, w[col], minlength=sentences) + BIAS
+        a = np.bincount(bag_of, np.logaddexp(0, z) - rest, minlength=len(y))  # -log of P(not toxic)
+        slope = np.where(y > 0, -POSITIVE / np.expm1(np.clip(a, 1e-2, 50)), 1.0) / max(1, len(y))
+        dz = slope[bag_of] / (1 + np.exp(-np.clip(z, -30, 30)))
+        grad = np.bincount(col, dz[row], minlength=len(names)) + DECAY * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], min(bias - step[-1], -2.0)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias))
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-2})
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model:
@@ -172,8 +174,8 @@ class Scorer:
             last[np.cumsum([len(c) for c in doc]) - 1] = True
             sentence = np.cumsum(last) - last
             once = np.unique(sentence << 32 | at)
-            z = np.bincount(once >> 32, self.table[once & 0xFFFFFFFF, 0]) + self.model.bias
-            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            z = np.bincount(once >> 32, self.table[once & 0xFFFFFFFF, 0]) + BIAS
+            out.append(-np.expm1(np.minimum(0, np.logaddexp(0, BIAS) - np.logaddexp(0, z))))
         return out
 
 
