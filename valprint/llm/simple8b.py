@@ -86,22 +86,17 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     if not n:
         return out
     select = (words >> np.uint64(60)).astype(np.int64)
-    if (select == 0).any():  # the word after an escape is a value; escapes are found block by block as they are rare
-        follows = np.zeros(len(words), bool)
-        for i in np.flatnonzero(select == 0):
-            follows[i + 1 :][:1] |= not follows[i]
-    else:
-        follows = None
-    count = COUNT[select]
-    if follows is not None:
-        count = np.where(follows, 0, count)
+    # the word after an escape is a value of 2^60 or more, so it never looks like an escape itself
+    follows = np.append(False, select[:-1] == 0)
+    select[follows] = 0
+    count = np.where(follows, 0, COUNT[select])
     upto = np.cumsum(count) - count
     first = offsets[:-1].astype(np.int64)
     block = np.repeat(np.arange(len(first)), np.diff(offsets.astype(np.int64)))
     begin = block * BLOCK + upto - upto[first][block]
     end = np.minimum((block + 1) * BLOCK, n)
     for s in np.unique(select):
-        mine = np.flatnonzero((select == s) if follows is None else (select == s) & ~follows)
+        mine = np.flatnonzero((select == s) & ~follows)
         if s == 0:
             out[begin[mine]] = words[mine + 1]
             continue
