@@ -192,11 +192,21 @@ def _level(sig: Column, tokens: list[str], depth: int) -> tuple[Column, list[str
     return has_feature(sig, first), tokens
 
 
+def signatures(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """The different signatures of each group with n, how many values (or how much weight) have each.
+
+    Columns hold few shapes, so what follows looks at a few rows a group and not at every value again.
+    """
+    by = by or []
+    rows = df.select(*by, signature(value).alias("sig"), (F.lit(1).cast("long") if weight is None else weight).alias("n"))
+    return rows.groupBy(*by, "sig").agg(F.sum("n").alias("n"))
+
+
 def profile(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """bit, name, n, count, pct of each feature that values of a group have; nulls are left out."""
     by = by or []
-    sig = df.filter(F.col(value).isNotNull()).select(*by, signature(value).alias("sig"))
-    wide = sig.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(has_feature(F.col("sig"), n).cast("long")).alias(n) for n in FEATURES.values()])
+    sig = signatures(df.filter(F.col(value).isNotNull()), value, by)
+    wide = sig.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(F.when(has_feature(F.col("sig"), n), F.col("n")).otherwise(0)).alias(n) for n in FEATURES.values()])
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(n).alias("name"), F.col(n).alias("count")) for b, n in FEATURES.items()]))
     return wide.select(*by, "n", rows.alias("f")).select(*by, "f.bit", "f.name", "n", F.col("f.count").alias("count"), F.round(100 * F.col("f.count") / F.col("n"), 2).alias("pct")).filter("count > 0")
 

@@ -65,3 +65,8 @@ def arrows(columns: DataFrame, keys: DataFrame) -> DataFrame:
     listed = lambda keep, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("ord", text.alias("x"))))), lambda s: s["x"]), ", ")
     braces = lambda x: F.concat(F.lit("{ "), x, F.lit(" }"))
     return typed.groupBy(F.col("tbl").alias("relvar")).agg(braces(listed(F.col("pk_ord") > 0, F.col("col"))).alias("d"), braces(listed(F.col("pk_ord") == 0, F.concat("col", F.lit(":"), "tag"))).alias("c"))
+
+
+def target_popularity(keys: DataFrame) -> DataFrame:
+    """target_tbl and n, how many columns refer to it. keys: tbl, from_col, target_tbl."""
+    return keys.groupBy("target_tbl").agg(F.count("*").alias("n"))

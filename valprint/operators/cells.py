@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from valprint.functions import codec, sketch
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -39,6 +42,20 @@ def sampled(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:
     return df.sample(fraction=percent / 100, seed=seed)
 
 
+def sample_distinct(df: DataFrame, limit: int = 4096) -> DataFrame:
+    """At most limit distinct values of each column, the first in the order of their hash, so that runs agree."""
+    w = Window.partitionBy("cid").orderBy(F.xxhash64("val"), "val")
+    return df.select("cid", "val").distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).drop("rn")
+
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """cid, n_sampled, n_distinct and the sets of values and of folded values in the portable format."""
+    each = df.groupBy("cid").agg(F.count("*").alias("n_sampled"), F.count_distinct("val").alias("n_distinct"))
+    d = df.select("cid", "val").distinct()
+    sets = d.groupBy("cid").agg(sketch.build("val").alias("raw"), sketch.build("val", normalize=True).alias("folded"))
+    return each.join(sets, "cid").select("cid", "n_sampled", "n_distinct", codec.to_portable("raw").alias("raw"), codec.to_portable("folded").alias("folded"))
+
+
 def family(values: Column) -> Column:
     """Aggregate: `integer` if all non-blank values read as integers, `numeric` if as numbers, else `string`."""
     v = F.trim(values)

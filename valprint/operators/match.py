@@ -78,6 +78,17 @@ def evidence(sets: DataFrame, domains: DataFrame, level: str = "raw", grain: str
     return both.select("ca", "cb", "na", "nb", rows.alias("m")).select(F.col("ca").alias("probe"), F.col("cb").alias("domain"), F.lit(level).alias("canon_level"), F.lit(grain).alias("grain"), "m.metric", "m.value", F.lit("exact").alias("fidelity"), F.col("na").alias("probe_size"), F.col("nb").alias("domain_size"))
 
 
+def evidence_table(rows: DataFrame) -> DataFrame:
+    """Evidence with a column for each metric instead of a row."""
+    keys = ["probe", "domain", "canon_level", "grain", "fidelity", "probe_size", "domain_size"]
+    return rows.groupBy(*keys).pivot("metric", ["containment", "reverse_containment", "jaccard"]).agg(F.first("value"))
+
+
+def nested(matrix: DataFrame, inside: float = 0.95, same: float = 0.7) -> DataFrame:
+    """Pairs where ca lies in cb without being the same domain: what containment alone would take for a match."""
+    return matrix.withColumn("mutual", F.col("inter") / F.greatest("na", "nb")).filter((F.col("inter") / F.col("na") >= inside) & (F.col("mutual") < same))
+
+
 def residue(values: DataFrame, domains: DataFrame) -> DataFrame:
     """The probe values that no domain holds."""
     return values.select("val").distinct().join(domains.select("val"), "val", "left_anti")
@@ -187,3 +198,21 @@ def recognised_columns(slab: DataFrame, library: DataFrame, families: DataFrame,
     best = c.filter("place = 1").select(F.col("ca").alias("cid"), F.col("containment").alias("best"))
     role = F.when(F.coalesce("best", F.lit(0.0)) >= threshold, "key").when(F.col("family").isin("integer", "numeric"), "measure").otherwise("unknown")
     return kinds.join(best, "cid", "left").withColumn("role", role).join(c.select(F.col("ca").alias("cid"), F.col("cb").alias("domain"), "containment", "place"), "cid", "left").select("cid", "family", "role", "domain", "containment", "place")
+
+
+def candidate_tables(recognised: DataFrame) -> DataFrame:
+    """tbl and columns: the tables that hold the best match of each key column of recognised_columns()."""
+    best = recognised.filter("role = 'key' and place = 1")
+    return best.groupBy(F.substring_index("domain", ".", 1).alias("tbl")).agg(F.sort_array(F.collect_set("cid")).alias("columns"))
+
+
+def layered_keys(sets: DataFrame, classes: DataFrame, keys: DataFrame, threshold: float = 0.95, least: int = 8) -> DataFrame:
+    """discovered_keys() of the columns that a first look (cid, class) does not call a measure, with their violations.
+
+    Each layer sees only what the one before left: classes, then overlaps, then an exact count of missing values.
+    """
+    able = classes.filter("class <> 'measure'").select("cid")
+    found = discovered_keys(sets.join(able.unionByName(keys).distinct(), "cid", "left_semi"), keys, threshold, least)
+    child = sets.join(found.select(F.col("child").alias("cid"), "parent"), "cid")
+    missing = child.join(sets.select(F.col("cid").alias("parent"), "val"), ["parent", "val"], "left_anti").groupBy(F.col("cid").alias("child"), "parent").agg(F.count("*").alias("violations"))
+    return found.join(missing, ["child", "parent"], "left").withColumn("violations", F.coalesce("violations", F.lit(0).cast("long")))

@@ -96,18 +96,20 @@ def broken_features(declared: DataFrame) -> DataFrame:
 
 def discriminators(symbols: DataFrame, admitted: str, kept: str) -> DataFrame:
     """term, pct_in_stragglers, pct_in_keepers: features more frequent in what an expression admits but should not keep."""
-    s = symbols.select(charclass.signature("sym").alias("sig")).filter(charclass.matches(F.col("sig"), admitted)).withColumn("keep", charclass.matches(F.col("sig"), kept))
-    one = lambda n: charclass.has_feature(F.col("sig"), n).cast("int")
-    sums = s.agg(*[F.avg(F.when(~F.col("keep"), one(n))).alias(f"s_{n}") for n in charclass.FEATURES.values()], *[F.avg(F.when(F.col("keep"), one(n))).alias(f"k_{n}") for n in charclass.FEATURES.values()])
+    s = charclass.signatures(symbols, "sym").filter(charclass.matches(F.col("sig"), admitted)).withColumn("keep", charclass.matches(F.col("sig"), kept))
+    part = lambda n, who: F.sum(F.when(who & charclass.has_feature(F.col("sig"), n), F.col("n")).otherwise(0)) / F.nullif(F.sum(F.when(who, F.col("n")).otherwise(0)), F.lit(0))
+    sums = s.agg(*[part(n, ~F.col("keep")).alias(f"s_{n}") for n in charclass.FEATURES.values()], *[part(n, F.col("keep")).alias(f"k_{n}") for n in charclass.FEATURES.values()])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.round(100 * F.col(f"s_{n}"), 1).alias("pct_in_stragglers"), F.round(100 * F.col(f"k_{n}"), 1).alias("pct_in_keepers")) for n in charclass.FEATURES.values()]))
     return sums.select(rows.alias("r")).select("r.*").filter(F.coalesce("pct_in_stragglers", F.lit(0.0)) > F.coalesce("pct_in_keepers", F.lit(0.0)))
 
 
 def refined_counts(symbols: DataFrame, old: str, new: str, clean: str) -> DataFrame:
     """What a refined expression drops, and how much of that it should not have."""
-    sig = charclass.signature("sym")
-    r = symbols.select(charclass.matches(sig, old).alias("o"), charclass.matches(sig, new).alias("n"), charclass.matches(sig, clean).alias("c"))
-    return r.agg(F.count_if("o").alias("old_syms"), F.count_if("n").alias("new_syms"), F.count_if(F.col("o") & ~F.col("n")).alias("dropped"), F.count_if(F.col("n") & ~F.col("c")).alias("dirt_wrongly_kept"), F.count_if(F.col("o") & ~F.col("n") & F.col("c")).alias("clean_wrongly_dropped"))
+    sig = F.col("sig")
+    r = charclass.signatures(symbols, "sym").select(charclass.matches(sig, old).alias("o"), charclass.matches(sig, new).alias("k"), charclass.matches(sig, clean).alias("c"), "n")
+    many = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0).cast("long"))
+    o, k, c = F.col("o"), F.col("k"), F.col("c")
+    return r.agg(many(o).alias("old_syms"), many(k).alias("new_syms"), many(o & ~k).alias("dropped"), many(k & ~c).alias("dirt_wrongly_kept"), many(o & ~k & c).alias("clean_wrongly_dropped"))
 
 
 #: The shapes of the coverage report.
@@ -120,7 +122,7 @@ def shape_coverage(weighted: DataFrame, shapes: dict[str, str] | None = None) ->
     weighted has cid, val and freq. Shapes overlap, so parts may add up to over 100.
     """
     shapes = shapes or SHAPES
-    rows = weighted.filter(F.col("val") != "").withColumn("sig", charclass.signature("val"))
+    rows = charclass.signatures(weighted.filter(F.col("val") != ""), "val", ["cid"], F.col("freq")).withColumnRenamed("n", "freq")
     hits = {n: charclass.matches(F.col("sig"), e) for n, e in shapes.items()}
     any_ = F.lit(False)
     for h in hits.values():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
 from valprint.operators import catalog, match, pages, registry
-from valprint.operators.cells import canonical, cells, frequencies, value_sets
+from valprint.operators.cells import canonical, cells, fingerprints, frequencies, value_sets
 from valprint.plans.registry import query
 from valprint.sources.tables import parquet
 
@@ -308,6 +308,65 @@ def recognised_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.recognised_columns(slab, library, families)
 
 
+@query(
+    "nested_domains",
+    f"{matrix_sql(KEYS)} SELECT ca, cb, inter, na, nb, round(inter / greatest(na, nb), 6) AS mutual FROM m WHERE inter / na >= 0.95 AND inter / greatest(na, nb) < 0.7",
+)
+def nested_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.nested(match.containment_matrix(sets_of(spark, sf_dir, KEYS), None))
+    return found.select("ca", "cb", "inter", "na", "nb", F.round("mutual", 6).alias("mutual"))
+
+
+@query(
+    "stored_fingerprints",
+    f"""WITH s AS (SELECT DISTINCT cid, val FROM ({cells_sql({"nation": ["n_nationkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]})})),
+      p AS (SELECT DISTINCT l_suppkey::VARCHAR AS val FROM lineitem)
+    SELECT cid, count(*) AS n_distinct, count(*) FILTER (WHERE val IN (SELECT val FROM p)) AS overlap, round(count(*) FILTER (WHERE val IN (SELECT val FROM p)) / (SELECT count(*) FROM p), 6) AS containment FROM s GROUP BY cid""",
+)
+def stored_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier keys of line items against stored fingerprints, read back from the portable format."""
+    store = fingerprints(all_cells(spark, sf_dir, {"nation": ["n_nationkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]}))
+    probe = sets_of(spark, sf_dir, {"lineitem": ["l_suppkey"]}).agg(sketch.build("val").alias("probe"))
+    both = store.select("cid", "n_distinct", codec.from_portable("raw").alias("s")).crossJoin(F.broadcast(probe))
+    return both.select("cid", "n_distinct", sketch.intersection_cardinality(F.col("probe"), F.col("s")).alias("overlap"), F.round(sketch.containment(F.col("probe"), F.col("s")), 6).alias("containment"))
+
+
+@query(
+    "layered_keys",
+    f"""{matrix_sql({t: c for t, c in KEYS.items() if t != "events"})}
+    SELECT ca AS child, cb AS parent, round(inter / na, 6) AS containment, nb AS parent_distinct, (na - inter)::BIGINT AS violations FROM m
+    WHERE cb IN ({", ".join(f"'{k}'" for k in PRIMARY)}) AND nb >= 8 AND inter / na >= 0.95 AND ca <> 'lineitem.l_linenumber'""",
+)
+def layered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between tables after a first look that sets line numbers aside as a measure."""
+    columns = {t: c for t, c in KEYS.items() if t != "events"}
+    sets = sets_of(spark, sf_dir, columns)
+    looked = spark.createDataFrame([(f"{t}.{c}", "measure" if c == "l_linenumber" else "ambiguous") for t, cs in columns.items() for c in cs], "cid string, class string")
+    keys = spark.createDataFrame([(k,) for k in PRIMARY], "cid string")
+    return match.layered_keys(sets, looked, keys).withColumn("containment", F.round("containment", 6))
+
+
+@query("target_popularity", f"WITH k(target_tbl) AS (VALUES {', '.join(f'({chr(39)}{b.split(chr(46))[0]}{chr(39)})' for _, b in FOREIGN)}) SELECT target_tbl, count(*) AS n FROM k GROUP BY 1")
+def target_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(a.split(".")[0], a.split(".")[1], b.split(".")[0]) for a, b in FOREIGN]
+    return catalog.target_popularity(spark.createDataFrame(rows, "tbl string, from_col string, target_tbl string"))
+
+
+@query("candidate_tables")
+def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.candidate_tables(recognised_columns(spark, sf_dir))
+    return found.select("tbl", F.array_join("columns", ",").alias("columns"))
+
+
+@query(
+    "evidence_table",
+    f"""{matrix_sql(KEYS)} SELECT ca AS probe, cb AS domain, 'raw' AS canon_level, 'column' AS grain, 'exact' AS fidelity, na AS probe_size, nb AS domain_size,
+      round(inter / na, 6) AS containment, round(inter / nb, 6) AS reverse_containment, round(inter / (na + nb - inter), 6) AS jaccard FROM m WHERE cb IN ({", ".join(f"'{k}'" for k in PRIMARY)})""",
+)
+def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.evidence_table(evidence(spark, sf_dir))
+
+
 # Catalog
 
 
@@ -368,14 +427,13 @@ def shape_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shape_envelopes", f"{PROFILE_SQL} SELECT cid, bit_and(sig) AS necessary, bit_or(sig) AS envelope FROM g GROUP BY cid")
 def shape_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = all_cells(spark, sf_dir, NAMES).select("cid", charclass.signature("val").alias("sig"))
-    return g.groupBy("cid").agg(charclass.necessary("sig").alias("necessary"), charclass.envelope("sig").alias("envelope"))
+    return charclass.signatures(all_cells(spark, sf_dir, NAMES), "val", ["cid"]).groupBy("cid").agg(charclass.necessary("sig").alias("necessary"), charclass.envelope("sig").alias("envelope"))
 
 
 @query("shape_matches", f"{PROFILE_SQL} SELECT cid, count(*) FILTER (WHERE (sig & {1 << 1}) <> 0 AND (sig & {1 << 2}) = 0) AS upper_only, count(*) FILTER (WHERE (sig & {1 << 0}) <> 0 AND ((sig & {1 << 6}) <> 0 OR (sig & {1 << 16}) <> 0)) AS dashed FROM g GROUP BY cid")
 def shape_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig = charclass.signature("val")
-    return all_cells(spark, sf_dir, NAMES).groupBy("cid").agg(F.count_if(charclass.matches(sig, "has_upper & !has_lower")).alias("upper_only"), F.count_if(charclass.matches(sig, "has_digit & (has_dash | has_other)")).alias("dashed"))
+    many = lambda text: F.sum(F.when(charclass.matches(F.col("sig"), text), F.col("n")).otherwise(0))
+    return charclass.signatures(all_cells(spark, sf_dir, NAMES), "val", ["cid"]).groupBy("cid").agg(many("has_upper & !has_lower").alias("upper_only"), many("has_digit & (has_dash | has_other)").alias("dashed"))
 
 
 @query("feature_vector", f"WITH s AS (SELECT DISTINCT cid, val FROM ({cells_sql(NAMES)})), b(name, p) AS (VALUES {', '.join(f"('{n}', '{p}')" for n, p in charclass.PATTERNS.items())}) SELECT cid, val, string_agg(name, ',' ORDER BY name) AS features FROM s JOIN b ON regexp_matches(val, p) GROUP BY 1, 2")
@@ -385,12 +443,24 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets_of(spark, sf_dir, NAMES).select("cid", "val", F.array_join(hits, ",").alias("features"))
 
 
-@query("shape_coverage")
+@query(
+    "shape_coverage",
+    f"""{PROFILE_SQL.split(", b(bit")[0]}, f AS (SELECT cid, sig, count(*) AS w FROM g GROUP BY 1, 2), t AS (SELECT cid, sum(w) AS w FROM f GROUP BY 1),
+      h(shape, mask) AS (VALUES ('email', {1 << 48}), ('date', {1 << 45}), ('decimal', {1 << 46}), ('all_digits', {1 << 20}), ('code', {1 << 47}), ('all_upper', {1 << 22}), ('all_alpha', {1 << 21}), ('has_letters', {(1 << 1) | (1 << 2)}), ('multi_token', {1 << 30}), ('has_paren', {1 << 12})),
+      r AS (SELECT cid, shape, sum(w) AS hit FROM f JOIN h ON (sig & mask) <> 0 GROUP BY 1, 2 UNION ALL SELECT cid, 'none', sum(w) FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE (sig & mask) <> 0) GROUP BY 1)
+    SELECT cid, shape, round(100 * hit / t.w, 2) AS pct FROM r JOIN t USING (cid)""",
+)
 def shape_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.shape_coverage(frequencies(all_cells(spark, sf_dir, NAMES)))
 
 
-@query("straggler_terms")
+@query(
+    "straggler_terms",
+    f"""WITH g AS (SELECT ({signature_sql("val")})::BIGINT AS sig FROM (SELECT DISTINCT val FROM ({cells_sql(NAMES)}))), b(bit, term) AS (VALUES {", ".join(f"({b}, '{n}')" for b, n in charclass.FEATURES.items())}),
+      k AS (SELECT sig, (sig & {1 << 22}) <> 0 AS keep FROM g WHERE (sig & {(1 << 33) | (1 << 38)}) <> 0),
+      r AS (SELECT term, round(100 * avg((sig >> bit) & 1) FILTER (WHERE NOT keep), 1) AS s, round(100 * avg((sig >> bit) & 1) FILTER (WHERE keep), 1) AS p FROM k, b GROUP BY term)
+    SELECT term, s AS pct_in_stragglers, p AS pct_in_keepers FROM r WHERE coalesce(s, 0) > coalesce(p, 0)""",
+)
 def straggler_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tells the line statuses and flags apart from priorities among all codes."""
     symbols = sets_of(spark, sf_dir, NAMES).select(F.col("val").alias("sym")).distinct()
