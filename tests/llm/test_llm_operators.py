@@ -238,10 +238,10 @@ def test_languages_of_hard_rows(spark):
 def test_backoff_goes_to_shorter_grams():
     logs = np.array([[0.0, -1.0], [-2.0, 0.0]])
     model = backoff_language.Model(["a", "b"], {"known": 0}, logs, {"xy": 0, "z": 1}, logs)
-    assert model.of_word("known").tolist() == [0.0, -1.0]
-    assert model.of_word("xyz").tolist() == [0.0, -1.0]  # the longer gram alone
-    assert model.of_word("qz").tolist() == [-2.0, 0.0]
-    assert model.of_word("q").tolist() == [0.0, 0.0]
+    # a known word, the longer gram alone, a shorter one, nothing
+    assert model.of_words(["known", "xyz", "qz", "q"]).tolist() == [[0.0, -1.0], [0.0, -1.0], [-2.0, 0.0], [0.0, 0.0]]
+    assert model.of_words([]).shape == (0, 2)
+
 
 
 # 8

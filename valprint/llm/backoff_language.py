@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import dropped, held_out, slices, written
+from valprint.llm.shared import dropped, held_out, kept, slices, written
 
 #: Documents that the model learns from, about; words and n-grams that it keeps, the most frequent first.
 SAMPLE, WORDS, GRAMS = 20_000, 60_000, 120_000
@@ -23,7 +23,8 @@ SAMPLE, WORDS, GRAMS = 20_000, 60_000, 120_000
 LONGEST = 5
 #: Words whose evidence makes a score; longer texts are scored as so many words like their average.
 EVIDENCE = 10
-MEMO = 1_000_000
+#: Words or chunks that a worker remembers; it starts anew beyond them.
+MEMO = 500_000
 
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -44,19 +45,35 @@ class Model:
     gram_logs: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def of_word(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_logs[at]
-        for n in range(LONGEST, 0, -1):
-            found = [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]
-            if found:
-                return self.gram_logs[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of logs for each word: its own if it is known, else the mean of its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known, rows, unknown, sizes, flat = [], [], [], [], []
+        grams = self.grams
+        for i, word in enumerate(words):
+            at = self.words.get(word)
+            if at is not None:
+                known.append(i)
+                rows.append(at)
+                continue
+            marked = f"<{word}>"
+            for n in range(LONGEST, 0, -1):
+                found = [g for j in range(len(marked) - n + 1) if (g := grams.get(marked[j : j + n])) is not None]
+                if found:
+                    unknown.append(i)
+                    sizes.append(len(found))
+                    flat += found
+                    break
+        if known:
+            out[known] = self.word_logs[rows]
+        if unknown:
+            sizes = np.array(sizes)
+            out[unknown] = np.add.reduceat(self.gram_logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        return out
 
 
 class Scorer:
-    """Sums of a model's word scores for whole texts; remembers the chunks between blanks that it has met."""
+    """Sums of a model's word scores for whole texts; remembers the words and the chunks between blanks it has met."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -65,37 +82,46 @@ class Scorer:
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.by_word: dict[str, np.ndarray] = {}
-        self.table = np.zeros((1 << 16, self.width))
+        self.by_word: dict[str, int] = {}
+        self.table = np.zeros((1 << 16, self.width), np.float32)  # of each chunk its sums, and its words
+        self.word_table = np.zeros((1 << 16, self.width - 1), np.float32)
+
+    @staticmethod
+    def _room(table: np.ndarray, rows: int) -> np.ndarray:
+        return table if rows <= len(table) else np.concatenate([table, np.zeros((max(len(table), rows - len(table)), table.shape[1]), table.dtype)])
 
     def _learn(self, chunks: set[str]) -> None:
-        while len(self.memo) + len(chunks) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for chunk in chunks:
-            at = self.memo[chunk] = len(self.memo)
-            for word in words_of(chunk.lower()):
-                logs = self.by_word.get(word)
-                if logs is None:
-                    logs = self.by_word[word] = self.model.of_word(word)
-                self.table[at, :-1] += logs
-                self.table[at, -1] += 1
+        if not chunks:
+            return
+        split = [words_of(c.lower()) for c in chunks]
+        new = list(set().union(*split) - self.by_word.keys())
+        first = len(self.by_word)
+        self.word_table = self._room(self.word_table, first + len(new))
+        self.word_table[first : first + len(new)] = self.model.of_words(new)
+        self.by_word.update(zip(new, range(first, first + len(new)), strict=True))
+        first = len(self.memo)
+        self.table = self._room(self.table, first + len(chunks))
+        self.memo.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter(map(self.by_word.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            self.table[first + some, :-1] = np.add.reduceat(self.word_table[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+        self.table[first : first + len(split), -1] = sizes
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """For each text the sum of logs of each language, and its words."""
         split = [t.split() for t in texts]
-        if len(self.memo) > MEMO:
+        if max(len(self.memo), len(self.by_word)) > MEMO:
             self._forget()
         self._learn(set().union(*split) - self.memo.keys())
         get = self.memo.__getitem__
         out = np.zeros((len(texts), self.width))
         for i, chunks in enumerate(split):
-            out[i] = self.table[np.fromiter(map(get, chunks), np.int64, len(chunks))].sum(axis=0)
+            out[i] = self.table[np.fromiter(map(get, chunks), np.int64, len(chunks))].sum(axis=0, dtype=np.float64)
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _logs(counts: np.ndarray, totals: np.ndarray, kinds: int) -> np.ndarray:
     """Smoothed log frequency of each row in each language."""
     return np.log((counts + 0.5) / (totals + 0.5 * max(1, kinds)))
@@ -165,10 +191,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        scorer = _scorers.get(known.key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[known.key] = Scorer(known)
+        scorer = kept(("language", known.key), lambda: Scorer(known))
         names = [*known.langs, "und"]
         for batch, texts in slices(batches):
             sums = scorer(texts)

@@ -9,8 +9,10 @@ from array import array
 
 import numpy as np
 
+from valprint.llm.shared import kept
+
 #: Entries of a worker's memory of encoded chunks; it starts anew beyond them.
-MEMO = 800_000
+MEMO = 600_000
 _loose = re.compile(r" (?=\s|\Z)")
 _before_blank = re.compile(r"(?= \S)")
 
@@ -112,12 +114,7 @@ class ByteEncoder:
         return [whole[i] if h is None else self.first[h] + b"".join(map(get, t)) for i, (h, t) in enumerate(zip(heads, tails, strict=True))]
 
 
-_encoders: dict[str, ByteEncoder] = {}
-
-
 def encoder(path: str | None = None) -> ByteEncoder:
     """The worker's encoder for a vocabulary, byte_bpe_50k.json if no path is given."""
     path = path or byte_vocabulary()
-    if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
-    return _encoders[path]
+    return kept(("bytes", path), lambda: ByteEncoder(path))

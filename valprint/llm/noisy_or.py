@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import held_out, slices
+from valprint.llm.shared import held_out, kept, slices
 
 #: Labelled documents that the model learns from, at most about; characters of them that the driver holds at most.
 SAMPLE, CHARS = 8_000, 64_000_000
@@ -27,7 +29,7 @@ BIAS = -8.0
 POSITIVE = 2.0
 #: A document is toxic from this score on, a sentence offends from that.
 TOXIC, OFFENDS = 0.7, 0.5
-MEMO = 1_000_000
+MEMO = 500_000
 
 words_of = re.compile(r"[^\W_]+").findall
 ends = re.compile(r"[.!?]\W*\Z").search
@@ -85,19 +87,22 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least: in
             strength[f] = abs(a / n1 - b / n0) / (p * (1 - p)) ** 0.5
     names = sorted(strength, key=lambda f: (-strength[f], f))[:features]
     index = {f: i for i, f in enumerate(names)}
-    known: dict[str, list[int]] = {}  # by chunk
-    col, row, bag_of = [], [], []
+
+    @functools.lru_cache(maxsize=1 << 16)
+    def cols_of(word: str) -> tuple[int, ...]:
+        return tuple(index[f] for f in features_of(word) if f in index)
+
+    col, row, bag_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in sentences_of(text):
             for chunk in set(s):
-                cols = known.get(chunk)
-                if cols is None:
-                    cols = known[chunk] = [index[f] for w in words_of(chunk.lower()) for f in features_of(w) if f in index]
-                if cols:
-                    col += cols
-                    row += [len(bag_of)] * len(cols)
+                for w in words_of(chunk.lower()):
+                    cols = cols_of(w)
+                    col.extend(cols)
+                    row.extend([len(bag_of)] * len(cols))
             bag_of.append(d)
-    col, row, bag_of = (np.array(x, np.int64) for x in (col, row, bag_of))
+    del seen, strength
+    col, row, bag_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (col, row, bag_of))
     w, sentences, rest = np.zeros(len(names)), len(bag_of), np.logaddexp(0, BIAS)
     m, v = np.zeros(len(names)), np.zeros(len(names))
     y = toxic.astype(np.float64)
@@ -179,9 +184,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, sentences, offending of each row of docs (doc_id, text), whole texts.
 
@@ -193,10 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        scorer = _scorers.get(known.key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[known.key] = Scorer(known)
+        scorer = kept(("toxicity", known.key), lambda: Scorer(known))
         for batch, texts in slices(batches):
             each = scorer.sentences(texts)
             total = np.array([1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-13)).sum()) for p in each])

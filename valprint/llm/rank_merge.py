@@ -11,10 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from valprint.llm.shared import slices
+from valprint.llm.shared import kept, slices
 
 #: Entries of a worker's memory of counted chunks; it starts anew beyond them.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 def word_vocabulary() -> str:
@@ -143,9 +143,6 @@ class WordCounter:
         return [n + sum(map(get, p)) for n, p in zip(extra, pieces, strict=True)]
 
 
-_counters: dict[str, WordCounter] = {}
-
-
 def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text), whole texts.
 
@@ -157,9 +154,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary or word_vocabulary()
-        if path not in _counters:
-            _counters[path] = WordCounter(path)
-        counter = _counters[path]
+        counter = kept(("words", path), lambda: WordCounter(path))
         for part, texts in slices(batches):
             n = np.array(counter.count(texts), np.int64)
             size = pa.compute.fill_null(pa.compute.binary_length(part.column(1)), 0).cast(pa.int64())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -62,6 +62,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(start), [x or "" for x in column.slice(start).to_pylist()]
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a Python worker keeps between tasks under a key, made anew if it keeps something else.
+
+    It keeps one thing at a time, so its memory follows the largest operator of a job and not all of them.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import slices
+from valprint.llm.shared import kept, slices
 
 #: Tokens of a window; plain words that it must hold, so that placeholders alone match nothing.
 WINDOW, PLAIN = 8, 4
@@ -22,7 +22,7 @@ WINDOW, PLAIN = 8, 4
 RUN = 13
 #: Benchmark texts' bytes that one broadcast holds, about; a larger benchmark goes out in several.
 BLOCK = 32_000_000
-MEMO = 1_000_000
+MEMO = 500_000
 
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg ton tons oz lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules byte bytes kb mb gb tb".split())
 _token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -177,7 +177,6 @@ def find(ix: Index, code: np.ndarray, kind: np.ndarray, value: np.ndarray, run:
     return list(best.values())
 
 
-_canon = Canon()
 LEAK = "doc_id long, item_id long, first_token int, covered_tokens int, item_tokens int, reparameterised boolean"
 
 
@@ -201,9 +200,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
         sent = spark.sparkContext.broadcast(index(sorted({(r[0], r[1]) for r in part.select("item_id", "text").collect()}, key=lambda r: (r[0] is None, r)), window))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ix = sent.value
+            ix, canon = sent.value, kept(("templates",), Canon)
             for batch, texts in slices(batches):
-                rows = [(doc_id, item, first, n, size, changed) for doc_id, tokens in zip(batch.column(0).to_pylist(), _canon(texts), strict=True) for item, first, n, size, changed, _ in find(ix, *tokens, run)]
+                rows = [(doc_id, item, first, n, size, changed) for doc_id, tokens in zip(batch.column(0).to_pylist(), canon(texts), strict=True) for item, first, n, size, changed, _ in find(ix, *tokens, run)]
                 names, kinds = zip(*(x.strip().split(" ") for x in LEAK.split(",")), strict=True)
                 types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
