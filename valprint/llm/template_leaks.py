@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import itertools
 import re
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,13 @@ MEMO = 500_000
 
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg ton tons oz lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules byte bytes kb mb gb tb".split())
 _token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
-_symbol = re.compile(r"[%$€£]")
+_plain = re.compile(r"([^\W\d_]+)([^\w'’]*)").fullmatch
 _end = re.compile(r"[.!?:;\n]\W*\Z")
 NUMBER, NAME, UNIT = (xxhash.xxh64_intdigest(x, 1) for x in ("<number>", "<name>", "<unit>"))
 #: Kinds of tokens: a plain word, or a slot for one of three kinds of value.
 WORD, NUM, NAM, UNI = 0, 1, 2, 3
+#: No tokens: a lone stop between sentences, and the end of a text.
+STOP, END = 9, 8
 
 
 class Canon:
@@ -41,48 +42,53 @@ class Canon:
     """
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.rows: list[tuple[int, int, int, int]] = []  # hash of the word, kind at most, value, ends a sentence
-        self.table = np.zeros((0, 4), np.uint64)
+        self.memo: dict[str | None, tuple[int, ...]] = {None: (0,)}
+        self.rows: list[tuple[int, int, int, int]] = [(0, END, 0, 1)]  # hash of the word, kind at most, value, ends a sentence
+        self.table = np.array(self.rows, np.uint64)
 
     def _learn(self, chunks: set[str]) -> None:
+        rows, memo, digest = self.rows, self.memo, xxhash.xxh64_intdigest
         for chunk in chunks:
-            parts = [(m[0], m.end()) for m in _token.finditer(chunk)]
-            mine = []
-            for i, (word, to) in enumerate(parts):
+            one = _plain(chunk)
+            if one:  # nearly all are a word with signs after it
+                parts = [one.groups()]
+            else:
+                found = list(_token.finditer(chunk))
+                parts = [(m[0], chunk[m.end() : found[i + 1].start()] if i + 1 < len(found) else chunk[m.end() :]) for i, m in enumerate(found)]
+            first = len(rows)
+            for word, after in parts:
                 low = word.lower()
-                value = xxhash.xxh64_intdigest(low, 0)
-                after = chunk[to : chunk.find(parts[i + 1][0], to)] if i + 1 < len(parts) else chunk[to:]
-                kind = NUM if word[0].isdigit() else UNI if low in UNITS else NAM if word[0].isupper() and word[1:].islower() and len(word) > 1 else WORD
-                mine.append(len(self.rows))
-                self.rows.append((value, kind, value, bool(_end.search(after))))
+                value = digest(low, 0)
+                if low == word:
+                    kind = NUM if word[0].isdigit() else UNI if low in UNITS else WORD
+                else:
+                    kind = UNI if low in UNITS else NAM if word[0].isupper() and word[1:].islower() else WORD
+                rows.append((value, kind, value, 1 if after and _end.search(after) else 0))
             if not parts and chunk and _end.search(chunk):
-                mine.append(len(self.rows))
-                self.rows.append((0, 9, 0, True))  # a lone stop; no token
-            self.memo[chunk] = tuple(mine)
+                rows.append((0, STOP, 0, 1))
+            memo[chunk] = tuple(range(first, len(rows)))
         if len(self.table) < len(self.rows):
             self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
 
-    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Template hash, kind and value of each token of each text."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, kind and value of the tokens of all texts, with an END after each text, and where these are."""
         split = [t.replace("\n", "\n ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.__init__()
         self._learn(set().union(*split) - self.memo.keys())
-        out, get = [], self.memo.__getitem__
-        for chunks in split:
-            rows = self.table[np.fromiter(itertools.chain.from_iterable(map(get, chunks)), np.int64)]
-            begins = np.append(True, rows[:-1, 3] > 0) if len(rows) else np.zeros(0, bool)
-            real = rows[:, 1] != 9
-            begins, rows = begins[real], rows[real]
-            kind = rows[:, 1].astype(np.int64)
-            kind[(kind == NAM) & begins] = WORD
-            kind[(kind == UNI) & (np.append(0, kind[:-1])[: len(kind)] != NUM)] = WORD
-            code = rows[:, 0].copy()
-            for k, h in ((NUM, NUMBER), (NAM, NAME), (UNI, UNIT)):
-                code[kind == k] = h
-            out.append((code, kind, rows[:, 2]))
-        return out
+        end = [None]
+        chunks = itertools.chain.from_iterable(itertools.chain(s, end) for s in split)
+        rows = self.table[np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, chunks)), np.int64)]
+        begins = np.append(True, rows[:-1, 3] > 0)[: len(rows)]
+        real = rows[:, 1] != STOP
+        begins, rows = begins[real], rows[real]
+        kind = rows[:, 1].astype(np.int64)
+        kind[(kind == NAM) & begins] = WORD
+        kind[(kind == UNI) & (np.append(0, kind[:-1])[: len(kind)] != NUM)] = WORD
+        code = rows[:, 0].copy()
+        for k, h in ((NUM, NUMBER), (NAM, NAME), (UNI, UNIT)):
+            code[kind == k] = h
+        return code, kind, rows[:, 2], np.flatnonzero(kind == END)
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
@@ -96,6 +102,8 @@ def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     plain = np.append(0, np.cumsum(kind == WORD))
     h[plain[size:] - plain[:n] < min(PLAIN, size)] = 0
+    for at in np.flatnonzero(kind == END):  # no window spans two texts
+        h[max(0, at - size + 1) : at + 1] = 0
     return h
 
 
@@ -105,13 +113,18 @@ class Index:
 
     items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # item_id, code, kind, value
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by size: hash, item, place
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    low: np.ndarray  # of the low bits of a hash, whether any window has them
+
+
+#: Low bits of a hash by which most windows are passed over.
+LOW = np.uint64((1 << 20) - 1)
 
 
 def index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
     """Items shorter than a window have one window of their own size; items without 3 plain words have none."""
     canon = Canon()
-    items = [(i, *tokens) for (i, _), tokens in zip(rows, canon([t or "" for _, t in rows]), strict=True)]
+    code, kind, value, ends = canon([t or "" for _, t in rows])
+    items = [(i, *(x[a:b] for x in (code, kind, value))) for (i, _), a, b in zip(rows, np.append(0, ends + 1)[: len(ends)], ends, strict=True)]
     sizes: dict[int, list] = {}
     for at, (_, code, kind, _) in enumerate(items):
         if (kind == WORD).sum() < 3:
@@ -125,7 +138,22 @@ def index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((place, item, h))
         windows[size] = (h[order], item[order], place[order])
-    return Index(items, windows)
+    low = np.zeros(int(LOW) + 1, bool)
+    for h, _, _ in windows.values():
+        low[h & LOW] = True
+    return Index(items, windows, low)
+
+
+def touched(ix: Index, code: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> list[int]:
+    """The texts that hold a window of the benchmark, by their place."""
+    found: set[int] = set()
+    for size, (hashes, _, _) in ix.windows.items():
+        h = window_hashes(code, kind, size)
+        maybe = np.flatnonzero(ix.low[h & LOW])
+        h = h[maybe]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        found.update(np.searchsorted(ends, maybe[(hashes[at] == h) & (h != 0)]).tolist())
+    return sorted(found)
 
 
 def _consistent(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> tuple[bool, bool]:
@@ -202,7 +230,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ix, canon = sent.value, kept(("templates",), Canon)
             for batch, texts in slices(batches):
-                rows = [(doc_id, item, first, n, size, changed) for doc_id, tokens in zip(batch.column(0).to_pylist(), canon(texts), strict=True) for item, first, n, size, changed, _ in find(ix, *tokens, run)]
+                code, kind, value, ends = canon(texts)
+                doc_ids = batch.column(0)
+                rows = []
+                for d in touched(ix, code, kind, ends):
+                    part = slice(ends[d - 1] + 1 if d else 0, ends[d])
+                    rows += [(doc_ids[d].as_py(), item, first, n, size, changed) for item, first, n, size, changed, _ in find(ix, code[part], kind[part], value[part], run)]
                 names, kinds = zip(*(x.strip().split(" ") for x in LEAK.split(",")), strict=True)
                 types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
