@@ -372,6 +372,24 @@ def test_similar_groups_against_all_pairs(spark):
     assert near_copies.first_of_groups(no_docs(spark)).count() == 0
 
 
+def test_similar_groups_among_lookalikes(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CELL", 64)
+    rng = np.random.default_rng(6)
+    template = [f"t{i}" for i in range(107)]
+    tails = [[f"r{n}x{i}" for i in range(18)] for n in range(400)]  # of any two, Jaccard 0.74
+    texts = [" ".join(template + tail) for tail in tails]
+    texts += [" ".join(w if at not in drop else "changed" for at, w in enumerate(template)) for drop in (rng.choice(107, 4, replace=False).tolist() for _ in range(300))]
+    for n in range(0, 400, 20):  # a partner for some, at 0.80 to 0.90
+        texts.append(" ".join(template + tails[n][: 11 - n // 60] + [f"o{n}"] * (7 + n // 60)))
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(c := sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(c))]
+    assert len({a for a, _ in pairs if a < 400}) >= 20
+    low = plain_components(pairs, range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in near_copies.similar_groups(docs).collect()}
+    assert got == {i: r for i, r in low.items() if i != r}
+
+
 # 1
 
 ITEM = "A farmer in the north valley sold 12 apples to Maria for 30 dollars and later gave 12 pears to the old school near Maria because the harvest was good."
