@@ -421,6 +421,33 @@ def test_inconsistent_slots_are_no_leak():
     assert same([1, 5, 6], [1, 5, 6]) == (True, False)
 
 
+PROBLEM = "Maria has 12 apples. Then she buys 30 more pears. Peter sells 9 of them at noon. Maria wants to know what is left."
+
+
+def test_leaks_with_other_openers(spark):
+    renamed = PROBLEM.replace("Maria", "John").replace("Peter", "Olga").replace("12", "57")
+    torn = renamed.replace("John wants", "Paul wants")  # Maria is two people, but 13 tokens before fit
+    bare = PROBLEM.replace(".", "")
+    joined = f"he was asked whether {PROBLEM}"
+    short = "now Peter has 57 apples here"
+    got = leaked(spark, PROBLEM, renamed, torn, bare, joined, PROBLEM.lower(), short, items=((1, PROBLEM), (2, "Maria has 12 apples.")))
+    assert {k: v for k, v in got.items() if k[1] == 1} == {(0, 1): False, (1, 1): True, (2, 1): True, (3, 1): False, (4, 1): False, (5, 1): False}
+    assert got[6, 2] and got[1, 2] and not got[0, 2]
+
+
+def test_windows_take_openers_both_ways():
+    code, kind = np.arange(1, 7, dtype=np.uint64), np.array([template_leaks.OPENER, 0, 0, template_leaks.OPENER, 0, template_leaks.END])
+    got = [(int(h), int(a), int(n)) for part in template_leaks.window_hashes(code, kind, 4) for h, a, n in zip(*part, strict=True)]
+    want = []
+    for at in (0, 1):
+        for names in itertools.product(*[(False, True) if kind[at + j] == template_leaks.OPENER else (False,) for j in range(4)]):
+            h = 0
+            for j, name in enumerate(names):
+                h = (h * template_leaks.POWER + (template_leaks.NAME if name else int(code[at + j]))) % 2**64
+            want.append((h ^ h >> 29, at, sum(names)))
+    assert sorted(got) == sorted(want)
+
+
 def test_leaks_on_documents(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in template_leaks.leaks(docs, bench).collect()}

@@ -22,6 +22,8 @@ RUN = 13
 #: Benchmark texts' bytes that one broadcast holds, about; a larger benchmark goes out in several.
 BLOCK = 32_000_000
 MEMO = 500_000
+#: Factor of a window's hash; hashes of windows with openers that are made together, about.
+POWER, FORMS = 0x9E3779B97F4A7C15, 500_000
 
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg ton tons oz lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules byte bytes kb mb gb tb".split())
 _token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -30,6 +32,8 @@ _end = re.compile(r"[.!?:;\n]\W*\Z")
 NUMBER, NAME, UNIT = (xxhash.xxh64_intdigest(x, 1) for x in ("<number>", "<name>", "<unit>"))
 #: Kinds of tokens: a plain word, or a slot for one of three kinds of value.
 WORD, NUM, NAM, UNI = 0, 1, 2, 3
+#: A capitalised word that begins a sentence, which may be either a plain word or a name.
+OPENER = 4
 #: No tokens: a lone stop between sentences, and the end of a text.
 STOP, END = 9, 8
 
@@ -37,8 +41,9 @@ STOP, END = 9, 8
 class Canon:
     """Turns texts into arrays of template tokens; remembers the chunks between blanks that it has met.
 
-    A number is a slot; so is a unit after one, and a capitalised word that begins no sentence, as a name. All else
-    is a lower-case word. Signs between tokens are left out.
+    A number is a slot; so is a unit after one, and a capitalised word that begins no sentence, as a name. One that
+    begins a sentence is an opener, with the hash of its word. All else is a lower-case word. Signs between tokens are
+    left out.
     """
 
     def __init__(self) -> None:
@@ -83,7 +88,7 @@ class Canon:
         real = rows[:, 1] != STOP
         begins, rows = begins[real], rows[real]
         kind = rows[:, 1].astype(np.int64)
-        kind[(kind == NAM) & begins] = WORD
+        kind[(kind == NAM) & begins] = OPENER
         kind[(kind == UNI) & (np.append(0, kind[:-1])[: len(kind)] != NUM)] = WORD
         code = rows[:, 0].copy()
         for k, h in ((NUM, NUMBER), (NAM, NAME), (UNI, UNIT)):
@@ -91,20 +96,41 @@ class Canon:
         return code, kind, rows[:, 2], np.flatnonzero(kind == END)
 
 
-def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each window of size tokens; 0 for those with too few plain words."""
+def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of windows of size tokens, where they begin, and how many openers each takes as names; in several parts.
+
+    A window has a hash for each way to take its openers, as words or as names. No window spans two texts.
+    """
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + n]
-    h ^= h >> np.uint64(29)
-    plain = np.append(0, np.cumsum(kind == WORD))
-    h[plain[size:] - plain[:n] < min(PLAIN, size)] = 0
-    for at in np.flatnonzero(kind == END):  # no window spans two texts
-        h[max(0, at - size + 1) : at + 1] = 0
-    return h
+        h = h * np.uint64(POWER) + code[j : j + n]
+    ends = np.append(0, np.cumsum(kind == END, dtype=np.int32))
+    openers = np.append(0, np.cumsum(kind == OPENER, dtype=np.int32))
+    whole, ways = ends[size:] == ends[:n], openers[size:] - openers[:n]
+    at = np.flatnonzero(whole & (ways == 0))
+    yield _mixed(h[at]), at, np.zeros(len(at), np.int8)
+    at = np.flatnonzero(whole & (ways > 0))
+    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(1 << ways[at]) // FORMS)) + 1):
+        f, at, named = h[part], part, np.zeros(len(part), np.int8)
+        for j in range(size):
+            on = np.flatnonzero(kind[at + j] == OPENER)
+            other = f[on] + (np.uint64(NAME) - code[at[on] + j]) * np.uint64(pow(POWER, size - 1 - j, 1 << 64))
+            f, at, named = np.concatenate([f, other]), np.concatenate([at, at[on]]), np.concatenate([named, named[on] + np.int8(1)])
+        yield _mixed(f), at, named
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(29))
+
+
+def _low(hashes: list[np.ndarray]) -> np.ndarray:
+    low = np.zeros(int(LOW) + 1, bool)
+    for h in hashes:
+        low[h & LOW] = True
+    return low
 
 
 @dataclass
@@ -112,48 +138,65 @@ class Index:
     """Windows of benchmark items, sorted by hash; items with their tokens."""
 
     items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # item_id, code, kind, value
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by size: hash, item, place
-    low: np.ndarray  # of the low bits of a hash, whether any window has them
+    windows: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # by whether of values, and size: hash, item, place
+    low: dict[bool, np.ndarray]  # of the low bits of a hash, whether any window has them
 
 
 #: Low bits of a hash by which most windows are passed over.
 LOW = np.uint64((1 << 20) - 1)
 
 
+def _needed(kind: np.ndarray, window: int) -> int:
+    """Plain words that a window of an item must hold: PLAIN, or all but one of a shorter item's, 2 at least."""
+    return PLAIN if len(kind) >= window else min(PLAIN, max(2, int(_wordlike(kind).sum()) - 1))
+
+
+def _wordlike(kind: np.ndarray) -> np.ndarray:
+    return (kind == WORD) | (kind == OPENER)
+
+
 def index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
-    """Items shorter than a window have one window of their own size; items without 3 plain words have none."""
+    """Items shorter than a window have one window of their own size; items without 3 plain words have none.
+
+    Windows with too few plain words are found by the values of their tokens instead of the template.
+    """
     canon = Canon()
     code, kind, value, ends = canon([t or "" for _, t in rows])
     items = [(i, *(x[a:b] for x in (code, kind, value))) for (i, _), a, b in zip(rows, np.append(0, ends + 1)[: len(ends)], ends, strict=True)]
-    sizes: dict[int, list] = {}
-    for at, (_, code, kind, _) in enumerate(items):
-        if (kind == WORD).sum() < 3:
+    found: dict[tuple[bool, int], list] = {}
+    for at, (_, code, kind, value) in enumerate(items):
+        if _wordlike(kind).sum() < 3:
             continue
-        size = min(window, len(code))
-        h = window_hashes(code, kind, size)
-        place = np.flatnonzero(h)
-        sizes.setdefault(size, []).append((h[place], np.full(len(place), at), place))
+        size, need = min(window, len(code)), _needed(kind, window)
+        plain = np.append(0, np.cumsum(_wordlike(kind)))
+        plain = plain[size:] - plain[:-size]
+        few = np.zeros(len(plain), bool)
+        for h, place, named in window_hashes(code, kind, size):
+            enough = plain[place] - named >= need
+            few[place[~enough]] = True
+            found.setdefault((False, size), []).append((h[enough], np.full(int(enough.sum()), at), place[enough]))
     windows = {}
-    for size, parts in sizes.items():
+    for key, parts in found.items():
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, item, h))
-        windows[size] = (h[order], item[order], place[order])
-    low = np.zeros(int(LOW) + 1, bool)
-    for h, _, _ in windows.values():
-        low[h & LOW] = True
-    return Index(items, windows, low)
-
-
-def touched(ix: Index, code: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> list[int]:
-    """The texts that hold a window of the benchmark, by their place."""
-    found: set[int] = set()
-    for size, (hashes, _, _) in ix.windows.items():
-        h = window_hashes(code, kind, size)
-        maybe = np.flatnonzero(ix.low[h & LOW])
-        h = h[maybe]
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        found.update(np.searchsorted(ends, maybe[(hashes[at] == h) & (h != 0)]).tolist())
-    return sorted(found)
+        if len(h):
+            order = np.lexsort((place, item, h))
+            windows[key] = (h[order], item[order], place[order])
+    return Index(items, windows, {v: _low([h for (of, _), (h, _, _) in windows.items() if of == v]) for v in (False, True)})
+
+
+def met(ix: Index, code: np.ndarray, kind: np.ndarray, value: np.ndarray) -> list[tuple[tuple[bool, int], np.ndarray, np.ndarray]]:
+    """By window size, where the tokens hold windows of the benchmark, and the first of these in the index."""
+    found = []
+    for key, (hashes, _, _) in ix.windows.items():
+        of_values, size = key
+        for h, at, _ in window_hashes(value, np.where(kind == END, END, WORD), size) if of_values else window_hashes(code, kind, size):
+            maybe = np.flatnonzero(ix.low[of_values][h & LOW])
+            h, at = h[maybe], at[maybe]
+            first = np.searchsorted(hashes, h)
+            same = hashes[np.minimum(first, len(hashes) - 1)] == h
+            if same.any():
+                found.append((key, at[same], first[same]))
+    return found
 
 
 def _consistent(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> tuple[bool, bool]:
@@ -167,41 +210,48 @@ def _consistent(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> tuple
     return True, bool((ours[slots] != theirs[slots]).any())
 
 
-def find(ix: Index, code: np.ndarray, kind: np.ndarray, value: np.ndarray, run: int = RUN) -> list[tuple[int, int, int, int, bool, bool]]:
-    """For each item that a text leaks: item_id, first token, tokens covered in runs, item tokens, changed, whole."""
-    hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for size, (hashes, item, place) in ix.windows.items():
-        h = window_hashes(code, kind, size)
-        lo = np.searchsorted(hashes, h)
-        ok = np.flatnonzero((hashes[np.minimum(lo, len(hashes) - 1)] == h) & (h != 0))
-        if not len(ok):
-            continue
-        hi = np.searchsorted(hashes, h[ok], "right")
-        for i, a, b in zip(ok.tolist(), lo[ok].tolist(), hi.tolist(), strict=True):
-            for w in range(a, b):
-                hits.setdefault((int(item[w]), i - int(place[w])), []).append((i, size))
+def _stretches(on: np.ndarray) -> list[list[int]]:
+    """Begin and end of each stretch of True."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
+def _fits(ours: tuple[np.ndarray, np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token of an item (code, kind, value) and of a text can be one, and the kind as which they are.
+
+    An opener is a word to a word or an opener like it, and a name to a name or to another opener.
+    """
+    (icode, ikind, ivalue), (code, kind, value) = ours, theirs
+    opener = (ikind == OPENER) | (kind == OPENER)
+    word = opener & (ivalue == value) & (_wordlike(ikind) | (ikind == NAM)) & (_wordlike(kind) | (kind == NAM))
+    name = opener & ((ikind == OPENER) | (ikind == NAM)) & ((kind == OPENER) | (kind == NAM))
+    fits = word | name | (~opener & (icode == code) & (ikind == kind))
+    return fits, np.where(word, WORD, np.where(name, NAM, ikind))
+
+
+def find(ix: Index, hits: set[tuple[int, int]], code: np.ndarray, kind: np.ndarray, value: np.ndarray, run: int = RUN, window: int = WINDOW) -> list[tuple[int, int, int, int, bool, bool]]:
+    """For each item that a text leaks: item_id, first token, tokens covered, item tokens, changed, whole.
+
+    hits are items and by how much later the text has a window of theirs.
+    """
     best: dict[int, tuple] = {}
-    for (at, shift), windows in hits.items():
+    for at, shift in sorted(hits):
         item_id, icode, ikind, ivalue = ix.items[at]
-        windows.sort()
-        begin, end = windows[0][0], windows[0][0] + windows[0][1]
-        runs = []
-        for i, size in windows[1:]:
-            if i > end:
-                runs.append((begin, end))
-                begin = i
-            end = max(end, i + size)
-        runs.append((begin, end))
-        for begin, end in runs:
-            length = end - begin
-            if length < min(run, len(icode)):
-                continue
-            part = slice(begin - shift, end - shift)
-            if not (icode[part] == code[begin:end]).all():
+        lo, hi = max(0, -shift), min(len(icode), len(code) - shift)
+        part = slice(lo + shift, hi + shift)
+        fits, both = _fits((icode[lo:hi], ikind[lo:hi], ivalue[lo:hi]), (code[part], kind[part], value[part]))
+        least, need = min(run, len(icode)), _needed(ikind, window)
+        for begin, end in _stretches(fits):
+            if end - begin < least or (at in best and end - begin <= best[at][2]):
                 continue
-            fits, changed = _consistent(ikind[part], ivalue[part], value[begin:end])
-            if fits and (at not in best or length > best[at][2]):
-                best[at] = (item_id, begin, length, len(icode), changed, length == len(icode))
+            slots = both[begin:end], ivalue[lo + begin : lo + end], value[part][begin:end]
+            whole, changed = _consistent(*slots)
+            if whole and (not changed or (slots[0] == WORD).sum() >= need):
+                found = (0, end - begin, changed)
+            else:
+                found = None
+            if found and (at not in best or found[1] - found[0] > best[at][2]):
+                length = found[1] - found[0]
+                best[at] = (item_id, lo + shift + begin + found[0], length, len(icode), found[2], length == len(icode))
     return list(best.values())
 
 
@@ -213,10 +263,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
 
     Both become template tokens: numbers, units after numbers and names are typed slots. A document leaks an item
     if 13 or more tokens in a row (all, of a shorter item) have the item's template and slots are filled
-    consistently, one value for one value. reparameterised says that some value differs from the item's. The windows
-    of 8 tokens with 4 plain words join by hash against the benchmark's, which goes out in broadcasts of about
-    32 MB of text; each is joined with all documents, so no window is shuffled and a passage that many documents
-    share stays in their tasks. A null or empty text leaks nothing and is leaked by none, nor are items with fewer
+    consistently, one value for one value. A capitalised word that opens a
+    sentence passes as the word and as a name. reparameterised says that some value differs from the item's. The
+    windows of 8 tokens with 4 plain words (of a shorter item all but one of its plain words, 2 at least) join by hash
+    against the benchmark's, which goes out in broadcasts of about 32 MB of text; windows with fewer join by their
+    values, so passages of hardly any words are found if some window of 8 tokens is as in the item. Each broadcast is
+    joined with all documents, so no window is shuffled and a passage that many documents share stays in their tasks. A null or empty text leaks nothing and is leaked by none, nor are items with fewer
     than 3 plain words. Repeated rows get rows of their own.
     """
     spark = docs.sparkSession
@@ -232,10 +284,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
             for batch, texts in slices(batches):
                 code, kind, value, ends = canon(texts)
                 doc_ids = batch.column(0)
+                hits: dict[int, set[tuple[int, int]]] = {}
+                for key, at, first in met(ix, code, kind, value):
+                    hashes, item, place = ix.windows[key]
+                    d = np.searchsorted(ends, at)
+                    last = np.searchsorted(hashes, hashes[first], "right")
+                    for doc, i, a, b in zip(d.tolist(), (at - np.append(0, ends + 1)[d]).tolist(), first.tolist(), last.tolist(), strict=True):
+                        hits.setdefault(doc, set()).update(zip(item[a:b].tolist(), (i - place[a:b]).tolist(), strict=True))
                 rows = []
-                for d in touched(ix, code, kind, ends):
+                for d in sorted(hits):
                     part = slice(ends[d - 1] + 1 if d else 0, ends[d])
-                    rows += [(doc_ids[d].as_py(), item, first, n, size, changed) for item, first, n, size, changed, _ in find(ix, code[part], kind[part], value[part], run)]
+                    rows += [(doc_ids[d].as_py(), item, first, n, size, changed) for item, first, n, size, changed, _ in find(ix, hits[d], code[part], kind[part], value[part], run, window)]
                 names, kinds = zip(*(x.strip().split(" ") for x in LEAK.split(",")), strict=True)
                 types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
