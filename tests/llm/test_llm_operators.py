@@ -448,6 +448,28 @@ def test_windows_take_openers_both_ways():
     assert sorted(got) == sorted(want)
 
 
+def test_leaks_with_one_slot_torn(spark):
+    torn = ITEM.replace("12 apples", "57 apples")  # 12 stands for two values, yet over 13 tokens after it are as they were
+    short = "A man has 5 cats and 5 dogs"
+    got = leaked(spark, torn, short, short.replace("5 dogs", "6 dogs"), items=((1, ITEM), (2, short)))
+    assert got == {(0, 1): False, (1, 2): False}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 2)), min_size=1, max_size=12), st.integers(1, 4), st.integers(0, 2))
+def test_longest_stretch_of_consistent_slots(tokens, least, need):
+    kind, ours, theirs = (np.array(x) for x in zip(*tokens, strict=True))
+    theirs = np.where(kind == template_leaks.WORD, ours, theirs)
+    sizes = [0]
+    for a, b in itertools.combinations(range(len(kind) + 1), 2):
+        fits, changed = template_leaks._consistent(kind[a:b], ours[a:b], theirs[a:b])
+        if fits and b - a >= least and (not changed or (kind[a:b] == template_leaks.WORD).sum() >= need):
+            sizes.append(b - a)
+    got = template_leaks._longest(kind, ours, theirs, least, need)
+    assert (got[1] - got[0] if got else 0) == max(sizes)
+    assert got is None or template_leaks._consistent(kind[got[0] : got[1]], ours[got[0] : got[1]], theirs[got[0] : got[1]]) == (True, got[2])
+
+
 def test_leaks_on_documents(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in template_leaks.leaks(docs, bench).collect()}

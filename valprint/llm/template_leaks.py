@@ -210,6 +210,37 @@ def _consistent(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> tuple
     return True, bool((ours[slots] != theirs[slots]).any())
 
 
+def _longest(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray, least: int, need: int) -> tuple[int, int, bool] | None:
+    """The longest stretch of consistent slots, as begin and end, and whether any changed.
+
+    It has least tokens, and if any changed need plain words.
+    """
+    same = (kind == WORD) | (ours == theirs)
+    plain, other = (np.append(0, np.cumsum(x)).tolist() for x in (kind == WORD, ~same))
+    there: dict = {}  # of each value what it stands for, and in how many places of the stretch
+    back: dict = {}
+    best, left = None, 0
+    kinds, ours, theirs = kind.tolist(), ours.tolist(), theirs.tolist()
+    for right, k in enumerate(kinds):
+        if k != WORD:
+            a, b = (k, ours[right]), (k, theirs[right])
+            while there.get(a, (b, 0))[0] != b or back.get(b, (a, 0))[0] != a:
+                if kinds[left] != WORD:
+                    for way, x in ((there, (kinds[left], ours[left])), (back, (kinds[left], theirs[left]))):
+                        y, n = way.pop(x)
+                        if n > 1:
+                            way[x] = (y, n - 1)
+                left += 1
+            there[a], back[b] = (b, there.get(a, (b, 0))[1] + 1), (a, back.get(b, (a, 0))[1] + 1)
+        size = right + 1 - left
+        if size >= least and plain[right + 1] - plain[left] >= need and (best is None or size > best[1] - best[0]):
+            best = (left, right + 1, other[right + 1] > other[left])
+    for begin, end in _stretches(same):
+        if end - begin >= least and (best is None or end - begin > best[1] - best[0]):
+            best = (begin, end, False)
+    return best
+
+
 def _stretches(on: np.ndarray) -> list[list[int]]:
     """Begin and end of each stretch of True."""
     return np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
@@ -248,7 +279,7 @@ def find(ix: Index, hits: set[tuple[int, int]], code: np.ndarray, kind: np.ndarr
             if whole and (not changed or (slots[0] == WORD).sum() >= need):
                 found = (0, end - begin, changed)
             else:
-                found = None
+                found = _longest(*slots, least, need)
             if found and (at not in best or found[1] - found[0] > best[at][2]):
                 length = found[1] - found[0]
                 best[at] = (item_id, lo + shift + begin + found[0], length, len(icode), found[2], length == len(icode))
@@ -263,7 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
 
     Both become template tokens: numbers, units after numbers and names are typed slots. A document leaks an item
     if 13 or more tokens in a row (all, of a shorter item) have the item's template and slots are filled
-    consistently, one value for one value. A capitalised word that opens a
+    consistently, one value for one value; the longest such stretch is given. A capitalised word that opens a
     sentence passes as the word and as a name. reparameterised says that some value differs from the item's. The
     windows of 8 tokens with 4 plain words (of a shorter item all but one of its plain words, 2 at least) join by hash
     against the benchmark's, which goes out in broadcasts of about 32 MB of text; windows with fewer join by their
