@@ -470,6 +470,16 @@ def test_longest_stretch_of_consistent_slots(tokens, least, need):
     assert got is None or template_leaks._consistent(kind[got[0] : got[1]], ours[got[0] : got[1]], theirs[got[0] : got[1]]) == (True, got[2])
 
 
+def test_leaks_of_items_with_few_words(spark):
+    few = "What is 7 plus 12"
+    dense = "Add 3 4 and 5 6 7 8 or 9 10 11 then 12 13 14 with 15 16 17 sum"
+    got = leaked(spark, "we ask: what is 7 plus 12 now", dense, dense.replace("10", "99"), "What is 8 plus 15", items=((1, few), (2, dense)))
+    assert got == {(0, 1): False, (1, 2): False, (2, 2): True, (3, 1): True}
+    # no other item has a window of this size
+    assert leaked(spark, few, "What else is there to say about this", items=((1, few),)) == {(0, 1): False}
+    assert leaked(spark, "one two 3 4 5 6 7 8 nine", items=((1, "one two 3 4 5 6 7 8 nine"),)) == {(0, 1): False}
+
+
 def test_leaks_on_documents(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in template_leaks.leaks(docs, bench).collect()}

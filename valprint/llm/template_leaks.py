@@ -175,6 +175,9 @@ def index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
             enough = plain[place] - named >= need
             few[place[~enough]] = True
             found.setdefault((False, size), []).append((h[enough], np.full(int(enough.sum()), at), place[enough]))
+        if few.any():
+            for h, place, _ in window_hashes(value, np.zeros_like(kind), size):
+                found.setdefault((True, size), []).append((h[few[place]], np.full(int(few[place].sum()), at), place[few[place]]))
     windows = {}
     for key, parts in found.items():
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
