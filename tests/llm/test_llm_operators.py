@@ -298,9 +298,10 @@ def plain_components(pairs, nodes):
         low = new
 
 
-@pytest.mark.parametrize("group", [1024, 0])
-def test_simhash_components(spark, monkeypatch, group):
-    monkeypatch.setattr(gray_index, "GROUP", group)
+@pytest.mark.parametrize(("each", "hot"), [(16_384, 4096), (3, 2)])
+def test_simhash_components(spark, monkeypatch, each, hot):
+    monkeypatch.setattr(gray_index, "EACH", each)
+    monkeypatch.setattr(gray_index, "HOT", hot)
     texts = [*ODD, *(f"{'some words come here and go ' * 9} {i}" for i in range(25)), *(r["text"] for r in documents(spark).limit(60).collect())]
     docs = hard_docs(spark, texts)
     fp = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
@@ -315,16 +316,42 @@ def test_simhash_of_nothing(spark):
     assert gray_index.simhash_components(no_docs(spark)).count() == 0
 
 
-def test_tree_finds_all_links():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    flips = np.uint64(1) << rng.integers(0, 64, (1500, 3), dtype=np.uint64)
-    fps = np.unique(base[rng.integers(0, 40, 1500)] ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
-    fps = fps[np.argsort(gray_index.gray_rank(fps))]
-    for reach in (1, 2):
-        i, j = gray_index.tree_links(fps, reach)
-        want = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= reach, 1))
-        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+def clustered_prints(rng, n, groups):
+    base = rng.integers(0, 2**64, groups, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (n, 3), dtype=np.uint64)
+    fps = np.unique(base[rng.integers(0, groups, n)] ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
+    return fps[np.argsort(gray_index.gray_rank(fps))]
+
+
+@pytest.mark.parametrize(("n", "groups"), [(1, 1), (9, 1), (1500, 40), (1500, 1500)])
+def test_index_finds_all_links(n, groups):
+    fps = clustered_prints(np.random.default_rng(4), n, groups)
+    tree = gray_index.Tree(np.full(len(fps), ~np.uint64(0)), fps)
+    for reach in (1, 2, 3):
+        got = {p for i, j in tree.search(fps, reach) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        want = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= reach)
+        assert got == set(map(tuple, want.tolist()))
+
+
+def test_index_leaves_most_nodes_unseen():
+    shares = []
+    for n in (4_000, 32_000):
+        fps = clustered_prints(np.random.default_rng(5), n, n)
+        tree = gray_index.Tree(np.full(len(fps), ~np.uint64(0)), fps)
+        for _ in tree.search(fps[::20], 2):
+            pass
+        shares.append(tree.compared / (len(fps) * len(fps[::20])))
+    assert shares[0] < 0.35 and shares[1] < 0.08  # of all pairs; the part falls as the index grows
+
+
+def test_index_of_ranges_names_all_that_hold_links():
+    fps = clustered_prints(np.random.default_rng(6), 3000, 300)
+    parts = np.array_split(fps, 37)
+    ones, zeros = (np.array([np.bitwise_and.reduce(f(p)) for p in parts]) for f in (lambda p: p, lambda p: ~p))
+    tree = gray_index.Tree(ones | zeros, ones)
+    got = {p for i, j in tree.search(fps, 2) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(i, k) for i in range(len(fps)) for k, p in enumerate(parts) if (np.bitwise_count(p ^ fps[i]) <= 2).any()}
+    assert want <= got and len(got) < 0.7 * len(fps) * len(parts)
 
 
 def test_gray_neighbours_differ_in_one_bit():

@@ -6,7 +6,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -15,10 +14,14 @@ from pyspark.sql import functions as F
 from valprint.llm.components import roots
 from valprint.llm.shared import dropped, parts_for, slices, written
 
-#: Fingerprints below a leaf, and nodes below an upper node.
-FAN = 32
-#: Fingerprints of a group that one index holds; larger groups are linked by shared neighbours.
-GROUP = 1024
+#: Entries below a node of the index.
+FAN = 8
+#: Fingerprints of a range with an index of its own, at least; and ranges at most, about, which bounds what is broadcast.
+EACH, RANGES = 16_384, 16_384
+#: Queries that go down an index together.
+TOGETHER = 4096
+#: Fingerprints that hold over this part of all rows, or more, get their components by broadcast.
+HOT = 4096
 #: Ids that may be broadcast.
 FEW = 1_000_000
 MAX = (1 << 63) - 1
@@ -44,14 +47,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits of each hash."""
-    h = h + np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each 64-bit word in the order of the binary reflected Gray code."""
     x = x.copy()
@@ -60,6 +55,10 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: gray_rank() as an expression whose signed order is the order of ranks.
+PLACE = "aggregate(array(1, 2, 4, 8, 16, 32), fp, (x, s) -> x ^ shiftrightunsigned(x, s)) ^ -9223372036854775808L"
+
+
 def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the 64-bit fingerprint of the whole text (null: empty, 0), of each row of docs."""
 
@@ -71,41 +70,52 @@ def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def tree_links(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of one group, sorted by Gray rank, whose fingerprints differ in at most reach bits.
+class Tree:
+    """A hierarchical index over entries in Gray order.
 
-    A node stands for up to 32 neighbours in Gray order and holds the bits that all below it share; bits that its
-    parent holds are not held again. Going down, a query adds up its differences in those bits and drops a node
-    with all below it once they are more than reach.
+    An entry has a mask and the bits that all it stands for share in that mask: all 64 for one fingerprint, fewer for
+    a range of them. A node stands for up to 8 neighbours in the order and holds the bits that they share and its own
+    upper node does not hold. A query adds up its differences in those bits on the way down and leaves a node with
+    all below it once they are more than reach.
     """
-    n = len(fps)
-    levels = []  # from the leaves up: shared bits and what they are
-    ones, zeros = fps, ~fps
-    levels.append((np.full(n, ~np.uint64(0)), fps))
-    while len(ones) > FAN:
-        at = np.arange(0, len(ones), FAN)
-        ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-        levels.append((ones | zeros, ones))
-    who = np.repeat(np.arange(n), len(levels[-1][0]))
-    node = np.tile(np.arange(len(levels[-1][0])), n)
-    spent = np.zeros(len(who), np.int64)
-    above = np.zeros(len(who), np.uint64)
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, bits = levels[depth]
-        own = mask[node] & ~above
-        spent = spent + np.bitwise_count((fps[who] ^ bits[node]) & own)
-        keep = spent <= reach
-        # a pair is found from its earlier member
-        last = np.minimum((node + 1) * FAN**depth, n) - 1
-        keep &= last > who
-        who, node, spent = who[keep], node[keep], spent[keep]
-        if depth:
-            below = np.minimum((node + 1) * FAN, len(levels[depth - 1][0])) - node * FAN
-            above = np.repeat(mask[node], below)
-            first = np.repeat(node * FAN, below)
-            step = np.arange(len(first)) - np.repeat(np.cumsum(below) - below, below)
-            who, spent, node = np.repeat(who, below), np.repeat(spent, below), first + step
-    return who, node
+
+    def __init__(self, mask: np.ndarray, bits: np.ndarray):
+        levels = [(mask, bits & mask)]
+        while len(levels[-1][0]) > FAN:
+            mask, bits = levels[-1]
+            at = np.arange(0, len(mask), FAN)
+            ones, zeros = np.bitwise_and.reduceat(bits, at), np.bitwise_and.reduceat(mask & ~bits, at)
+            levels.append((ones | zeros, ones))
+        self.levels = []
+        for depth, (mask, bits) in enumerate(levels):
+            if depth + 1 < len(levels):
+                mask = mask & ~np.repeat(levels[depth + 1][0], FAN)[: len(mask)]
+            self.levels.append((mask, bits & mask))
+        #: Nodes and entries that queries were compared with.
+        self.compared = 0
+
+    def search(self, fps: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries and of entries that differ in at most reach bits of the entries' masks, in parts."""
+        for first in range(0, len(fps), TOGETHER):
+            q = fps[first : first + TOGETHER]
+            top = len(self.levels[-1][0])
+            who, node = np.repeat(np.arange(len(q), dtype=np.int32), top), np.tile(np.arange(top, dtype=np.int32), len(q))
+            spent = np.zeros(len(who), np.uint8)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                mask, bits = self.levels[depth]
+                self.compared += len(who)
+                spent = spent + np.bitwise_count((q[who] & mask[node]) ^ bits[node])
+                keep = np.flatnonzero(spent <= reach)
+                who, node, spent = who[keep], node[keep], spent[keep]
+                if depth:
+                    below = np.minimum(FAN, len(self.levels[depth - 1][0]) - node * FAN)
+                    if (below == FAN).all():
+                        node = (node[:, None] * FAN + np.arange(FAN, dtype=np.int32)).ravel()
+                        who, spent = np.repeat(who, FAN), np.repeat(spent, FAN)
+                    else:
+                        step = np.arange(below.sum(), dtype=np.int32) - np.repeat(np.cumsum(below) - below, below).astype(np.int32)
+                        who, spent, node = np.repeat(who, below), np.repeat(spent, below), np.repeat(node * FAN, below).astype(np.int32) + step
+            yield who.astype(np.int64) + first, node.astype(np.int64)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,103 +137,106 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _tables(n: int, reach: int) -> list[int]:
-    """Masks of which links must share one exactly: of reach + d blocks of bits, all choices of d.
-
-    d grows with the number of fingerprints, so groups stay small.
-    """
-    d = 1
-    while n >> (64 * d // (reach + d)) > 64 and d < 6:
-        d += 1
-    cuts = np.linspace(0, 64, reach + d + 1).astype(int)
-    blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in itertools.pairwise(cuts)]
-    return [sum(c) for c in itertools.combinations(blocks, d)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+LINK = "a_doc long, a_fp long, b_doc long, b_fp long"
+SENT = "pid int, asks int, doc long, fp long"
 
 
-LINK = "a_doc long, a_fp long, b_doc long, b_fp long"
+def _rows(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64()}
+    names, kinds = zip(*(x.strip().split(" ") for x in schema.split(",")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def links(nodes: DataFrame, reach: int = 2) -> DataFrame:
-    """Links between distinct fingerprints (doc, fp) that differ in at most reach (1 or 2) bits, enough for components.
+    """Links between distinct fingerprints (doc, fp) that differ in at most reach bits, enough for components.
 
-    Fingerprints that link agree in one of several masks. Those that agree in one are a group; a task sorts each of
-    its groups by Gray rank and searches it through tree_links(), and keeps of the links a spanning forest. A group
-    over 1024 goes another exact way: fingerprints differ in at most 2 bits just if they share a neighbour, so each
-    member names itself and its 64 neighbours, and those who name the same (65 at most) link to the first of them.
+    The fingerprints are sorted by Gray rank and cut into ranges of equal counts, each with an index. A small index
+    over the ranges' shared bits, which goes to all tasks, tells which ranges a fingerprint may have links in; it
+    asks those, of each two ranges one the other. A task builds the index of a range and sends the ranges' askers
+    down, in batches, and keeps of the links of a batch a spanning forest. So no group of fingerprints meets in one
+    task but a range, and a dense range only has more askers, whose links are at most 2080 each.
     """
+    spark = nodes.sparkSession
     n = nodes.count()
-    masks = _tables(n, reach)
-    spread = nodes.select("doc", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
-    large = written(spread.groupBy("t", "key").count().filter(F.col("count") > GROUP).select("t", "key"), "large-groups")
-    some = large.count()
-    hot = F.broadcast(large) if some <= FEW // 10 else large
-    usual = spread.join(hot, ["t", "key"], "left_anti") if some else spread
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            rows = rest
-            if batch is not None:
-                new = [c.to_numpy() for c in batch.columns]
-                rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if rows is None or not len(rows[0]):
-                continue
-            t, key, doc, fp = rows
-            begin = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])))
-            if batch is not None:  # the last group may go on
-                rest = [x[begin[-1] :] for x in rows]
-                t, key, doc, fp = (x[: begin[-1]] for x in rows)
-                begin = begin[:-1]
-            if not len(begin):
-                continue
-            size = np.diff(np.append(begin, len(fp)))
-            run_of = np.repeat(np.arange(len(begin)), size)
-            order = np.lexsort((doc, gray_rank(fp.view(np.uint64)), run_of))
-            doc, fp = doc[order], fp.view(np.uint64)[order]
-            small = (size <= FAN)[run_of]
-            found = []
-            for k in range(1, min(FAN, int(size.max(initial=1)))):
-                near = (run_of[k:] == run_of[:-k]) & small[k:]
-                i = np.flatnonzero(near)
-                i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= reach]
-                found.append((i, i + k))
-            for g in np.flatnonzero(size > FAN):
-                i, j = tree_links(fp[begin[g] : begin[g] + size[g]], reach)
-                found.append((i + begin[g], j + begin[g]))
-            if not found:
-                continue
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            keep = forest(fp[i].view(np.int64), fp[j].view(np.int64))
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], fp[i].view(np.int64), doc[j], fp[j].view(np.int64))], ["a_doc", "a_fp", "b_doc", "b_fp"])
-
-    parts = parts_for(n * len(masks), 200_000, nodes.sparkSession)
-    found = usual.select("t", "key", "doc", "fp").repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(run, LINK)
-    if some:
-        members = spread.join(hot, ["t", "key"], "left_semi").select("doc", "fp").distinct()
-        flips = F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64)])
-        named = members.select("doc", "fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("name"))
-        met = named.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("doc", "fp"))).alias("all")).filter(F.size("all") > 1)
-        pairs = met.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 64)).alias("b")).distinct()
-        found = found.unionByName(pairs.select(F.col("a.doc").alias("a_doc"), F.col("a.fp").alias("a_fp"), F.col("b.doc").alias("b_doc"), F.col("b.fp").alias("b_fp")))
-    return found
+    parts = parts_for(n, max(EACH, n // RANGES), spark)
+    ordered = nodes.select("doc", "fp", F.expr(PLACE).alias("place")).repartitionByRange(parts, "place")
+    placed = written(ordered.select(F.spark_partition_id().alias("pid"), "doc", "fp"), "gray-order")
+    ranges = placed.groupBy("pid").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).orderBy("pid").toPandas()
+    pids, ones, zeros = (ranges[c].to_numpy(np.int64) for c in ("pid", "ones", "zeros"))
+    sent = spark.sparkContext.broadcast((pids, ones, zeros))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pids, ones, zeros = sent.value
+        index = Tree((ones | zeros).view(np.uint64), ones.view(np.uint64))
+        for batch in batches:
+            own, doc, fp = (c.to_numpy() for c in batch.columns)
+            yield _rows([own, np.zeros(len(own), np.int32), doc, fp], SENT)
+            for who, at in index.search(fp.view(np.uint64), reach):
+                to, mine = pids[at], own[who]
+                # of two ranges the lower asks if their numbers are even together, else the higher
+                ask = (to != mine) & ((mine < to) == ((mine + to) % 2 == 0))
+                yield _rows([to[ask], np.ones(int(ask.sum()), np.int32), doc[who[ask]], fp[who[ask]]], SENT)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = -1, [], None
+
+        def found(doc: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for who, at in index[0].search(fp, reach):
+                other = fp[who] != index[2][at]
+                who, at = who[other], at[other]
+                keep = forest(fp[who].view(np.int64), index[2][at].view(np.int64))
+                who, at = who[keep], at[keep]
+                yield _rows([doc[who], fp[who].view(np.int64), index[1][at], index[2][at].view(np.int64)], LINK)
+
+        def built() -> Iterator[pa.RecordBatch]:
+            nonlocal index
+            doc, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(gray_rank(fp))
+            doc, fp = doc[order], fp[order]
+            index = (Tree(np.full(len(fp), ~np.uint64(0)), fp), doc, fp)
+            held.clear()
+            yield from found(doc, fp)
+
+        for batch in batches:
+            pid, asks, doc, fp = (c.to_numpy() for c in batch.columns)
+            fp = fp.view(np.uint64)
+            cut = np.flatnonzero(np.append(True, (pid[1:] != pid[:-1]) | (asks[1:] != asks[:-1])))
+            for a, b in zip(cut, np.append(cut[1:], len(pid)), strict=True):
+                if pid[a] != now and held:
+                    yield from built()
+                now = pid[a]
+                if not asks[a]:
+                    held.append((doc[a:b], fp[a:b]))
+                    continue
+                if held:
+                    yield from built()
+                yield from found(doc[a:b], fp[a:b])
+        if held:
+            yield from built()
+
+    dealt = placed.mapInArrow(route, SENT).repartition(parts, "pid").sortWithinPartitions("pid", "asks")
+    return dealt.mapInArrow(search, LINK)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of docs (doc_id, text), whole texts.
 
-    Rows of one fingerprint are one node, so copies are never paired. component_id is the smallest doc_id that
-    links reach, the row's own included. A null text counts as empty; texts without words have fingerprint 0 and
-    link like others. A row without doc_id takes part but names no component (null if all of it are such). Repeated
-    rows get a row each; an empty table gives no rows.
+    Rows of one fingerprint are one node, so copies are never paired; a fingerprint of over 1/4096 of all rows (there
+    are at most 4096) gets its component by broadcast. component_id is the smallest doc_id that links reach, the
+    row's own included. A null text counts as empty; texts without words have fingerprint 0 and link like others. A
+    row without doc_id takes part but names no component (null if all of it are such). Repeated rows get a row each;
+    an empty table gives no rows; further columns are left out.
     """
     each = written(prints(docs, words), "prints")
-    nodes = written(each.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(MAX)).alias("doc")), "nodes")
+    nodes = written(each.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(MAX)).alias("doc"), F.count("*").alias("n")), "nodes")
     edges = links(nodes, reach).select(F.struct(F.col("a_doc").alias("doc"), F.col("a_fp").alias("fp")).alias("u"), F.struct(F.col("b_doc").alias("doc"), F.col("b_fp").alias("fp")).alias("v"))
     root = roots(edges).select(F.col("node.fp").alias("fp"), F.col("root.doc").alias("top"))
-    named = nodes.join(root, "fp", "left").select("fp", F.nullif(F.coalesce("top", "doc"), F.lit(MAX)).alias("component_id"))
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(nodes.join(root, "fp", "left").select("fp", F.nullif(F.coalesce("top", "doc"), F.lit(MAX)).alias("component_id"), "n"), "named")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT > total
+    few = F.broadcast(named.filter(hot).select("fp", "component_id", F.lit(True).alias("hot")))
+    marked = each.join(few, "fp", "left")
+    rest = marked.filter("hot is null").drop("component_id").join(named.filter(~hot).select("fp", "component_id"), "fp")
+    kept = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"]
+    dropped(nodes)
+    return marked.filter("hot").select(*kept).unionByName(rest.select(*kept))
