@@ -158,21 +158,27 @@ def links(nodes: DataFrame, reach: int = 2) -> DataFrame:
     """
     spark = nodes.sparkSession
     n = nodes.count()
-    parts = parts_for(n, max(EACH, n // RANGES), spark)
+    parts = max(parts_for(n, max(EACH, n // RANGES), spark), 2 * spark.sparkContext.defaultParallelism)
     ordered = nodes.select("doc", "fp", F.expr(PLACE).alias("place")).repartitionByRange(parts, "place")
     placed = written(ordered.select(F.spark_partition_id().alias("pid"), "doc", "fp"), "gray-order")
-    ranges = placed.groupBy("pid").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).orderBy("pid").toPandas()
-    pids, ones, zeros = (ranges[c].to_numpy(np.int64) for c in ("pid", "ones", "zeros"))
-    sent = spark.sparkContext.broadcast((pids, ones, zeros))
+    found = placed.groupBy("pid").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"), F.count("*").alias("n")).orderBy("pid").toPandas()
+    # neighbours become one range until there are as many as asked for, however finely the cluster has dealt the rows
+    upto = found["n"].cumsum() - found["n"]
+    found["range"] = (upto * parts // max(1, n)).rank(method="dense").astype(int) - 1
+    pids, number = found["pid"].to_numpy(np.int64), found["range"].to_numpy(np.int64)
+    begin = np.flatnonzero(np.diff(number, prepend=-1))
+    ones, zeros = (np.bitwise_and.reduceat(found[c].to_numpy(np.int64), begin) if n else np.zeros(0, np.int64) for c in ("ones", "zeros"))
+    sent = spark.sparkContext.broadcast((pids, number, ones, zeros))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pids, ones, zeros = sent.value
+        pids, number, ones, zeros = sent.value
         index = Tree((ones | zeros).view(np.uint64), ones.view(np.uint64))
         for batch in batches:
             own, doc, fp = (c.to_numpy() for c in batch.columns)
+            own = number[np.searchsorted(pids, own)]
             yield _rows([own, np.zeros(len(own), np.int32), doc, fp], SENT)
-            for who, at in index.search(fp.view(np.uint64), reach):
-                to, mine = pids[at], own[who]
+            for who, to in index.search(fp.view(np.uint64), reach):
+                mine = own[who]
                 # of two ranges the lower asks if their numbers are even together, else the higher
                 ask = (to != mine) & ((mine < to) == ((mine + to) % 2 == 0))
                 yield _rows([to[ask], np.ones(int(ask.sum()), np.int32), doc[who[ask]], fp[who[ask]]], SENT)
