@@ -175,15 +175,19 @@ def test_shards(spark):
 
 
 def brute_top_k(rows, k=20, every=20):
+    """rows: (vec_id, vector), which may repeat."""
     out = []
-    for i, v in rows.items():
+    for i, v in rows:
         if i % every == 0:
-            scored = sorted((-(sum(a * b for a, b in zip(v, w, strict=False))), j) for j, w in rows.items() if j != i)
+            scored = sorted((-(sum(a * b for a, b in zip(v, w, strict=False))), j) for j, w in rows if j != i)
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
-def test_top_k_with_hard_vectors(spark):
+@pytest.mark.parametrize(("candidates", "queries"), [(1 << 16, 4096), (20, 2)])
+def test_top_k_with_hard_vectors(spark, monkeypatch, candidates, queries):
+    monkeypatch.setattr(threshold_search, "CANDIDATES", candidates)
+    monkeypatch.setattr(threshold_search, "QUERIES", queries)
     rng = np.random.default_rng(1)
     vectors = {i: [float(x) for x in np.round(rng.normal(size=6), 1)] for i in range(130)}
     vectors[40] = [0.0] * 6
@@ -191,25 +195,55 @@ def test_top_k_with_hard_vectors(spark):
     vectors[100] = [1e9, -1e9, 3.0, 0.0, 0.0, 5.0]
     vectors[101] = [1.0, 2.0]
     rows = [(i, v, 0, 1) for i, v in vectors.items()]
-    rows += [rows[3], (500, None, 0, 1), (501, [1.0, None], 0, 1), (520, [float("nan")], 0, 1), (540, [float("inf")], 0, 1), (None, [1.0], 0, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v int")
-    ints = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    rows += [rows[3], rows[3], rows[20], (20, [0.5] * 6, 0, 1), (500, None, 0, 1), (501, [1.0, None], 0, 1), (520, [float("nan")], 0, 1), (540, [float("inf")], 0, 1), (None, [1.0], 0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, row int")
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v, _, _ in rows[:-5]]
     assert sorted(map(tuple, threshold_search.top_k(df).collect())) == brute_top_k(ints)
     few = spark.createDataFrame([(0, [1.0]), (20, [0.5])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, threshold_search.top_k(few).collect())) == [(0, 1, 20, 2048), (20, 1, 0, 2048)]
+    assert threshold_search.top_k(few.limit(1)).count() == 0
     assert threshold_search.top_k(few.limit(0)).count() == 0
 
 
-def test_walk_stops_early_and_stays_exact():
-    rng = np.random.default_rng(2)
-    v = rng.integers(-40, 40, (3000, 3))
-    q = rng.integers(-40, 40, (50, 3))
-    ids, own = np.arange(3000) + 1000, np.arange(50)
-    row, hit, score = threshold_search.walk(q, own, v, ids, 5, np.full(50, -(1 << 60)))
-    row, hit, score = threshold_search.best_of(row, hit, score, 5)
-    for r in range(50):
-        want = sorted((-int(s), i) for i, s in zip(ids.tolist(), v @ q[r], strict=True))[:5]
+def test_top_k_of_one_vector_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [0.5, -0.25, 0.125] if i % 3 == 0 else [float(x) for x in np.round(rng.normal(size=3), 2)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, threshold_search.top_k(df).collect())) == brute_top_k(ints)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 600), st.integers(1, 5), st.integers(1, 30), st.integers(1, 60), st.integers(0, 1 << 30))
+def test_a_cell_is_exact(n, width, k, most, seed):
+    rng = np.random.default_rng(seed)
+    v, q = rng.integers(-most, most + 1, (n, width)), rng.integers(-most, most + 1, (7, width))
+    ids, own = rng.permutation(n) * 2, np.arange(7) * 2
+    row, hit, score, scored, listed = threshold_search.cell(q, own, v, ids, v[:5], k)
+    for r in range(7):
+        want = sorted((-int(s), i) for i, s in zip(ids.tolist(), v @ q[r], strict=True) if i != own[r])[:k]
         assert [(-s, i) for i, s in zip(hit[row == r].tolist(), score[row == r].tolist(), strict=True)] == want
+    assert (scored <= n).all()
+
+
+def test_the_threshold_saves_work():
+    """On clustered vectors, or in few dimensions, a query scores and reads far less than all candidates."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    near = centres[rng.integers(0, 40, 12_000)] + 0.05 * rng.normal(size=(12_000, 16))
+    few = rng.normal(size=(12_000, 3))
+    share = {}
+    for name, v in (("clustered", near), ("few dimensions", few)):
+        v = np.floor(64 * v).astype(np.int64)
+        _, _, _, scored, listed = threshold_search.cell(v[::200], np.arange(0, 12_000, 200), v, np.arange(12_000), v[7:263], 20)
+        share[name] = (scored.mean() / len(v), listed.mean() / len(v))
+    assert max(share["clustered"]) < 0.1 and max(share["few dimensions"]) < 0.1, share
+
+
+def test_effort_of_queries(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = threshold_search.effort(df).collect()
+    assert sorted(r["query_id"] for r in got) == list(range(0, 200, 20)) and all(20 <= r["scored"] <= 200 for r in got)
 
 
 # 3
