@@ -469,7 +469,7 @@ def test_leaks(spark):
     part = " ".join(ITEM.split()[5:25])
     clean = "The farmer went to the market in the north and came back with nothing at all, as the day was long and the road was bad."
     got = leaked(spark, ITEM, inside, other, torn, part, clean, "this is a short one here indeed", "a short two here")
-    assert got == {(0, 1): False, (1, 1): got[1, 1], (2, 1): True, (3, 1): got.get((3, 1)), (4, 1): False, (6, 2): False} or got == {(0, 1): False, (1, 1): got[1, 1], (2, 1): True, (4, 1): False, (6, 2): False}
+    assert got == {(0, 1): False, (1, 1): got[1, 1], (2, 1): True, (3, 1): False, (4, 1): False, (6, 2): False}
     assert (5, 1) not in got and (7, 2) not in got
 
 
@@ -560,6 +560,111 @@ def test_leaks_on_documents(spark):
     assert template_leaks.leaks(no_docs(spark), bench).count() == 0 and template_leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_dense_in_numbers(spark):
+    dense = "Find 3 4 5 6 7 8 of the triangle sides given here"
+    assert leaked(spark, dense, items=((1, dense),)) == {(0, 1): False}
+
+
+def test_leaks_that_open_with_names(spark):
+    one, three = "Tom has 5 apples and buys 3 more.", "Tom has 5 apples. Tom buys 3 more. How many apples has Tom now?"
+    got = leaked(spark, one.replace("Tom", "Anna").replace("5", "9").replace("3", "4"), three.replace("Tom", "Anna").replace("5", "9").replace("3", "4"), items=((1, one), (2, three)))
+    assert got == {(0, 1): True, (1, 2): True}
+
+
+def test_leaks_with_names_of_several_words(spark):
+    item = "In the spring Tom Smith had 5 apples, which he sold to the old school for 9 dollars."
+    other = item.replace("Tom Smith", "Anna").replace("5", "7")
+    opens = "Tom Smith has 5 apples and buys 3 more."
+    got = leaked(spark, item, other, item.replace("Tom Smith", "Anna Maria Lopez"), opens.replace("Tom Smith", "Anna"), items=((1, item), (2, opens)))
+    assert got == {(0, 1): False, (1, 1): True, (2, 1): True, (3, 2): True}
+
+
+def test_leaks_of_scripts_without_blanks(spark):
+    item = "小明有12个苹果他又买了30个梨请问他现在一共有多少个水果"
+    got = leaked(spark, f"今天我们来看一道题{item}答案是什么", item.replace("12", "57"), "今天天气很好我们去公园散步", items=((1, item),))
+    assert got == {(0, 1): False, (1, 1): True}
+
+
+def brute_leaks(docs, items):
+    """All places of all items in all texts, token by token, without windows."""
+    T = template_leaks
+    canon = T.Canon()
+    tokens = lambda t: tuple(x[:-1].tolist() for x in canon([t])[:3])
+
+    def fit(a, b):  # the kind as which two tokens are one, None if they are not
+        (_, ka, va), (_, kb, vb) = a, b
+        if T.OPENER in (ka, kb):
+            if va == vb and {ka, kb} <= {T.WORD, T.OPENER, T.NAM}:
+                return T.WORD
+            return T.NAM if {ka, kb} <= {T.OPENER, T.NAM} else None
+        return ka if ka == kb and (ka != T.WORD or va == vb) else None
+
+    def fits(part, need):
+        there, back, changed = {}, {}, False
+        for k, a, b in part:
+            if k != T.WORD:
+                if there.setdefault((k, a), b) != b or back.setdefault((k, b), a) != a:
+                    return False
+                changed |= a != b
+        return not changed or sum(k == T.WORD for k, _, _ in part) >= need
+
+    found = set()
+    split = {i: list(zip(*tokens(t), strict=True)) for i, t in items}
+    for d, text in docs:
+        doc = list(zip(*tokens(text or ""), strict=True))
+        words = {v for _, _, v in doc}
+        for i, item in split.items():
+            if len([1 for _, k, _ in item if k in (T.WORD, T.OPENER)]) < 3 or not words & {v for _, k, v in item if k == T.WORD}:
+                continue
+            least = min(T.RUN, len(item))
+            need = T._needed(np.array([k for _, k, _ in item]), T.WINDOW)
+            for shift in range(-len(item) + least, len(doc) - least + 1):
+                lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+                kinds = [fit(item[j], doc[j + shift]) for j in range(lo, hi)]
+                run = 0
+                for at, k in enumerate([*kinds, None]):
+                    if k is not None:
+                        run += 1
+                        continue
+                    for a in range(at - run, at):
+                        for b in range(a + least, at + 1):
+                            if (d, i) not in found and fits([(kinds[x], item[lo + x][2], doc[lo + x + shift][2]) for x in range(a, b)], need):
+                                found.add((d, i))
+                    run = 0
+    return found
+
+
+QUESTIONS = [
+    "Maria has {a} apples. Then she buys {b} more pears. {n} sells {a} of them at noon. What is left of the {b} pears?",
+    "A train leaves the station at {a} km an hour and {n} waits for it {b} minutes near the bridge, so how long is the way?",
+    "{n} reads {a} pages of a book on each day and {b} pages on Sunday. How many pages does {n} read in a week?",
+    "If {a} workers build a wall in {b} days, how many days would it take {n} alone to build the same wall again?",
+    "The sum of {a} and {b} is shared by {n} and two friends in equal parts, what does each of them get?",
+    "{n} had {a} kg of rice, sold {b} kg and gave {a} g to the neighbours. How much rice is there now?",
+]
+
+
+def test_leaks_against_all_places(spark):
+    rng = np.random.default_rng(9)
+    names = ["Tom", "Anna", "Olga Petrova", "John", "Peter Paul Smith", "Ravi"]
+    filled = lambda q, k: q.format(a=int(rng.integers(2, 90)), b=int(rng.integers(100, 900)), n=names[k % len(names)])
+    items = [(i, filled(q, i)) for i, q in enumerate(QUESTIONS)]
+    lead = ["", "so here it is: ", "As was said before. ", "we ask whether "]
+    plants = [(1000 + n, lead[n % 4] + filled(QUESTIONS[n % 6], n // 6 + 1) + " " + "and so on it went with them for long."[: n % 30]) for n in range(72)]
+    lower = [(2000 + i, t.lower()) for i, t in items]
+    near = [(3000 + i, " ".join(w for j, w in enumerate(t.split()) if j % 5)) for i, t in items]  # a word in five is gone
+    some = [(r["doc_id"], r["text"]) for r in documents(spark).limit(60).collect()]
+    bench = [*items, *((100 + r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())]
+    docs = [*plants, *lower, *near, *some]
+    want = brute_leaks(docs, bench)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.leaks(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
+    planted = {(1000 + n, n % 6) for n in range(72)}
+    assert len(got & planted) >= 0.95 * len(planted), sorted(planted - got)
+    assert not any(d >= 3000 for d, _ in got)
+
+
 # 4
 
 

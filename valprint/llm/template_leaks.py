@@ -21,14 +21,16 @@ WINDOW, PLAIN = 8, 4
 RUN = 13
 #: Benchmark texts' bytes that one broadcast holds, about; a larger benchmark goes out in several.
 BLOCK = 32_000_000
-MEMO = 500_000
+MEMO = 250_000
 #: Factor of a window's hash; hashes of windows with openers that are made together, about.
 POWER, FORMS = 0x9E3779B97F4A7C15, 500_000
 
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg ton tons oz lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules byte bytes kb mb gb tb".split())
-_token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
-_plain = re.compile(r"([^\W\d_]+)([^\w'’]*)").fullmatch
-_end = re.compile(r"[.!?:;\n]\W*\Z")
+#: Characters of scripts that write words without blanks; each is a token.
+_LONE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+_token = re.compile(rf"\d+(?:[.,:/]\d+)*|[{_LONE}]|[^\W\d_{_LONE}]+(?:['’][^\W\d_{_LONE}]+)*")
+_plain = re.compile(rf"([^\W\d_{_LONE}]+)([^\w'’]*)").fullmatch
+_end = re.compile(r"[.!?:;\n]\W*\Z").search
 NUMBER, NAME, UNIT = (xxhash.xxh64_intdigest(x, 1) for x in ("<number>", "<name>", "<unit>"))
 #: Kinds of tokens: a plain word, or a slot for one of three kinds of value.
 WORD, NUM, NAM, UNI = 0, 1, 2, 3
@@ -42,38 +44,49 @@ class Canon:
     """Turns texts into arrays of template tokens; remembers the chunks between blanks that it has met.
 
     A number is a slot; so is a unit after one, and a capitalised word that begins no sentence, as a name. One that
-    begins a sentence is an opener, with the hash of its word. All else is a lower-case word. Signs between tokens are
-    left out.
+    begins a sentence is an opener, with the hash of its word. Further capitalised words with but a blank before them
+    belong to the name or the opener, so a name of two words is one token. All else is a lower-case word, a character
+    of scripts without blanks by itself. Signs between tokens are left out.
     """
 
     def __init__(self) -> None:
-        self.memo: dict[str | None, tuple[int, ...]] = {None: (0,)}
-        self.rows: list[tuple[int, int, int, int]] = [(0, END, 0, 1)]  # hash of the word, kind at most, value, ends a sentence
-        self.table = np.array(self.rows, np.uint64)
+        self.memo: dict[str | None, int] = {None: 0}  # numbers of chunks, the end of a text first
+        self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # of each chunk its rows of the table
+        self.table = np.array([(0, END, 2)], np.uint64)  # hash of the word, kind at most, 1 if signs follow and 2 if they end a sentence
 
     def _learn(self, chunks: set[str]) -> None:
-        rows, memo, digest = self.rows, self.memo, xxhash.xxh64_intdigest
+        if not chunks:
+            return
+        values, kinds, afters, sizes, digest = [], [], [], [], xxhash.xxh64_intdigest
         for chunk in chunks:
             one = _plain(chunk)
             if one:  # nearly all are a word with signs after it
-                parts = [one.groups()]
-            else:
-                found = list(_token.finditer(chunk))
-                parts = [(m[0], chunk[m.end() : found[i + 1].start()] if i + 1 < len(found) else chunk[m.end() :]) for i, m in enumerate(found)]
-            first = len(rows)
-            for word, after in parts:
+                word, after = one.groups()
+                low = word.lower()
+                values.append(digest(low))
+                kinds.append((UNI if low in UNITS else WORD) if low == word else UNI if low in UNITS else NAM if word[0].isupper() and word[1:].islower() else WORD)
+                afters.append((2 if _end(after) else 1) if after else 0)
+                sizes.append(1)
+                continue
+            found = list(_token.finditer(chunk))
+            for i, m in enumerate(found):
+                word, after = m[0], chunk[m.end() : found[i + 1].start() if i + 1 < len(found) else None]
                 low = word.lower()
-                value = digest(low, 0)
-                if low == word:
-                    kind = NUM if word[0].isdigit() else UNI if low in UNITS else WORD
-                else:
-                    kind = UNI if low in UNITS else NAM if word[0].isupper() and word[1:].islower() else WORD
-                rows.append((value, kind, value, 1 if after and _end.search(after) else 0))
-            if not parts and chunk and _end.search(chunk):
-                rows.append((0, STOP, 0, 1))
-            memo[chunk] = tuple(range(first, len(rows)))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
+                values.append(digest(low))
+                kinds.append(NUM if word[0].isdigit() else UNI if low in UNITS else NAM if low != word and word[0].isupper() and word[1:].islower() else WORD)
+                afters.append((2 if _end(after) else 1) if after else 0)
+            if not found and chunk and _end(chunk):
+                values.append(0)
+                kinds.append(STOP)
+                afters.append(2)
+                sizes.append(1)
+            else:
+                sizes.append(len(found))
+        self.memo.update(zip(chunks, range(len(self.memo), len(self.memo) + len(chunks)), strict=True))
+        size = np.array(sizes, np.int64)
+        self.first = np.concatenate([self.first, len(self.table) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.table = np.concatenate([self.table, np.stack([np.array(x, np.uint64) for x in (values, kinds, afters)], axis=1)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, kind and value of the tokens of all texts, with an END after each text, and where these are."""
@@ -82,18 +95,28 @@ class Canon:
             self.__init__()
         self._learn(set().union(*split) - self.memo.keys())
         end = [None]
-        chunks = itertools.chain.from_iterable(itertools.chain(s, end) for s in split)
-        rows = self.table[np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, chunks)), np.int64)]
-        begins = np.append(True, rows[:-1, 3] > 0)[: len(rows)]
-        real = rows[:, 1] != STOP
-        begins, rows = begins[real], rows[real]
-        kind = rows[:, 1].astype(np.int64)
+        at = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(itertools.chain(s, end) for s in split)), np.int64)
+        size = self.size[at]
+        rows = self.table[np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        value, kind, after = rows[:, 0], rows[:, 1].astype(np.int64), rows[:, 2]
+        begins = np.append(True, after[:-1] == 2)[: len(rows)]
+        real = kind != STOP
+        begins, value, kind, after = begins[real], value[real], kind[real], after[real]
         kind[(kind == NAM) & begins] = OPENER
         kind[(kind == UNI) & (np.append(0, kind[:-1])[: len(kind)] != NUM)] = WORD
-        code = rows[:, 0].copy()
+        named = (kind == NAM) | (kind == OPENER)
+        joins = np.append(False, (kind[1:] == NAM) & named[:-1] & (after[:-1] == 0))[: len(kind)]
+        if joins.any():
+            value, at = value.copy(), np.flatnonzero(joins)
+            head = np.maximum.accumulate(np.where(joins, 0, np.arange(len(joins))))[at]
+            for k in range(1, int((at - head).max()) + 1):
+                on = at - head == k
+                value[head[on]] = value[head[on]] * np.uint64(POWER) + value[at[on]]
+            kind, value = kind[~joins], value[~joins]
+        code = value.copy()
         for k, h in ((NUM, NUMBER), (NAM, NAME), (UNI, UNIT)):
             code[kind == k] = h
-        return code, kind, rows[:, 2], np.flatnonzero(kind == END)
+        return code, kind, value, np.flatnonzero(kind == END)
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
