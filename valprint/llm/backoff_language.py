@@ -12,21 +12,34 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import dropped, held_out, kept, slices, written
+from valprint.llm.shared import dropped, held_out, kept, kept_rows, slices, written
 
-#: Documents that the model learns from, about; words and n-grams that it keeps, the most frequent first.
-SAMPLE, WORDS, GRAMS = 20_000, 60_000, 120_000
+#: Labelled documents that the model learns from, about; it keeps all words and n-grams of theirs.
+SAMPLE = 8_000
 #: Characters of the longest n-gram, with the marks at a word's ends.
 LONGEST = 5
 #: Words whose evidence makes a score; longer texts are scored as so many words like their average.
 EVIDENCE = 10
 #: Words or chunks that a worker remembers; it starts anew beyond them.
-MEMO = 500_000
+MEMO = 250_000
 
-words_of = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters in a text; signs like ² or ½ are none."""
+    found = _runs(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
+def hash_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -36,39 +49,43 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language (columns, in the order of langs) of words and n-grams."""
+    """Log frequencies by language (columns, in the order of langs) of words (size 0) and of n-grams of each size.
+
+    They are held by sorted 64-bit hashes.
+    """
 
     langs: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def find(self, size: int, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash in the table of a size, -1 if it is unknown."""
+        known, _ = self.tables.get(size, (np.zeros(0, np.uint64), None))
+        if not len(known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
+
     def of_words(self, words: list[str]) -> np.ndarray:
         """A row of logs for each word: its own if it is known, else the mean of its longest known n-grams, else zeros."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        known, rows, unknown, sizes, flat = [], [], [], [], []
-        grams = self.grams
-        for i, word in enumerate(words):
-            at = self.words.get(word)
-            if at is not None:
-                known.append(i)
-                rows.append(at)
-                continue
-            marked = f"<{word}>"
-            for n in range(LONGEST, 0, -1):
-                found = [g for j in range(len(marked) - n + 1) if (g := grams.get(marked[j : j + n])) is not None]
-                if found:
-                    unknown.append(i)
-                    sizes.append(len(found))
-                    flat += found
-                    break
-        if known:
-            out[known] = self.word_logs[rows]
-        if unknown:
-            sizes = np.array(sizes)
-            out[unknown] = np.add.reduceat(self.gram_logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        at = self.find(0, np.fromiter(map(hash_of, words), np.uint64, len(words)))
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            out[known] = self.tables[0][1][at[known]]
+        open_ = np.flatnonzero(at < 0)
+        for size in range(LONGEST, 0, -1):
+            if not len(open_):
+                break
+            grams = [grams_of(words[i], size) for i in open_]
+            owner = np.repeat(np.arange(len(open_)), np.fromiter(map(len, grams), np.int64, len(grams)))
+            at = self.find(size, np.fromiter(map(hash_of, itertools.chain.from_iterable(grams)), np.uint64, len(owner)))
+            owner, at = owner[at >= 0], at[at >= 0]
+            if len(at):
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                of = owner[first]
+                out[open_[of]] = np.add.reduceat(self.tables[size][1][at], first, axis=0) / np.diff(np.append(first, len(at)))[:, None]
+                open_ = np.delete(open_, of)
         return out
 
 
@@ -127,12 +144,15 @@ def _logs(counts: np.ndarray, totals: np.ndarray, kinds: int) -> np.ndarray:
     return np.log((counts + 0.5) / (totals + 0.5 * max(1, kinds)))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, max_words: int = WORDS, max_grams: int = GRAMS) -> Model:
-    """Fits a model on about sample documents (doc_id, text, lang), chosen by a hash of doc_id.
+COUNTED = "lang string, size int, hash long, n long"
+
 
-    Rows without text or lang and those that held_out() marks teach nothing. All words of a chosen document count.
-    Words and n-grams beyond the max_words and max_grams most frequent (ties by their order) are not kept, which
-    bounds what reaches the driver.
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits a model on about sample labelled documents (doc_id, text, lang), chosen by a hash of doc_id.
+
+    Rows without text or lang and those that held_out() marks teach nothing; a table without any that teach gives a
+    model without languages. All words and n-grams of the chosen documents are counted on executors, and all are kept
+    as hashes with a count for each language.
     """
     able = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = able.agg(F.count("*")).first()[0]
@@ -151,31 +171,62 @@ def learn(docs: DataFrame, sample: int = SAMPLE, max_words: int = WORDS, max_gra
         for batch in batches:
             counts: Counter = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[lang, 0, hash_of(word)] += n
                 for size in range(1, LONGEST + 1):
                     for g in grams_of(word, size):
-                        counts[lang, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
-
-    counted = able.filter(part).select("text", "lang").mapInArrow(count_words, "lang string, word string, n long")
-    words = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    grams = written(words.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    word_totals = dict(words.groupBy("lang").agg(F.sum("n")).collect())
-    gram_totals = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", F.length("gram")).agg(F.sum("n")).collect()}
-    langs = sorted(word_totals)
-
-    def most(df: DataFrame, name: str, limit: int):
-        each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-        top = df.groupBy(name).agg(F.sum("n").alias("n"), *each).orderBy(F.desc("n"), name).limit(limit).toPandas()
-        return top[name].tolist(), top[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64)
-
-    kept, counts = most(words, "word", max_words)
-    word_logs = _logs(counts, np.array([word_totals[x] for x in langs], np.float64), len(kept))
-    grams_kept, gram_counts = most(grams, "gram", max_grams)
-    sizes = np.array([len(g) for g in grams_kept], np.int64)
-    totals = np.array([[gram_totals.get((x, n), 0) for x in langs] for n in range(LONGEST + 1)], np.float64).reshape(LONGEST + 1, len(langs))
-    gram_logs = _logs(gram_counts, totals[sizes], 1 << 10) if len(grams_kept) else gram_counts
-    dropped(words, grams)
-    return Model(langs, {w: i for i, w in enumerate(kept)}, word_logs, {g: i for i, g in enumerate(grams_kept)}, gram_logs)
+                        counts[lang, size, hash_of(g)] += n
+            lang, size, key = zip(*counts, strict=True) if counts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "hash", "n"])
+
+    words = able.filter(part).select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = written(words.mapInArrow(count_grams, COUNTED).groupBy("lang", "size", "hash").agg(F.sum("n").alias("n")), "language-counts")
+    totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", "size").agg(F.sum("n")).collect()}
+    langs = sorted({lang for lang, _ in totals})
+    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    rows = counted.groupBy("size", "hash").agg(F.lit(0), *each).toArrow()
+    size, key = rows.column("size").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+    counts = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((len(key), 0))
+    tables = {}
+    for s in range(LONGEST + 1):
+        mine = np.flatnonzero(size == s)
+        mine = mine[np.argsort(key[mine])]
+        total = np.array([totals.get((x, s), 0) for x in langs], np.float64)
+        # smoothed log frequency of each word or n-gram in each language
+        tables[s] = key[mine], np.log((counts[mine] + 0.5) / (total + 0.5 * max(1, len(mine) if s == 0 else 1 << 10))).astype(np.float32)
+    dropped(counted)
+    return Model(langs, tables)
+
+
+def _judge(known: Model):
+    """What gives of texts, in a task, the number of the language (past the last: undetermined) and its score."""
+    scorer = kept(("language", known.key), lambda: Scorer(known))
+
+    def judge(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sums = scorer(texts)
+        n = sums[:, -1]
+        if not known.langs:
+            return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        logs = sums[:, :-1] * (EVIDENCE / np.maximum(n, EVIDENCE))[:, None]
+        score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        return np.where(n > 0, logs.argmax(axis=1), len(known.langs)), np.where(n > 0, score, 0.0)
+
+    return judge
+
+
+def of_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language identify() finds with a score of least or more, each by its own text, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        judge, many = _judge(sent.value), len(sent.value.langs)
+
+        def decide(texts: list[str]) -> np.ndarray:
+            best, score = judge(texts)
+            return (best < many) & (score >= least)
+
+        return decide
+
+    return kept_rows(docs, decider)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,25 +235,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A known word adds its log frequency in each language; an unknown one adds the mean of its longest n-grams that
     the model knows, from 5 characters down to 1. The language of the largest sum wins, the first by name in a tie.
     score is its share when the sums are scaled to ten words. A text that is null or has no letters is `und` with
-    score 0, and so is every text if the model knows no language. Repeated rows get a row each.
+    score 0, and so is every text if the model knows no language. A null doc_id is not held out. Repeated rows get a row
+    each, an empty table none; further columns are left out.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        scorer = kept(("language", known.key), lambda: Scorer(known))
-        names = [*known.langs, "und"]
+        judge, names = _judge(sent.value), [*sent.value.langs, "und"]
         for batch, texts in slices(batches):
-            sums = scorer(texts)
-            n = sums[:, -1]
-            if known.langs:
-                logs = sums[:, :-1] * (EVIDENCE / np.maximum(n, EVIDENCE))[:, None]
-                best = logs.argmax(axis=1)
-                score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-            else:
-                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            best = np.where(n > 0, best, len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[i] for i in best], pa.string()), pa.array(np.where(n > 0, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            best, score = judge(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[i] for i in best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

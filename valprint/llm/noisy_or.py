@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import held_out, kept, slices
+from valprint.llm.shared import held_out, kept, kept_rows, slices
 
 #: Labelled documents that the model learns from, at most about; characters of them that the driver holds at most.
 SAMPLE, CHARS = 8_000, 64_000_000
@@ -184,6 +184,23 @@ class Scorer:
         return out
 
 
+def noisy_or(each: list[np.ndarray]) -> np.ndarray:
+    """The probability that any sentence of a text is toxic, from those of its sentences."""
+    return np.array([1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-13)).sum()) for p in each])
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score() does not call toxic, each judged by its own text, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        known = sent.value
+        scorer = kept(("toxicity", known.key), lambda: Scorer(known))
+        return lambda texts: noisy_or(scorer.sentences(texts)) < TOXIC
+
+    return kept_rows(docs, decider)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, sentences, offending of each row of docs (doc_id, text), whole texts.
 
@@ -198,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = kept(("toxicity", known.key), lambda: Scorer(known))
         for batch, texts in slices(batches):
             each = scorer.sentences(texts)
-            total = np.array([1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-13)).sum()) for p in each])
+            total = noisy_or(each)
             bad = [np.flatnonzero(p >= OFFENDS).tolist() for p in each]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(total), pa.array((total >= TOXIC).astype(np.int32)), pa.array([len(p) for p in each], pa.int32()), pa.array(bad, pa.list_(pa.int32()))],

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='valprint-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,13 +36,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that no later result reads."""
+    """Deletes tables made by written() that no later result reads; other tables stay."""
     for df in frames:
         spark = df.sparkSession
         jvm = spark._jvm
+        ours = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/valprint").toUri().getPath()
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/valprint/" in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            if path.toUri().getPath().startswith(f"{ours}/"):
                 path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
@@ -62,6 +66,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(start), [x or "" for x in column.slice(start).to_pylist()]
 
 
+def kept_rows(docs: DataFrame, decider: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text") -> DataFrame:
+    """The rows of docs whose text decider's function keeps; rows pass with all their columns and nothing is shuffled.
+
+    decider makes, in each task, what takes texts (null as empty) and gives a boolean for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for part, texts in slices(batches, text):
+            yield part.filter(pa.array(np.asarray(decide(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _kept: dict = {}
 
 

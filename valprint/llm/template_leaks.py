@@ -10,10 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import kept, slices
+from valprint.llm.shared import kept, kept_rows, slices
 
 #: Tokens of a window; plain words that it must hold, so that placeholders alone match nothing.
 WINDOW, PLAIN = 8, 4
@@ -312,6 +312,50 @@ def find(ix: Index, hits: set[tuple[int, int]], code: np.ndarray, kind: np.ndarr
     return list(best.values())
 
 
+def found_in(ix: Index, canon: Canon, texts: list[str], run: int = RUN, window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:
+    """Number of the text, item_id, first token, tokens covered, item tokens and changed of each leak in texts."""
+    code, kind, value, ends = canon(texts)
+    hits: dict[int, set[tuple[int, int]]] = {}
+    for key, at, first in met(ix, code, kind, value):
+        hashes, item, place = ix.windows[key]
+        d = np.searchsorted(ends, at)
+        last = np.searchsorted(hashes, hashes[first], "right")
+        for doc, i, a, b in zip(d.tolist(), (at - np.append(0, ends + 1)[d]).tolist(), first.tolist(), last.tolist(), strict=True):
+            hits.setdefault(doc, set()).update(zip(item[a:b].tolist(), (i - place[a:b]).tolist(), strict=True))
+    rows = []
+    for d in sorted(hits):
+        part = slice(ends[d - 1] + 1 if d else 0, ends[d])
+        rows += [(d, item, first, n, size, changed) for item, first, n, size, changed, _ in find(ix, hits[d], code[part], kind[part], value[part], run, window)]
+    return rows
+
+
+def _indexes(spark: SparkSession, benchmark: DataFrame, window: int, block: int) -> Iterator:
+    """The benchmark's index in broadcasts of about block bytes of text."""
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block))
+    for b in range(blocks):
+        part = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
+        yield spark.sparkContext.broadcast(index(sorted({(r[0], r[1]) for r in part.select("item_id", "text").collect()}, key=lambda r: (r[0] is None, r)), window))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that leaks() finds nothing in, each judged by its own text, with all columns."""
+    for sent in _indexes(docs.sparkSession, benchmark, WINDOW, block):
+
+        def decider(sent=sent):
+            ix, canon = sent.value, kept(("templates",), Canon)
+
+            def decide(texts: list[str]) -> np.ndarray:
+                clean = np.ones(len(texts), bool)
+                clean[[x[0] for x in found_in(ix, canon, texts)]] = False
+                return clean
+
+            return decide
+
+        docs = kept_rows(docs, decider)
+    return docs
+
+
 LEAK = "doc_id long, item_id long, first_token int, covered_tokens int, item_tokens int, reparameterised boolean"
 
 
@@ -328,30 +372,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     joined with all documents, so no window is shuffled and a passage that many documents share stays in their tasks. A null or empty text leaks nothing and is leaked by none, nor are items with fewer
     than 3 plain words. Repeated rows get rows of their own.
     """
-    spark = docs.sparkSession
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block))
     found = None
-    for b in range(blocks):
-        part = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
-        sent = spark.sparkContext.broadcast(index(sorted({(r[0], r[1]) for r in part.select("item_id", "text").collect()}, key=lambda r: (r[0] is None, r)), window))
+    for sent in _indexes(docs.sparkSession, benchmark, window, block):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ix, canon = sent.value, kept(("templates",), Canon)
             for batch, texts in slices(batches):
-                code, kind, value, ends = canon(texts)
                 doc_ids = batch.column(0)
-                hits: dict[int, set[tuple[int, int]]] = {}
-                for key, at, first in met(ix, code, kind, value):
-                    hashes, item, place = ix.windows[key]
-                    d = np.searchsorted(ends, at)
-                    last = np.searchsorted(hashes, hashes[first], "right")
-                    for doc, i, a, b in zip(d.tolist(), (at - np.append(0, ends + 1)[d]).tolist(), first.tolist(), last.tolist(), strict=True):
-                        hits.setdefault(doc, set()).update(zip(item[a:b].tolist(), (i - place[a:b]).tolist(), strict=True))
-                rows = []
-                for d in sorted(hits):
-                    part = slice(ends[d - 1] + 1 if d else 0, ends[d])
-                    rows += [(doc_ids[d].as_py(), item, first, n, size, changed) for item, first, n, size, changed, _ in find(ix, hits[d], code[part], kind[part], value[part], run, window)]
+                rows = [(doc_ids[d].as_py(), item, first, n, size, changed) for d, item, first, n, size, changed in found_in(ix, canon, texts, run, window)]
                 names, kinds = zip(*(x.strip().split(" ") for x in LEAK.split(",")), strict=True)
                 types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
