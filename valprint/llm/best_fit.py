@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -16,10 +17,10 @@ from valprint.llm.shared import dropped, parts_for, slices, written
 
 #: Pieces that one task packs.
 EACH = 2048
-#: Rounds in which partitions with gaps exchange pieces, at most.
-ROUNDS = 3
+#: Parts of the capacity (sixteenths) below which a sequence's pieces are exchanged.
+LOOSE = 15
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECE + ", sequence_id long, offset long, fill long, gap long"
+PLACED = PIECE + ", row long, sequence_id long, offset long, fill long, gap long"
 
 
 def cut(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
@@ -56,9 +57,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     family counts items above capacity - a as whole bins and leaves out those below a; the second rounds size *
     (k + 1) / capacity down to k-ths and keeps exact multiples.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """lower_bound() of so many items of each length."""
     size = np.arange(capacity + 1)
     best = -(-int(count @ size) // capacity)
     above = np.cumsum(count[::-1])[::-1]
@@ -103,42 +106,56 @@ def _packed(pieces: DataFrame, rows: int, capacity: int, turn: int) -> DataFrame
         raise ValueError("too many pieces for the numbering of sequences")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         bins, offsets, fills = best_fit(pdf["length"].tolist(), capacity)
         gap = len(fills) - lower_bound(pdf["length"].to_numpy(), capacity)
         sequence = (turn << 58) + (int(pdf["bucket"].iloc[0]) << 28) + np.array(bins, np.int64)
         return pdf.drop(columns="bucket").assign(sequence_id=sequence, offset=offsets, fill=np.array(fills, np.int64)[bins], gap=gap)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(max(1, buckets))).alias("bucket"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+    dealt = pieces.select(*names, F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(max(1, buckets))).alias("bucket"))
     return dealt.groupBy("bucket").applyInPandas(run, PLACED)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill of each piece of docs (doc_id, text).
 
-    Pieces are dealt by hash into partitions of about 2048, each packed by best-fit decreasing. A partition whose
-    bins are no more than its lower_bound() is certified and stays. From the others (gap > 0) the bins under 15/16
-    full go into a pool that is dealt anew and packed again; the new packing stands only if it has fewer bins.
-    Rounds end when nothing is left to gain. A null text counts as empty: one piece of the end id alone. Repeated
-    rows are packed as often as they come; an empty table gives no rows.
+    Pieces are dealt by their row number, so that repeated rows spread, into partitions of about 2048, each packed by
+    best-fit decreasing. A partition is certified if it has no more bins than its lower_bound(). Of the others the
+    bins under 15/16 full, and of all partitions the emptiest bin if it is so, go into a pool that is dealt anew and
+    packed again; that goes on until it saves no bin. certificate() holds the result against one bound for all. A
+    null text counts as empty: one piece of the end id alone. A null doc_id stays null. Repeated rows are packed as
+    often as they come; an empty table gives no rows; further columns are left out.
     """
-    pieces = written(cut(docs, capacity, end_id, vocabulary), "pieces")
+    pieces = written(cut(docs, capacity, end_id, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = written(_packed(pieces, pieces.count(), capacity, 0), "packed")
     dropped(pieces)
     done = None
-    for turn in range(1, rounds + 1):
-        loose = (F.col("gap") > 0) & (F.col("fill") * 16 < capacity * 15)
-        pool = placed.filter(loose)
-        rows, bins = pool.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if bins < 2:
+    for turn in itertools.count(1):
+        # a bin's partition is the upper part of its number
+        part = F.shiftright("sequence_id", 28)
+        bins = placed.groupBy("sequence_id", "fill", "gap").agg(F.count("*").alias("n"))
+        emptiest = bins.groupBy(part.alias("part")).agg(F.min_by("sequence_id", F.struct("fill", "sequence_id")).alias("sequence_id"))
+        slack = bins.filter(F.col("fill") * 16 < capacity * LOOSE)
+        chosen = written(slack.join(emptiest.select("sequence_id", F.lit(True).alias("least")), "sequence_id", "left").filter("gap > 0 or least").select("sequence_id", "n"), "loose")
+        loose, rows = chosen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if loose < 2:
             break
+        pool = placed.join(chosen.select("sequence_id"), "sequence_id", "left_semi")
         again = written(_packed(pool, rows, capacity, turn), "packed")
-        if again.agg(F.count_distinct("sequence_id")).first()[0] >= bins:
+        if again.agg(F.count_distinct("sequence_id")).first()[0] >= loose:
             dropped(again)
             break
-        kept = placed.filter(~loose)
+        kept = placed.join(chosen.select("sequence_id"), "sequence_id", "left_anti")
         done = kept if done is None else done.unionByName(kept)
         placed = again
     result = placed if done is None else done.unionByName(placed)
-    return result.drop("gap")
+    return result.drop("gap", "row")
+
+
+def certificate(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """How many sequences packed has, and how many any packing of its pieces needs at least."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        count[length] = n
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], bound_of(count, capacity)

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from valprint.llm.shared import held_out, kept, kept_rows, slices
 
-#: Labelled documents that the model learns from, at most about; characters of them that the driver holds at most.
-SAMPLE, CHARS = 8_000, 64_000_000
-#: Features that get a weight; documents in which a feature must occur.
-FEATURES, LEAST = 1_500, 3
+#: Labelled doc_ids that the model learns from, at most; characters of their texts that the driver holds at most; a
+#: single text has at most a hundredth of them; and rows for each of these doc_ids on average, at most.
+SAMPLE, CHARS, ROWS = 8_000, 64_000_000, 2
+#: Standard errors by which a feature's share of toxic documents must differ from that of others; documents in which
+#: it must occur.
+SIGNIFICANT, LEAST = 6.0, 3
 STEPS, RATE, DECAY = 300, 0.1, 2e-5
 #: Log odds of a sentence without evidence.
 BIAS = -8.0
@@ -29,7 +31,7 @@ BIAS = -8.0
 POSITIVE = 2.0
 #: A document is toxic from this score on, a sentence offends from that.
 TOXIC, OFFENDS = 0.7, 0.5
-MEMO = 500_000
+MEMO = 250_000
 
 words_of = re.compile(r"[^\W_]+").findall
 ends = re.compile(r"[.!?]\W*\Z").search
@@ -69,23 +71,22 @@ def sentences_of(text: str) -> list[list[str]]:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least: int = LEAST, steps: int = STEPS) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, significant: float = SIGNIFICANT, least: int = LEAST, steps: int = STEPS) -> Model:
     """Learns weights from whole documents (bags) whose sentences have no labels.
 
-    The features kept are those whose document counts differ most between labels. P(toxic) is one minus the product
+    All features get a weight whose document counts differ significantly between labels. P(toxic) is one minus the product
     of the sentences' 1 - p; its log loss falls by Adam over all bags.
     """
     seen = [Counter(), Counter()]
     for text, y in zip(texts, toxic.tolist(), strict=True):
         seen[y].update(set(itertools.chain.from_iterable(map(features_of, set(words_of(text.lower()))))))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    strength = {}
-    for f in seen[1].keys() | seen[0].keys():
+    names = []
+    for f in sorted(seen[1].keys() | seen[0].keys()):
         a, b = seen[1][f], seen[0][f]
-        if a + b >= least:
-            p = (a + b + 1) / (n1 + n0 + 2)
-            strength[f] = abs(a / n1 - b / n0) / (p * (1 - p)) ** 0.5
-    names = sorted(strength, key=lambda f: (-strength[f], f))[:features]
+        p = (a + b + 1) / (n1 + n0 + 2)
+        if a + b >= least and abs(a / n1 - b / n0) >= significant * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5:
+            names.append(f)
     index = {f: i for i, f in enumerate(names)}
 
     @functools.lru_cache(maxsize=1 << 16)
@@ -101,7 +102,7 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least: in
                     col.extend(cols)
                     row.extend([len(bag_of)] * len(cols))
             bag_of.append(d)
-    del seen, strength
+    del seen
     col, row, bag_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (col, row, bag_of))
     w, sentences, rest = np.zeros(len(names)), len(bag_of), np.logaddexp(0, BIAS)
     m, v = np.zeros(len(names)), np.zeros(len(names))
@@ -118,11 +119,13 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least: in
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model:
-    """Fits a model on at most about sample labelled documents, chosen by a hash of doc_id.
+    """Fits a model on the documents of at most sample labelled doc_ids, chosen by a hash of doc_id.
 
     labels has doc_id and toxic (0, 1; null teaches nothing; of several rows the largest counts). Rows that
-    held_out() marks teach nothing. The driver holds the sample's texts, at most chars characters: in the order of
-    the hash, documents that no longer fit are left out of the sample whole.
+    held_out() marks teach nothing, nor do null texts. The driver holds the sample's texts: at most twice as many
+    rows as doc_ids and at most chars characters. In the order of the hash, a text that no longer fits, or is longer
+    than a hundredth of chars, is left out of the sample whole; all bounds are on labelled rows that teach, no others.
+    Without a toxic one among them the model calls nothing toxic.
     """
     spark = docs.sparkSession
     able = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -131,10 +134,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     ids = spark.createDataFrame(list(zip(chosen["doc_id"].tolist(), chosen["toxic"].tolist(), strict=True)), "doc_id long, toxic int")
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("n"), order.alias("h"))
     # what fits is decided from lengths alone, before any text reaches the driver
-    sizes = found.select("doc_id", "n", "h").orderBy("h", "doc_id", "n").limit(2 * sample).toPandas()
+    fits = found.filter(F.col("n") <= chars // 100)
+    sizes = fits.select("doc_id", "n", "h").orderBy("h", "doc_id", "n").limit(ROWS * sample).toPandas()
     sizes = sizes[sizes["n"].cumsum() <= chars]
     fitting = spark.createDataFrame([(x,) for x in sorted(set(sizes["doc_id"].tolist()))], "doc_id long")
-    rows = found.join(F.broadcast(fitting), "doc_id").select("toxic", "text").orderBy("h", "doc_id", "n").limit(2 * sample).toPandas()
+    rows = fits.join(F.broadcast(fitting), "doc_id").select("toxic", "text").orderBy("h", "doc_id", "n").limit(len(sizes)).toPandas()
     return fit(rows["text"].tolist(), (rows["toxic"] > 0).to_numpy().astype(np.int64))
 
 
@@ -205,8 +209,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, sentences, offending of each row of docs (doc_id, text), whole texts.
 
     score is the noisy-or of the sentence scores and 0 for a text that is null or has no sentence. offending lists
-    the numbers (from 0) of the sentences that score 0.5 or more, as sentences_of() counts them. Repeated rows get
-    a row each.
+    the numbers (from 0) of the sentences that score 0.5 or more, as sentences_of() counts them. A null doc_id is not
+    held out. Repeated rows get a row each, an empty table none; further columns are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

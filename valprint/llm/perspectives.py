@@ -10,8 +10,18 @@ from pyspark.sql.window import Window
 SPAN = 512
 
 
+def escaped(text: Column) -> Column:
+    """A text that cannot be taken for a mark: in each `<` and `|` with only backslashes between, one more of these.
+
+    Taking one away from each such place gives the text back.
+    """
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
 def _header(role: Column, name: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
+    # a name is one line
+    shown = F.regexp_replace(escaped(name), r"[\r\n]+", " ")
+    return F.concat(F.lit("<|im_start|>"), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), shown)).otherwise(F.lit("")), F.lit("\n"))
 
 
 def segments(turns: DataFrame, setting: str = "system") -> DataFrame:
@@ -21,12 +31,14 @@ def segments(turns: DataFrame, setting: str = "system") -> DataFrame:
     perspective: its own turns become the assistant's, those of others the user's with the speaker's name, and those
     of setting stay. The segments of a perspective in the order of start, a character count, are its dialogue. The
     loss covers mask_start to mask_end, the text and end mark of the assistant's turns; both are null elsewhere. A
-    null role is the speaker `unknown`, a null text is empty. A conversation with no speaker but setting has no
+    null role is the speaker `unknown`, a null text is empty. Marks inside texts and names are escaped(), and line ends in
+    names become blanks, so no text can begin a turn of its own; the column name has the name as it is. A conversation with no speaker but setting has no
     perspective. Turns of one number come by speaker and text; a null number comes first, as does a null conv_id's
-    conversation as one of its own. Repeated rows get segments of their own. Starts are summed in two steps, within
+    conversation as one of its own. Repeated rows get segments of their own, an empty table none; further columns are
+    left out. Starts are summed in two steps, within
     spans of 512 turn numbers and over the spans, so a long conversation is many tasks' work.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     sides = rows.filter(F.col("speaker") != setting).select(F.col("conv_id").alias("side_conv"), F.col("speaker").alias("perspective")).distinct()
     joined = rows.join(sides, F.col("conv_id").eqNullSafe(F.col("side_conv"))).drop("side_conv")
     own, fixed = F.col("speaker") == F.col("perspective"), F.col("speaker") == setting

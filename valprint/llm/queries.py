@@ -65,7 +65,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op4_perspectives",
     """
     WITH r AS (
-      SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+      SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text FROM conversations
     ), p AS (
       SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'
     ), j AS (
@@ -74,7 +74,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN speaker <> perspective AND speaker <> 'system' THEN speaker END AS name
       FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
     ), h AS (
-      SELECT *, '<|im_start|>' || role || CASE WHEN name IS NULL THEN '' ELSE ' name=' || name END || chr(10) AS head FROM j
+      SELECT *, '<|im_start|>' || role || CASE WHEN name IS NULL THEN '' ELSE ' name=' || regexp_replace(regexp_replace(name, '<(\\\\*)\\|', '<\\\\\\1|', 'g'), '[\\r\\n]+', ' ', 'g') END || chr(10) AS head FROM j
     ), s AS (
       SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h
     ), t AS (

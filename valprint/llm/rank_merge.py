@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame
 
 from valprint.llm.shared import kept, slices
 
-#: Entries of a worker's memory of counted chunks; it starts anew beyond them.
-MEMO = 600_000
+#: Entries of a worker's memory of counted chunks; it starts anew beyond them. Longer chunks are not remembered.
+MEMO, REMEMBERED = 600_000, 4096
+#: Symbols from which on a sequence is merged by looking only at what a merge has touched.
+LONG = 512
 
 
 def word_vocabulary() -> str:
@@ -28,12 +31,17 @@ def merge_counts(ids: np.ndarray, starts: np.ndarray, pairs: np.ndarray, ranks:
 
     ids holds all sequences back to back, starts where each begins (none is empty). pairs are the sorted keys
     left * width + right of known merges, with their rank and the symbol they make. In each round every sequence
-    merges all occurrences of its own lowest-ranked pair; finished sequences leave the arrays.
+    merges all occurrences of its own lowest-ranked pair; finished sequences leave the arrays. Sequences of many
+    symbols go through merge_long(), with the same result.
     """
     none = np.iinfo(np.int64).max
     total = np.zeros(len(starts), np.int64)
     sizes = np.diff(np.append(starts, len(ids)))
     owner = np.arange(len(starts))
+    if (long := sizes > LONG).any():
+        seq = np.repeat(long, sizes)
+        total[long] = merge_long(ids[seq], sizes[long], pairs, ranks, made, width)
+        ids, sizes, owner = ids[~seq], sizes[~long], owner[~long]
     while len(ids):
         seq = np.repeat(np.arange(len(sizes)), sizes)
         first = np.cumsum(sizes) - sizes
@@ -62,6 +70,63 @@ def merge_counts(ids: np.ndarray, starts: np.ndarray, pairs: np.ndarray, ranks:
     return total
 
 
+def merge_long(ids: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, ranks: np.ndarray, made: np.ndarray, width: int) -> np.ndarray:
+    """merge_counts() of sequences of many symbols, back to back, in time that follows the merges.
+
+    Symbols are linked to their neighbours. The lowest rank that any sequence has is the lowest of each that has it,
+    so all sequences merge it together; then only the pairs beside merged ones are looked up again.
+    """
+    n = len(ids)
+    ids, seq = ids.copy(), np.repeat(np.arange(len(sizes)), sizes)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[np.cumsum(sizes) - 1] = n  # no neighbour
+    before[np.cumsum(sizes) - sizes] = n
+    now = np.full(n + 1, -1)  # place in pairs of the pair that begins at a symbol
+    waiting: dict[int, list[np.ndarray]] = {}
+    order: list[int] = []
+
+    def look(at: np.ndarray) -> None:
+        now[at] = -1
+        at = at[after[at] < n]
+        key = ids[at] * width + ids[after[at]]
+        found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        known = pairs[found] == key
+        at, found = at[known], found[known]
+        now[at] = found
+        by = np.argsort(ranks[found], kind="stable")
+        at, of = at[by], ranks[found[by]]
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        for rank, part in zip(of[cut].tolist(), np.split(at, cut[1:]), strict=True) if len(at) else ():
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(order, rank)
+            waiting[rank].append(part)
+
+    alive = np.ones(n, bool)
+    look(np.arange(n))
+    while order:
+        rank = heapq.heappop(order)
+        at = np.unique(np.concatenate(waiting.pop(rank)))
+        at = at[alive[at] & (now[at] >= 0)]
+        at = at[ranks[now[at]] == rank]
+        if not len(at):
+            continue
+        # of neighbouring hits in a run (a pair of equal symbols), every second one merges
+        run = np.append(True, after[at[:-1]] != at[1:])
+        place = np.arange(len(at))
+        at = at[(place - place[run][np.cumsum(run) - 1]) % 2 == 0]
+        gone = after[at]
+        ids[at] = made[now[at]]
+        alive[gone] = False
+        next_ = after[gone]
+        after[at] = next_
+        some = next_ < n
+        before[next_[some]] = at[some]
+        left = before[at]
+        look(np.unique(np.concatenate([at, left[left < n]])))
+    return np.bincount(seq[alive], minlength=len(sizes))
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -123,6 +188,8 @@ class WordCounter:
             self.by_word.update(zip(new, merge_counts(ids, starts, self.pairs, self.ranks, self.made, self.width).tolist(), strict=True))
         get = self.by_word.__getitem__
         self.memo.update((c, sum(map(get, words))) for c, words in zip([*chunks, *alone], split, strict=True))
+        for word in [w for w in new if len(w) > REMEMBERED]:
+            del self.by_word[word]
 
     def count(self, texts: list[str]) -> list[int]:
         pieces: list[list[str]] = []
@@ -140,15 +207,18 @@ class WordCounter:
         if new:
             self.learn(list(new))
         get = self.memo.__getitem__
-        return [n + sum(map(get, p)) for n, p in zip(extra, pieces, strict=True)]
+        counts = [n + sum(map(get, p)) for n, p in zip(extra, pieces, strict=True)]
+        for chunk in [c for c in new if len(c) > REMEMBERED]:
+            del self.memo[chunk]
+        return counts
 
 
 def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text), whole texts.
 
     A blank (U+0020) never joins two tokens of this vocabulary, so a worker merges each distinct chunk between
-    blanks once and adds up the counts. A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted
-    as often as they come; further columns are left out. vocabulary is the path of a tokenizers file with an
+    blanks once and adds up the counts. A null text counts as empty: 0 bytes, 0 tokens. A null doc_id stays null; repeated
+    rows are counted as often as they come; an empty table gives no rows; further columns are left out. vocabulary is the path of a tokenizers file with an
     end-of-word mark, word_bpe_49k.json if not given; every executor must have it.
     """
 

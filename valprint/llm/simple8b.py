@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from valprint.llm.byte_ids import encoder
 from valprint.llm.shared import parts_for, slices, written
@@ -131,8 +132,8 @@ FILE = "part int, chunk int, before long, n_ids long, data binary"
 def write_ids(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) into files in the shared folder, in ascending doc_id order; returns their table.
 
-    Rows are dealt by ranges of doc_id, so part p holds smaller doc_ids than part p + 1, a null doc_id first and
-    equal doc_ids by text. Each row of the table is a chunk of whole documents with the ids before it in its part.
+    Rows are dealt by ranges of doc_id, so part p holds no larger doc_ids than part p + 1, a null doc_id first and
+    equal doc_ids by a hash of the text. Each row of the table is a chunk of whole documents with the ids before it in its part.
     A null text counts as empty and holds the end id alone.
     """
     parts = parts_for(docs.count(), 4096, docs.sparkSession)
@@ -165,7 +166,10 @@ def write_ids(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -
         if blobs:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, or of none, spread by a hash of the text, and repeated rows by their number
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("by_text"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "by_text", "row"]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ordered.mapInArrow(run, FILE), "token-ids")
 
 
@@ -198,5 +202,9 @@ def read_ids(files: DataFrame) -> DataFrame:
 
 
 def packed_ids(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """Writes docs by write_ids() and returns what read_ids() finds in the files. An empty table gives no rows."""
+    """Writes docs by write_ids() and returns what read_ids() finds in the files.
+
+    A null text counts as empty, a null doc_id comes first, repeated rows are written as often as they come. An empty
+    table gives no rows; further columns are left out.
+    """
     return read_ids(write_ids(docs, end_id, vocabulary))
