@@ -589,6 +589,14 @@ def test_near_copies_are_found_in_each_band(spark, low, high):
     assert sorted(r["doc_id"] for r in near_copies.similar_groups(docs).collect()) == list(range(1, 120, 2))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1500), st.integers(0, 1500), st.integers(0, 1500), st.integers(0, 1 << 30))
+def test_maps_of_bits_never_overstate(common, one, other, seed):
+    h = np.random.default_rng(seed).integers(0, 2**64, common + one + other, dtype=np.uint64)
+    a, b = h[: common + one], np.concatenate([h[:common], h[common + one :]])
+    assert near_copies.bits_apart(near_copies.parity_bits(a), near_copies.parity_bits(b)) <= one + other
+
+
 def test_similar_groups_among_lookalikes(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CELL", 64)
     monkeypatch.setattr(near_copies, "PARTNERS", 16)
