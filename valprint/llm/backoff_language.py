@@ -25,7 +25,7 @@ LONGEST = 5
 #: Words whose evidence makes a score; longer texts are scored as so many words like their average.
 EVIDENCE = 10
 #: Words or chunks that a worker remembers; it starts anew beyond them.
-MEMO = 250_000
+MEMO = 200_000
 
 _runs = re.compile(r"[^\W\d_]+").findall
 

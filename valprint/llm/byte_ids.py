@@ -12,7 +12,7 @@ import numpy as np
 from valprint.llm.shared import kept
 
 #: Entries of a worker's memory of encoded chunks; it starts anew beyond them.
-MEMO = 600_000
+MEMO = 250_000
 _loose = re.compile(r" (?=\s|\Z)")
 _before_blank = re.compile(r"(?= \S)")
 

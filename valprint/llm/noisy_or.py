@@ -31,7 +31,7 @@ BIAS = -8.0
 POSITIVE = 2.0
 #: A document is toxic from this score on, a sentence offends from that.
 TOXIC, OFFENDS = 0.7, 0.5
-MEMO = 250_000
+MEMO = 200_000
 
 words_of = re.compile(r"[^\W_]+").findall
 ends = re.compile(r"[.!?]\W*\Z").search

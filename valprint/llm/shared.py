@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,11 +92,20 @@ def kept(key: tuple, make: Callable):
     It keeps one thing at a time, so its memory follows the largest operator of a job and not all of them.
     """
     if key not in _kept:
-        _kept.clear()
+        forget()
         _kept[key] = make()
     return _kept[key]
 
 
+def forget() -> None:
+    """Gives up what a Python worker keeps, and its memory back to the machine where that is possible."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

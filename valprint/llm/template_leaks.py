@@ -21,7 +21,7 @@ WINDOW, PLAIN = 8, 4
 RUN = 13
 #: Benchmark texts' bytes that one broadcast holds, about; a larger benchmark goes out in several.
 BLOCK = 32_000_000
-MEMO = 250_000
+MEMO = 200_000
 #: Factor of a window's hash; hashes of windows with openers that are made together, about.
 POWER, FORMS = 0x9E3779B97F4A7C15, 500_000
 
