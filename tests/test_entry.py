@@ -22,7 +22,7 @@ def test_queries_match_their_oracles(spark):
     from valprint.plans.registry import ORACLES, QUERIES
 
     clean = lambda x: round(x, 9) if isinstance(x, float) else x
-    for name in ("column_attribution", "set_algebra", "histogram_steps", "signatures", "page_runs", "domain_probe"):
+    for name in ORACLES:
         df = QUERIES[name](spark, folder)
         names = sorted(df.columns)
         got = sorted((tuple(clean(r[c]) for c in names) for r in df.collect()), key=repr)

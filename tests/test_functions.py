@@ -214,3 +214,18 @@ def test_shape_and_wire(spark):
 @given(st.text(max_size=20))
 def test_fold_settles(text):
     assert fold(fold(text)) == fold(text) and pd.notna(fold(text))
+
+
+def test_hash_of_a_long_value_is_linear(spark):
+    import time
+
+    from valprint.functions.hashing import value_hash
+
+    df = spark.createDataFrame([("ab" * 500_000,)], "v string")
+    began = time.time()
+    got = df.select(value_hash("v").alias("h")).first()["h"]
+    assert time.time() - began < 20
+    h = 2166136261
+    for b in b"ab" * 500_000:
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    assert got == h

@@ -168,3 +168,12 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
     q.stop()
     got = sorted((r["start"].hour, len(r["members"])) for r in spark.table("windowed").collect())
     assert got[:2] == [(0, 2), (1, 1)]
+
+
+def test_overlaps_of_a_value_in_very_many_columns(spark):
+    from valprint.operators import match
+
+    rows = [(f"c{i:04}", "0") for i in range(400)] + [("c0000", "1"), ("c0001", "1")]
+    sets = spark.createDataFrame(rows, "cid string, val string")
+    got = match.overlaps(sets, sets)
+    assert got.count() == 400 * 399 and got.filter("inter = 2").count() == 2

@@ -195,11 +195,11 @@ def _level(sig: Column, tokens: list[str], depth: int) -> tuple[Column, list[str
 def signatures(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """The different signatures of each group with n, how many values (or how much weight) have each.
 
-    Columns hold few shapes, so what follows looks at a few rows a group and not at every value again.
+    Each distinct value is signed once. Columns hold few shapes, so what follows looks at a few rows a group.
     """
     by = by or []
-    rows = df.select(*by, signature(value).alias("sig"), (F.lit(1).cast("long") if weight is None else weight).alias("n"))
-    return rows.groupBy(*by, "sig").agg(F.sum("n").alias("n"))
+    each = df.groupBy(*by, F.col(value).alias("__val")).agg(F.sum(F.lit(1).cast("long") if weight is None else weight).alias("n"))
+    return each.select(*by, signature("__val").alias("sig"), "n").groupBy(*by, "sig").agg(F.sum("n").alias("n"))
 
 
 def profile(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -18,12 +18,11 @@ MASK = (1 << 32) - 1
 def value_hash(value: Column | str) -> Column:
     """FNV-1a of the UTF-8 bytes of a value as a long in [0, 2^32); null stays null, '' gives the basis.
 
-    It stays in the JVM. Hash distinct values where rows repeat them.
+    It stays in the JVM and takes time in proportion to the value's length. Hash distinct values where rows repeat them.
     """
     data = F.col(value).cast("string") if isinstance(value, str) else value.cast("string")
-    digits = F.hex(data.cast("binary"))
-    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
-    octets = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    pairs = F.regexp_extract_all(F.hex(data.cast("binary")), F.lit("(..)"), 1)
+    octets = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
     return F.when(data.isNotNull(), F.aggregate(octets, F.lit(FNV_BASIS).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))))
 
 

@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Pairs of columns that one row makes, at most; more are dealt to several tasks.
+MANY = 1 << 16
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """ca, cb and inter, the number of common values, for sets that share any. A set is not paired with itself.
 
-    Each value's columns are gathered once (as many as there are columns, not rows), so that a value in many
-    columns is no skewed join key; pairs are counted with partial sums.
+    Each value's columns are gathered once (as many as there are columns, not rows); pairs are counted with partial
+    sums. The pairs of a value in very many columns are made by several tasks, 64 of its columns each.
     """
     left = a.groupBy("val").agg(F.collect_set("cid").alias("cas"))
     right = b.groupBy("val").agg(F.collect_set("cid").alias("cbs"))
-    pairs = left.join(right, "val").select(F.explode("cas").alias("ca"), "cbs").select("ca", F.explode("cbs").alias("cb"))
+    both = left.join(right, "val")
+    many = F.size("cas").cast("long") * F.size("cbs") > MANY
+    starts = F.sequence(F.lit(1), F.size("cas"), F.lit(64))
+    parts = both.filter(many).select("val", "cas", "cbs", F.explode(starts).alias("at")).select("val", "at", F.slice("cas", F.col("at"), F.lit(64)).alias("cas"), "cbs")
+    dealt = parts.repartition("val", "at").select("cas", "cbs").unionByName(both.filter(~many).select("cas", "cbs"))
+    pairs = dealt.select(F.explode("cas").alias("ca"), "cbs").select("ca", F.explode("cbs").alias("cb"))
     return pairs.filter("ca <> cb").groupBy("ca", "cb").agg(F.count("*").alias("inter"))
 
 
@@ -35,6 +44,14 @@ def containment_matrix(sets: DataFrame, digits: int | None = 3) -> DataFrame:
     return c.select("ca", "cb", "inter", "na", "nb", (F.round(share, digits) if digits is not None else share).alias("containment"), (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
 
 
+def against(sets: DataFrame, chosen: DataFrame, least: int = 1) -> DataFrame:
+    """containment_matrix() of all columns in those of chosen (cid) that have least or more values, and in no others."""
+    n = sizes(sets)
+    parents = n.join(chosen, "cid", "left_semi").filter(F.col("n") >= least)
+    c = overlaps(sets, sets.join(parents.select("cid"), "cid", "left_semi")).join(n.toDF("ca", "na"), "ca").join(parents.toDF("cb", "nb"), "cb")
+    return c.withColumns({"containment": F.col("inter") / F.col("na"), "jaccard": F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))})
+
+
 def best_match(matrix: DataFrame, score: str = "containment") -> DataFrame:
     """The column that each column matches best, the first by name of equals."""
     w = Window.partitionBy("ca").orderBy(F.desc(score), "cb")

@@ -110,8 +110,8 @@ def signature_sql(v: str) -> str:
 def column_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key-like column against the key domains of eight or more values, with containment and mutual containment."""
     sets = sets_of(spark, sf_dir, KEYS)
-    m = match.containment_matrix(sets, 6).filter(F.col("cb").isin(PRIMARY) & (F.col("nb") >= 8))
-    return m.select(F.col("ca").alias("child"), F.col("cb").alias("parent"), "inter", F.col("na").alias("child_size"), F.col("nb").alias("parent_size"), "containment", F.round(F.col("inter") / F.greatest("na", "nb"), 6).alias("mutual"))
+    m = match.against(sets, spark.createDataFrame([(k,) for k in PRIMARY], "cid string"), 8)
+    return m.select(F.col("ca").alias("child"), F.col("cb").alias("parent"), "inter", F.col("na").alias("child_size"), F.col("nb").alias("parent_size"), F.round("containment", 6).alias("containment"), F.round(F.col("inter") / F.greatest("na", "nb"), 6).alias("mutual"))
 
 
 @query("value_hashes", f"SELECT cid, val, {HASH_SQL.format(v='val')}::BIGINT AS hash FROM (SELECT DISTINCT cid, val FROM ({cells_sql(NAMES)}))")
@@ -274,7 +274,10 @@ def _kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="valprint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="valprint-"))
     return df.checkpoint()
 
 
@@ -294,17 +297,39 @@ def domain_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.domain_cover(values, domains).withColumns({c: F.round(c, 6) for c in ("marginal", "coverage")})
 
 
-@query("leader_clusters")
+LEADERS_SQL = f"""{matrix_sql(KEYS).replace("WITH s AS", "WITH RECURSIVE s AS", 1)}, o AS (SELECT cid, row_number() OVER (ORDER BY n DESC, cid) AS k FROM n),
+      j AS (SELECT ca, list({{'k': o.k, 'cb': cb, 'jac': inter / (na + nb - inter)}} ORDER BY o.k) AS near FROM m JOIN o ON o.cid = cb WHERE inter / (na + nb - inter) >= 0.8 GROUP BY ca),
+      c AS (SELECT o.cid, o.k, coalesce(near, []) AS near FROM o LEFT JOIN j ON j.ca = o.cid),
+      r(k, leaders, cid, leader, jaccard) AS (
+        SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE
+        UNION ALL
+        SELECT k, CASE WHEN first IS NULL THEN list_append(leaders, cid) ELSE leaders END, cid, coalesce(first.cb, cid), coalesce(first.jac, 1.0)
+        FROM (SELECT c.k, r.leaders, c.cid, list_filter(c.near, lambda x: list_contains(r.leaders, x.cb))[1] AS first FROM r JOIN c ON c.k = r.k + 1))"""
+
+
+@query("leader_clusters", f"{LEADERS_SQL} SELECT cid, leader, jaccard FROM r WHERE cid IS NOT NULL")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.leader_clusters(_kept(sets_of(spark, sf_dir, KEYS)))
 
 
-@query("recognised_columns")
+SLAB = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus"]}
+RECOGNISED_SQL = f"""WITH s AS (SELECT DISTINCT cid, val FROM ({cells_sql(SLAB)})),
+      l AS (SELECT DISTINCT cid, val FROM ({cells_sql({**{t: [c for c in cs if f"{t}.{c}" in PRIMARY] for t, cs in KEYS.items() if any(f"{t}.{c}" in PRIMARY for c in cs)}})} UNION ALL {cells_sql({"orders": ["o_orderstatus"]})})),
+      k AS (SELECT cid, count(*) AS na, CASE WHEN bool_and(regexp_full_match(val, '[-+]?[0-9]+')) THEN 'integer'
+        WHEN bool_and(regexp_full_match(val, '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?')) THEN 'numeric' ELSE 'string' END AS family FROM s GROUP BY cid),
+      i AS (SELECT s.cid AS ca, l.cid AS cb, count(*) AS inter FROM s JOIN l USING (val) WHERE s.cid <> l.cid GROUP BY 1, 2),
+      c AS (SELECT ca, cb, inter / na AS containment, row_number() OVER (PARTITION BY ca ORDER BY inter / na DESC, cb) AS place FROM i JOIN k ON k.cid = ca
+        WHERE family = CASE WHEN cb = 'orders.o_orderstatus' THEN 'string' ELSE 'integer' END),
+      t AS (SELECT k.cid, family, CASE WHEN coalesce(b.containment, 0) >= 0.6 THEN 'key' WHEN family IN ('integer', 'numeric') THEN 'measure' ELSE 'unknown' END AS role, c.cb AS domain, c.containment, c.place::INTEGER AS place
+        FROM k LEFT JOIN c b ON b.ca = k.cid AND b.place = 1 LEFT JOIN c ON c.ca = k.cid AND c.place <= 5)"""
+
+
+@query("recognised_columns", f"{RECOGNISED_SQL} SELECT * FROM t")
 def recognised_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of line items, as if unnamed, against the library of keys and names."""
     library = sets_of(spark, sf_dir, {t: [c for c in cs if f"{t}.{c}" in PRIMARY] for t, cs in KEYS.items() if any(f"{t}.{c}" in PRIMARY for c in cs)}).unionByName(sets_of(spark, sf_dir, {"orders": ["o_orderstatus"]}))
     families = spark.createDataFrame([(k, "integer") for k in PRIMARY] + [("orders.o_orderstatus", "string")], "cid string, family string")
-    slab = sets_of(spark, sf_dir, {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus"]})
+    slab = sets_of(spark, sf_dir, SLAB)
     return match.recognised_columns(slab, library, families)
 
 
@@ -352,7 +377,7 @@ def target_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.target_popularity(spark.createDataFrame(rows, "tbl string, from_col string, target_tbl string"))
 
 
-@query("candidate_tables")
+@query("candidate_tables", f"{RECOGNISED_SQL} SELECT split_part(domain, '.', 1) AS tbl, string_agg(cid, ',' ORDER BY cid) AS columns FROM t WHERE role = 'key' AND place = 1 GROUP BY 1")
 def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.candidate_tables(recognised_columns(spark, sf_dir))
     return found.select("tbl", F.array_join("columns", ",").alias("columns"))
@@ -375,7 +400,7 @@ FOUND_SQL = f"{matrix_sql(KEYS)}, f AS (SELECT ca AS cid, cb AS domain, inter /
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = sets_of(spark, sf_dir, KEYS)
-    m = match.containment_matrix(sets, None).filter(F.col("cb").isin(PRIMARY)).select(F.col("ca").alias("cid"), F.col("cb").alias("domain"), "containment")
+    m = match.against(sets, spark.createDataFrame([(k,) for k in PRIMARY], "cid string")).select(F.col("ca").alias("cid"), F.col("cb").alias("domain"), "containment")
     return m.unionByName(spark.createDataFrame([(k, k, 1.0) for k in PRIMARY], "cid string, domain string, containment double"))
 
 
@@ -394,7 +419,14 @@ def domain_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.aliases(_found(spark, sf_dir))
 
 
-@query("relation_arrows")
+ARROWS_SQL = f"""WITH k(tbl, col, target) AS (VALUES {", ".join(f"('{a.split('.')[0]}', '{a.split('.')[1]}', '{b.split('.')[0]}')" for a, b in FOREIGN)}),
+      p(tbl, col) AS (VALUES {", ".join(f"('{k.split('.')[0]}', '{k.split('.')[1]}')" for k in PRIMARY)}),
+      c AS ({" UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name AS col, column_type AS kind, row_number() OVER () AS ord FROM (DESCRIBE {t})" for t in KEYS)}),
+      g AS (SELECT c.tbl, c.col, c.ord, p.col IS NOT NULL AS key, CASE WHEN target IS NOT NULL THEN 'domain:' || target WHEN regexp_matches(kind, 'INT|NUMERIC|REAL|DEC|DOUBLE|FLOAT') THEN 'measure'
+        WHEN regexp_matches(kind, 'DATE|TIME') THEN 'temporal' ELSE 'text' END AS tag FROM c LEFT JOIN k ON k.tbl = c.tbl AND k.col = c.col LEFT JOIN p ON p.tbl = c.tbl AND p.col = c.col)"""
+
+
+@query("relation_arrows", f"{ARROWS_SQL} SELECT tbl AS relvar, '{{ ' || coalesce(string_agg(col, ', ' ORDER BY ord) FILTER (WHERE key), '') || ' }}' AS d, '{{ ' || coalesce(string_agg(col || ':' || tag, ', ' ORDER BY ord) FILTER (WHERE NOT key), '') || ' }}' AS c FROM g GROUP BY tbl")
 def relation_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and typed columns of each table, from its own schema."""
     rows = []
