@@ -72,11 +72,19 @@ def composites(defined: dict[str, str]) -> dict[str, dict]:
     return out
 
 
-def composite_matches(symbols: DataFrame, defined: dict[str, str]) -> DataFrame:
-    """name, surrogate and matched, the symbols (sym) of each valid composite."""
+def composite_symbols(symbols: DataFrame, defined: dict[str, str]) -> DataFrame:
+    """name, surrogate, sym: a row for each valid composite and each symbol (sym) that it matches."""
     sig = symbols.select("sym", charclass.signature("sym").alias("sig"))
     rows = F.array(*[F.struct(F.lit(n).alias("name"), sha256(F.lit(c["canonical"])).alias("surrogate"), charclass.matches(F.col("sig"), c["expanded"]).alias("hit")) for n, c in composites(defined).items() if c["valid"]])
-    return sig.select("sym", F.explode(rows).alias("r")).groupBy("r.name", "r.surrogate").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("r.hit"), F.col("sym")))), ", ").alias("matched"))
+    return sig.select("sym", F.explode(rows).alias("r")).filter("r.hit").select("r.name", "r.surrogate", "sym")
+
+
+def composite_matches(symbols: DataFrame, defined: dict[str, str]) -> DataFrame:
+    """name, surrogate and matched, the symbols (sym) of each valid composite in one text: for a few symbols to look at."""
+    valid = [(n, c["canonical"]) for n, c in composites(defined).items() if c["valid"]]
+    names = symbols.sparkSession.createDataFrame(valid, "name string, canonical string").select("name", sha256("canonical").alias("surrogate"))
+    listed = composite_symbols(symbols, defined).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("sym")), ", ").alias("matched"))
+    return names.join(listed, "name", "left").select("name", "surrogate", F.coalesce("matched", F.lit("")).alias("matched"))
 
 
 def envelope_report(members: DataFrame, declared: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
-from valprint.operators import catalog, match, pages, registry
+from valprint.operators import catalog, formulas, match, pages, registry
 from valprint.operators.cells import canonical, cells, fingerprints, frequencies, value_sets
 from valprint.plans.registry import query
 from valprint.sources.tables import parquet
@@ -159,14 +159,14 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_probe",
     """WITH p AS (SELECT r_regionkey, list_distinct(list(n_name)) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1),
-      d AS (SELECT list_distinct(list(n_name)) AS all_names FROM nation WHERE n_name < 'J')
+      d AS (SELECT list_distinct(list(n_name)) AS all_names FROM nation WHERE n_name < 'NATION_2')
       SELECT r_regionkey, len(names)::BIGINT AS members, round(len(list_intersect(names, all_names)) / len(names), 6) AS containment FROM p, d""",
 )
 def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations of each region as JSON, probed against the set of nations before J."""
+    """The nations of each region as JSON, probed against the set of nations before NATION_2."""
     nation = parquet(spark, sf_dir, "nation")
     probes = nation.join(parquet(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.to_json(F.collect_list("n_name")).alias("j"))
-    domain = nation.filter("n_name < 'J'").agg(sketch.build("n_name").alias("d"))
+    domain = nation.filter("n_name < 'NATION_2'").agg(sketch.build("n_name").alias("d"))
     return probes.crossJoin(F.broadcast(domain)).select("r_regionkey", sketch.cardinality(sketch.from_json_array("j")).alias("members"), F.round(sketch.containment_json(F.col("j"), F.col("d")), 6).alias("containment"))
 
 
@@ -371,10 +371,17 @@ def layered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.layered_keys(sets, looked, keys).withColumn("containment", F.round("containment", 6))
 
 
-@query("target_popularity", f"WITH k(target_tbl) AS (VALUES {', '.join(f'({chr(39)}{b.split(chr(46))[0]}{chr(39)})' for _, b in FOREIGN)}) SELECT target_tbl, count(*) AS n FROM k GROUP BY 1")
+@query(
+    "target_popularity",
+    f"""{matrix_sql({t: c for t, c in KEYS.items() if t != "events"})}
+    SELECT split_part(cb, '.', 1) AS target_tbl, count(*) AS n FROM m WHERE cb IN ({", ".join(f"'{k}'" for k in PRIMARY)}) AND nb >= 8 AND inter / na >= 0.95 GROUP BY 1""",
+)
 def target_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a.split(".")[0], a.split(".")[1], b.split(".")[0]) for a, b in FOREIGN]
-    return catalog.target_popularity(spark.createDataFrame(rows, "tbl string, from_col string, target_tbl string"))
+    """How many columns refer to each table, as their values show."""
+    sets = sets_of(spark, sf_dir, {t: c for t, c in KEYS.items() if t != "events"})
+    found = match.discovered_keys(sets, spark.createDataFrame([(k,) for k in PRIMARY], "cid string"))
+    part = lambda c, i: F.substring_index(c, ".", i)
+    return catalog.target_popularity(found.select(part("child", 1).alias("tbl"), part("child", -1).alias("from_col"), part("parent", 1).alias("target_tbl")))
 
 
 @query("candidate_tables", f"{RECOGNISED_SQL} SELECT split_part(domain, '.', 1) AS tbl, string_agg(cid, ',' ORDER BY cid) AS columns FROM t WHERE role = 'key' AND place = 1 GROUP BY 1")
@@ -624,3 +631,174 @@ def registry_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each domain's set in the portable format, with its checksum."""
     s = sets_of(spark, sf_dir, NAMES).groupBy("cid").agg(sketch.build("val").alias("s"))
     return s.select("cid", codec.to_base64(F.col("s")).alias("filter_b64"), codec.checksum(F.col("s")).alias("checksum"))
+
+
+# Exchange forms of sets and histograms
+
+
+@query(
+    "json_probe_normalized",
+    """WITH p AS (SELECT r_regionkey, list_distinct(list(lower(n_name))) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1),
+      d AS (SELECT list_distinct(list(lower(n_name))) AS all_names FROM nation WHERE n_name < 'NATION_2')
+      SELECT r_regionkey, len(names)::BIGINT AS members, round(len(list_intersect(names, all_names)) / len(names), 6) AS containment FROM p, d""",
+)
+def json_probe_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region as JSON in lower case, probed without case against the nations before NATION_2."""
+    nation = parquet(spark, sf_dir, "nation")
+    probes = nation.join(parquet(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.to_json(F.collect_list(F.lower("n_name"))).alias("j"))
+    domain = nation.filter("n_name < 'NATION_2'").agg(sketch.build("n_name", normalize=True).alias("d"))
+    return probes.crossJoin(F.broadcast(domain)).select("r_regionkey", sketch.cardinality(sketch.from_json_array("j", normalize=True)).alias("members"), F.round(sketch.containment_json(F.col("j"), F.col("d"), normalize=True), 6).alias("containment"))
+
+
+#: Columns of few values, for what holds a set in one row.
+CODES = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type"]}
+
+
+@query(
+    "base64_sets",
+    f"""WITH s AS (SELECT DISTINCT cid, val, {HASH_SQL.format(v="val")}::BIGINT AS h FROM ({cells_sql(CODES)}))
+    SELECT cid, count(*) AS members, min(h) AS least, max(h) AS most, bool_or(val = 'NATION_7') AS has_nation, count(*) FILTER (WHERE val IN ('O', 'F', 'NATION_7')) AS common FROM s GROUP BY cid""",
+)
+def base64_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of codes sent as base64 text and read back: size, ends, one member, and what they share with three values."""
+    sent = sets_of(spark, sf_dir, CODES).groupBy("cid").agg(codec.to_base64(sketch.build("val")).alias("text"))
+    s = F.col("s")
+    three = sketch.from_array(F.array(*[value_hash(F.lit(x)) for x in ("O", "F", "NATION_7")]))
+    return sent.select("cid", codec.from_base64(F.col("text")).alias("s")).select(
+        "cid", sketch.cardinality(s).alias("members"), F.array_min(sketch.to_array(s)).alias("least"), F.array_max(sketch.to_array(s)).alias("most"),
+        sketch.contains(s, value_hash(F.lit("NATION_7"))).alias("has_nation"), sketch.cardinality(sketch.intersect(s, three)).alias("common"),
+    )
+
+
+@query(
+    "probe_all",
+    """WITH p AS (SELECT n_regionkey, n_name FROM nation), k(idx) AS (VALUES (0), (1), (2), (3)),
+      d AS (SELECT idx, n_name FROM nation JOIN k ON (idx = 0 AND n_name < 'NATION_2') OR (idx = 1 AND n_name >= 'NATION_2') OR idx = 2),
+      n AS (SELECT k.idx, count(n_name) AS nd FROM k LEFT JOIN d USING (idx) GROUP BY 1), q AS (SELECT n_regionkey, count(*) AS np FROM p GROUP BY 1),
+      h AS (SELECT n_regionkey, idx, count(*) AS i FROM p JOIN d USING (n_name) GROUP BY 1, 2)
+    SELECT q.n_regionkey, n.idx, round(coalesce(i, 0) / np, 6) AS containment, round(coalesce(i, 0) / (np + nd - coalesce(i, 0)), 6) AS jaccard FROM q CROSS JOIN n LEFT JOIN h ON h.n_regionkey = q.n_regionkey AND h.idx = n.idx""",
+)
+def probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region against four sets at once, the last of them empty."""
+    nation = parquet(spark, sf_dir, "nation")
+    part = lambda keep: sketch.build(F.when(keep, F.col("n_name")))
+    name = F.col("n_name")
+    refs = nation.agg(F.array(part(name < "NATION_2"), part(name >= "NATION_2"), sketch.build("n_name"), part(name < "A")).alias("refs"))
+    sets = nation.groupBy("n_regionkey").agg(sketch.build("n_name").alias("s"))
+    each = sets.crossJoin(F.broadcast(refs)).select("n_regionkey", F.explode(sketch.probe_all(F.col("s"), F.col("refs"))).alias("r"))
+    return each.select("n_regionkey", "r.idx", F.round("r.containment", 6).alias("containment"), F.round("r.jaccard", 6).alias("jaccard"))
+
+
+@query(
+    "histogram_wire",
+    """WITH w AS (SELECT o_orderstatus AS g, lower(o_orderpriority) AS k, count(*)::DOUBLE AS f FROM orders GROUP BY 1, 2)
+    SELECT g, count(*) AS steps, sum(f) AS total_rows, round(count(*) / sum(f), 8) AS cardinality_ratio, 0.25::DOUBLE AS discreteness, count(*)::BIGINT AS members, max(f) AS heaviest FROM w GROUP BY g""",
+)
+def histogram_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms without case, one measure set from outside, sent as JSON text and read back."""
+    w = parquet(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("g"), F.col("o_orderpriority").alias("k")).agg(F.count("*").cast("double").alias("f"))
+    h = histogram.build_weighted(w, ["g"], "k", "f", normalize=True).select("g", histogram.to_wire(histogram.set_shape(F.col("histogram"), discreteness=0.25)).alias("text"))
+    b = h.select("g", histogram.from_wire(F.col("text")).alias("h"))
+    return b.select("g", "h.steps", "h.total_rows", F.round(F.col("h.shape.cardinality_ratio"), 8).alias("cardinality_ratio"), F.col("h.shape.discreteness").alias("discreteness"), sketch.cardinality(histogram.bitmap(F.col("h"))).alias("members"), F.array_max(F.map_values("h.weights")).alias("heaviest"))
+
+
+# Declared shapes, composites and refinements
+
+
+DECLARED = [("nation.n_name", "has_upper"), ("nation.n_name", "has_digit"), ("region.r_name", "all_upper"), ("orders.o_orderpriority", "has_dash"), ("orders.o_orderpriority", "no_such_feature")]
+BITS_SQL = f"b(bit, name) AS (VALUES {', '.join(f'({b}, {chr(39)}{n}{chr(39)})' for b, n in charclass.FEATURES.items())})"
+SYMS_SQL = f"g AS (SELECT val, ({signature_sql('val')})::BIGINT AS sig FROM (SELECT DISTINCT val FROM ({cells_sql(CODES)})))"
+
+
+@query(
+    "envelope_junction",
+    f"""WITH g AS (SELECT cid, ({signature_sql("val")})::BIGINT AS sig FROM (SELECT DISTINCT cid, val FROM ({cells_sql(CODES)}))), {BITS_SQL},
+      d(cid, name) AS (VALUES {", ".join(f"('{a}', '{n}')" for a, n in DECLARED)}), n AS (SELECT cid, bit_and(sig) AS need FROM g GROUP BY cid),
+      r AS (SELECT n.cid, bit, b.name, ((need >> bit) & 1) = 1 AS need, d.name IS NOT NULL AS claim FROM n CROSS JOIN b LEFT JOIN d ON d.cid = n.cid AND d.name = b.name)
+    SELECT cid AS domain, coalesce(string_agg(name, ',' ORDER BY bit) FILTER (WHERE need AND NOT claim), '') AS underdeclared, coalesce(string_agg(name, ',' ORDER BY bit) FILTER (WHERE claim AND NOT need), '') AS overdeclared FROM r GROUP BY cid""",
+)
+def envelope_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all codes of a column have and what was declared of them."""
+    return registry.envelope_report(sets_of(spark, sf_dir, CODES).toDF("domain", "m"), spark.createDataFrame(DECLARED, "domain string, feature_name string"))
+
+
+@query("broken_features", f"WITH {BITS_SQL}, d(domain, name) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{n}{chr(39)})' for a, n in DECLARED)}) SELECT domain, name AS broken_fk FROM d WHERE name NOT IN (SELECT name FROM b)")
+def broken_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared features that the vocabulary lacks."""
+    return registry.broken_features(spark.createDataFrame(DECLARED, "domain string, feature_name string"))
+
+
+@query(
+    "refined_stragglers",
+    f"""WITH {SYMS_SQL}, k AS (SELECT (sig & {1 << 1}) <> 0 AS o, (sig & {1 << 1}) <> 0 AND (sig & {1 << 2}) = 0 AS k, (sig & {1 << 22}) <> 0 AS c FROM g)
+    SELECT count(*) FILTER (WHERE o) AS old_syms, count(*) FILTER (WHERE k) AS new_syms, count(*) FILTER (WHERE o AND NOT k) AS dropped, count(*) FILTER (WHERE k AND NOT c) AS dirt_wrongly_kept, count(*) FILTER (WHERE o AND NOT k AND c) AS clean_wrongly_dropped FROM k""",
+)
+def refined_stragglers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a narrower expression drops of all codes, and whether it should."""
+    symbols = sets_of(spark, sf_dir, CODES).select(F.col("val").alias("sym")).distinct()
+    return registry.refined_counts(symbols, "has_upper", "has_upper & !has_lower", "all_upper")
+
+
+@query(
+    "composite_symbols",
+    f"""WITH {SYMS_SQL} SELECT 'plain' AS name, sha256('has_upper&!has_lower') AS surrogate, val AS sym FROM g WHERE (sig & {1 << 1}) <> 0 AND (sig & {1 << 2}) = 0
+      UNION ALL SELECT 'ranked', sha256('(has_upper&!has_lower)&has_dash'), val FROM g WHERE (sig & {1 << 1}) <> 0 AND (sig & {1 << 2}) = 0 AND (sig & {1 << 6}) <> 0""",
+)
+def composite_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that named expressions match, one of them built on the other; two that cannot be resolved match nothing."""
+    symbols = sets_of(spark, sf_dir, CODES).select(F.col("val").alias("sym")).distinct()
+    return registry.composite_symbols(symbols, {"plain": "has_upper & !has_lower", "ranked": "plain & has_dash", "loop": "loop | plain", "lost": "no_such_feature"})
+
+
+@query("near_boxes", "SELECT a.l_orderkey AS page_id, a.l_partkey::VARCHAR AS text, b.l_partkey::VARCHAR AS other FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber BETWEEN 1 AND 2 AND b.l_linenumber BETWEEN 3 AND 7 AND abs(a.l_quantity::DOUBLE - b.l_quantity::DOUBLE) < 5")
+def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes of a page: the first two lines beside later ones of nearly the same quantity."""
+    boxes = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"), F.col("l_partkey").cast("string").alias("text"))
+    return registry.near_boxes(boxes, (1.0, 2.0), (3.0, 7.0), 5.0)
+
+
+# Steps with keys, and formulas
+
+
+STEP_KEYS = {c for c, _ in FOREIGN}
+PK_COLUMNS = {**{k: 1 for k in PRIMARY}, "lineitem.l_orderkey": 2, "lineitem.l_linenumber": 2}
+
+
+@query(
+    "key_step_classes",
+    f"""WITH f AS (SELECT cid, val, count(*)::DOUBLE AS eq FROM ({cells_sql(KEYS)}) GROUP BY 1, 2), t AS (SELECT cid, count(*) AS c, sum(eq) AS rows, avg(eq) AS aeq FROM f GROUP BY cid),
+      p(cid, pk) AS (VALUES {", ".join(f"('{k}', {n})" for k, n in PK_COLUMNS.items())})
+    SELECT t.cid, CASE WHEN t.cid IN ({", ".join(f"'{k}'" for k, _ in FOREIGN)}) THEN 'dimension key' WHEN pk > 1 THEN 'degenerate dimension' WHEN pk = 1 THEN 'surrogate key'
+      WHEN c / rows < 0.1 AND aeq > 100 THEN 'low-cardinality dimension' WHEN aeq > 5 THEN 'dimension' WHEN c / rows > 0.5 AND aeq < 2 THEN 'measure' ELSE 'ambiguous' END AS class FROM t LEFT JOIN p ON p.cid = t.cid""",
+)
+def key_step_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key-like column by its keys first, then by the steps of its values."""
+    zero = F.lit(0.0)
+    steps = frequencies(all_cells(spark, sf_dir, KEYS)).select("cid", F.col("freq").alias("equal_rows"), zero.alias("range_rows"), zero.alias("distinct_range_rows"), zero.alias("average_range_rows"))
+    kinds = spark.createDataFrame([(k, k in STEP_KEYS, PK_COLUMNS.get(k, 0)) for k in sorted({f"{t}.{c}" for t, cs in KEYS.items() for c in cs})], "cid string, fk boolean, pk int")
+    f = catalog.step_features(steps, ["cid"]).join(kinds, "cid")
+    return f.select("cid", catalog.step_class(F.col("fk"), F.col("pk")).alias("class"))
+
+
+FORMULAS_SQL = "SELECT l_returnflag AS sheet, 'B' || l_orderkey || '_' || l_linenumber AS cell, CASE l_linenumber % 3 WHEN 0 THEN 'SUM(@1)*#' WHEN 1 THEN 'IF(@1>#,@1,@2)' ELSE '@1+@2' END AS indexed, CASE l_linenumber % 3 WHEN 0 THEN 'SUM(@)*#' WHEN 1 THEN 'IF(@>#,@,@)' ELSE '@+@' END AS flat FROM lineitem"
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three forms of formulas over line items, with other cells and numbers in each."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    row = F.concat(n.cast("string"))
+    total = F.concat(F.lit("=SUM(A"), row, F.lit(":A"), (n + 3).cast("string"), F.lit(")*"), F.col("l_suppkey").cast("string"))
+    choice = F.concat(F.lit("= if($C"), row, F.lit(" > "), F.col("l_suppkey").cast("string"), F.lit(", $C"), row, F.lit(", D$"), row, F.lit(")"))
+    return parquet(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.concat(F.lit("B"), k, F.lit("_"), row).alias("cell"), F.when(n % 3 == 0, total).when(n % 3 == 1, choice).otherwise(F.concat(F.lit("=A"), row, F.lit("+B"), row)).alias("formula"))
+
+
+@query("formula_clones", f"SELECT indexed AS skeleton, count(*) AS n, arg_min(sheet, (sheet, cell)) AS sheet, arg_min(cell, (sheet, cell)) AS cell FROM ({FORMULAS_SQL}) GROUP BY 1")
+def formula_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas by their skeleton with numbered holes."""
+    return formulas.clones(_formulas(spark, sf_dir)).select("skeleton", "n", "first.sheet", "first.cell")
+
+
+@query("popular_formulas", f"SELECT flat AS skeleton, count(*) AS n FROM ({FORMULAS_SQL}) GROUP BY 1 HAVING count(*) >= 2")
+def popular_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat skeletons by how often they come."""
+    return formulas.popular(_formulas(spark, sf_dir))
