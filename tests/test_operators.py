@@ -177,3 +177,22 @@ def test_overlaps_of_a_value_in_very_many_columns(spark):
     sets = spark.createDataFrame(rows, "cid string, val string")
     got = match.overlaps(sets, sets)
     assert got.count() == 400 * 399 and got.filter("inter = 2").count() == 2
+
+
+def test_reference_paths_end_in_cycles(spark):
+    hops = spark.createDataFrame([("a", "x", "b", 1.0), ("b", "y", "c", 0.5), ("c", "z", "a", 1.0), ("d", "me", "d", 1.0)], "consumer string, via_col string, producer string, confidence double")
+    got = {(r["consumer"], r["producer"], r["path"], r["hops"], r["confidence"]) for r in catalog.reference_paths(hops).collect()}
+    assert got == {("a", "b", "a.x", 1, 1.0), ("b", "c", "b.y", 1, 0.5), ("c", "a", "c.z", 1, 1.0), ("a", "c", "a.x > b.y", 2, 0.5), ("b", "a", "b.y > c.z", 2, 0.5), ("c", "b", "c.z > a.x", 2, 1.0)}
+    assert catalog.reference_paths(hops.limit(0)).isEmpty()
+
+
+def test_declared_family_strips_sizes_and_case(spark):
+    rows = spark.createDataFrame([("DECIMAL(15, 2)",), (" Int ",), ("blob",), (None,)], "kind string")
+    got = [r[0] for r in rows.select(catalog.declared_family(F.col("kind"), {"decimal": "numeric", "INT": "integer"})).collect()]
+    assert got == ["numeric", "integer", None, None]
+
+
+def test_composite_symbols_are_rows(spark):
+    symbols = spark.createDataFrame([("AB",), ("A-B",), ("ab",), (None,)], "sym string")
+    got = {(r["name"], r["sym"]) for r in registry.composite_symbols(symbols, {"up": "has_upper & !has_lower", "dashed": "up & has_dash", "loop": "loop"}).collect()}
+    assert got == {("up", "AB"), ("up", "A-B"), ("dashed", "A-B")}

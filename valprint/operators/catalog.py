@@ -70,3 +70,31 @@ def arrows(columns: DataFrame, keys: DataFrame) -> DataFrame:
 def target_popularity(keys: DataFrame) -> DataFrame:
     """target_tbl and n, how many columns refer to it. keys: tbl, from_col, target_tbl."""
     return keys.groupBy("target_tbl").agg(F.count("*").alias("n"))
+
+
+def declared_family(kind: Column, families: dict[str, str]) -> Column:
+    """The family of a declared type without its sizes in parentheses and without case; null if families lacks it."""
+    name = F.lower(F.trim(F.substring_index(kind, "(", 1)))
+    return F.element_at(F.create_map(*[F.lit(x) for n, f in families.items() for x in (n.lower(), f)]), name)
+
+
+def reference_paths(hops: DataFrame) -> DataFrame:
+    """consumer, producer, path, hops, confidence: every way from a table to another along references.
+
+    hops has consumer, via_col, producer and confidence, a row a reference; a path's confidence is the product of its
+    hops'. No path meets a table twice, so cycles end. Each round is a join of tables as small as the catalog, cut by
+    checkpoint; there are as many rounds as the longest path has hops.
+    """
+    step = F.concat("consumer", F.lit("."), "via_col")
+    hops = hops.filter("consumer <> producer").checkpoint()
+    ends = hops.select("consumer", "producer", step.alias("path"), F.lit(1).alias("hops"), "confidence", F.array("consumer", "producer").alias("met"))
+    found = [ends]
+    nexts = hops.select(F.col("consumer").alias("producer"), step.alias("step"), F.col("producer").alias("to"), F.col("confidence").alias("more"))
+    while not ends.isEmpty():
+        longer = ends.join(nexts, "producer").filter(~F.array_contains("met", F.col("to")))
+        ends = longer.select("consumer", F.col("to").alias("producer"), F.concat_ws(" > ", "path", "step").alias("path"), (F.col("hops") + 1).alias("hops"), (F.col("confidence") * F.col("more")).alias("confidence"), F.concat("met", F.array("to")).alias("met")).checkpoint()
+        found.append(ends)
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    return whole.drop("met")

@@ -802,3 +802,35 @@ def formula_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def popular_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat skeletons by how often they come."""
     return formulas.popular(_formulas(spark, sf_dir))
+
+
+# Ways between tables, and declared types
+
+
+@query(
+    "reference_paths",
+    f"""{matrix_sql(KEYS).replace("WITH s", "WITH RECURSIVE s", 1)}, k(child, parent) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in FOREIGN)}),
+      h AS (SELECT split_part(child, '.', 1) AS consumer, child, split_part(parent, '.', 1) AS producer, round(coalesce(inter, 0) / n.n, 3) AS c FROM k JOIN n ON n.cid = child LEFT JOIN m ON ca = child AND cb = parent),
+      r AS (SELECT consumer, producer, child AS path, 1 AS hops, c AS confidence, [consumer, producer] AS met FROM h
+        UNION ALL SELECT r.consumer, h.producer, path || ' > ' || child, hops + 1, confidence * c, list_append(met, h.producer) FROM r JOIN h ON h.consumer = r.producer WHERE NOT list_contains(met, h.producer))
+    SELECT consumer, producer, path, hops, round(confidence, 6) AS confidence FROM r""",
+)
+def reference_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way from a table to another along declared references, with how far the values bear it out."""
+    part = lambda c, i: F.substring_index(c, ".", i)
+    hops = key_validation(spark, sf_dir).select(part("child", 1).alias("consumer"), part("child", -1).alias("via_col"), part("parent", 1).alias("producer"), F.col("containment").alias("confidence"))
+    return catalog.reference_paths(_kept(hops)).withColumn("confidence", F.round("confidence", 6))
+
+
+TYPE_FAMILIES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "integer": "integer", "bigint": "integer", "float": "numeric", "double": "numeric", "decimal": "numeric", "string": "text", "varchar": "text"}
+
+
+@query(
+    "declared_families",
+    f"""WITH f(kind, family) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TYPE_FAMILIES.items())}), c AS ({" UNION ALL ".join(f"SELECT '{t}.' || column_name AS cid, lower(split_part(column_type, '(', 1)) AS kind FROM (DESCRIBE {t})" for t in KEYS)})
+    SELECT cid, family FROM c LEFT JOIN f USING (kind)""",
+)
+def declared_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family of every column's declared type; dates and times have none here."""
+    rows = [(f"{t}.{c}", kind) for t in KEYS for c, kind in parquet(spark, sf_dir, t).dtypes]
+    return spark.createDataFrame(rows, "cid string, kind string").select("cid", catalog.declared_family(F.col("kind"), TYPE_FAMILIES).alias("family"))
