@@ -26,6 +26,25 @@ HEAD = struct.Struct("<4sIQQQQ")
 MAGIC = b"VP8B"
 
 
+def _selectors(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """For each place the selector of the most ids from there on that one word holds, 0 if only an escape holds the id."""
+    # the first selector wide enough for an id; nothing is asked beyond a block's end, so a last word may be part-filled
+    need = np.zeros(blocks * BLOCK, np.uint8)
+    need[: len(ids)] = 1
+    for bits in BITS[1:]:
+        need[: len(ids)] += ids >= np.uint64(1 << int(bits))
+    most = np.pad(need.reshape(blocks, BLOCK), ((0, 0), (0, int(COUNT[1]) - 1)))
+    choice = np.zeros((blocks, BLOCK), np.int64)
+    span = 1
+    for s in range(len(COUNT) - 1, 0, -1):
+        wider = int(COUNT[s]) - span  # no count is over twice the one before
+        if wider:
+            most = np.maximum(most[:, :-wider], most[:, wider:])
+            span += wider
+        choice[most[:, :BLOCK] <= s] = s
+    return choice.ravel()[: len(ids)]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) and each block's first word, with the number of words at the end, of unsigned ids."""
     ids = ids.astype(np.uint64)
@@ -35,35 +54,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
     index = np.arange(n)
     left = np.minimum((index // BLOCK + 1) * BLOCK, n) - index
-    choice = np.zeros(n, np.int64)  # escape, if nothing else holds the value
-    open_ = np.ones(n, bool)
-    top = int(ids.max()).bit_length()
-    for s in range(1, len(COUNT)):
-        if not open_.any():
-            break
-        if BITS[s] >= 64 or top <= BITS[s]:
-            fits = open_
-        else:
-            bad = np.where(ids >> np.uint64(BITS[s]), index, n)
-            reach = np.minimum.accumulate(bad[::-1])[::-1] - index
-            fits = open_ & (reach >= np.minimum(COUNT[s], left))
-        choice[fits] = s
-        open_ &= ~fits
+    choice = _selectors(ids, blocks)
     step = np.minimum(COUNT[choice], left)
     # all blocks walk from word to word together
     at = np.arange(blocks) * BLOCK
     end = np.minimum(at + BLOCK, n)
-    block = np.arange(blocks)
-    starts, owners = [], []
+    first = np.zeros(n, bool)  # of a word
     while len(at):
-        starts.append(at)
-        owners.append(block)
+        first[at] = True
         at = at + step[at]
         more = at < end
-        at, end, block = at[more], end[more], block[more]
-    starts, owners = np.concatenate(starts), np.concatenate(owners)
-    order = np.argsort(starts)
-    starts, owners = starts[order], owners[order]
+        at, end = at[more], end[more]
+    starts = np.flatnonzero(first)
     select = choice[starts]
     width = np.where(select == 0, 2, 1)
     place = np.cumsum(width) - width
@@ -77,7 +79,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(int(COUNT[s])):
             live = mine[step[starts[mine]] > j]
             words[place[live]] |= ids[starts[live] + j] << np.uint64(j * BITS[s])
-    offsets = np.append(np.bincount(owners, width, minlength=blocks).cumsum() - np.bincount(owners, width, minlength=blocks), len(words))
+    offsets = np.append(place[np.searchsorted(starts, np.arange(blocks) * BLOCK)], len(words))
     return words, offsets.astype(np.uint32)
 
 
