@@ -98,12 +98,24 @@ def kept(key: tuple, make: Callable):
 
 
 def forget() -> None:
-    """Gives up what a Python worker keeps, and its memory back to the machine where that is possible."""
+    """Gives up what a Python worker keeps, and its free memory back to the machine where that is possible."""
     if _kept:
         _kept.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forgetful(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, in a worker that keeps nothing of other operators and gives its memory back after each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        forget()
+
+    return task
 
 
 def held_out(doc_id: str = "doc_id"):
