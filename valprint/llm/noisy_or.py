@@ -21,9 +21,8 @@ from valprint.llm.shared import held_out, kept, kept_rows, slices
 #: Labelled doc_ids that the model learns from, at most; characters of their texts that the driver holds at most; a
 #: single text has at most a hundredth of them; and rows for each of these doc_ids on average, at most.
 SAMPLE, CHARS, ROWS = 8_000, 64_000_000, 2
-#: Standard errors by which a feature's share of toxic documents must differ from that of others; documents in which
-#: it must occur.
-SIGNIFICANT, LEAST = 6.0, 3
+#: Documents in which a feature must occur.
+LEAST = 3
 STEPS, RATE, DECAY = 300, 0.1, 2e-5
 #: Log odds of a sentence without evidence.
 BIAS = -8.0
@@ -71,21 +70,24 @@ def sentences_of(text: str) -> list[list[str]]:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, significant: float = SIGNIFICANT, least: int = LEAST, steps: int = STEPS) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, least: int = LEAST, steps: int = STEPS) -> Model:
     """Learns weights from whole documents (bags) whose sentences have no labels.
 
-    All features get a weight whose document counts differ significantly between labels. P(toxic) is one minus the product
+    All features get a weight whose share of toxic documents differs from that of others by more standard errors than
+    chance alone gives the largest of so many features, sqrt(2 ln features). P(toxic) is one minus the product
     of the sentences' 1 - p; its log loss falls by Adam over all bags.
     """
     seen = [Counter(), Counter()]
     for text, y in zip(texts, toxic.tolist(), strict=True):
         seen[y].update(set(itertools.chain.from_iterable(map(features_of, set(words_of(text.lower()))))))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    able = sorted(f for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= least)
+    chance = (2 * np.log(max(2, len(able)))) ** 0.5
     names = []
-    for f in sorted(seen[1].keys() | seen[0].keys()):
+    for f in able:
         a, b = seen[1][f], seen[0][f]
         p = (a + b + 1) / (n1 + n0 + 2)
-        if a + b >= least and abs(a / n1 - b / n0) >= significant * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5:
+        if abs(a / n1 - b / n0) > chance * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5:
             names.append(f)
     index = {f: i for i, f in enumerate(names)}
 
