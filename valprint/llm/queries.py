@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valprint.llm import backoff_language, noisy_or
+from valprint.llm import backoff_language, binary_pieces, noisy_or
 from valprint.llm.best_fit import pack
+from valprint.llm.collocations import top_collocations
 from valprint.llm.differencing import byte_shards
 from valprint.llm.gray_index import simhash_components
 from valprint.llm.perspectives import segments
@@ -16,6 +17,7 @@ from valprint.llm.shared import table
 from valprint.llm.simple8b import packed_ids
 from valprint.llm.template_leaks import leaks
 from valprint.llm.threshold_search import top_k
+from valprint.llm.tiled_covariance import whitened
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -121,3 +123,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op10_simple8b_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op11_binary_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_pieces.pack(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op12_tiled_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@llm_query(
+    "op13_hashed_collocations",
+    """
+    WITH t AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents
+    ), w AS (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM t
+    ), n AS (
+      SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+    ), g AS (
+      SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS size)
+    ), f AS (
+      SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+    ), c AS (
+      SELECT lang, size, phrase, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1
+    ), h AS (
+      SELECT *, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp FROM c
+    ), s AS (
+      SELECT h.lang, h.size, h.phrase, h.a, x.f AS l, y.f AS r, n.n, ((1000 * h.a::HUGEINT * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score, h.k
+      FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.lp JOIN f y ON y.lang = h.lang AND y.phrase = h.rp JOIN n ON n.lang = h.lang
+    ), m AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s
+    ), u AS (
+      SELECT * FROM m WHERE cut = 1 AND NOT EXISTS (
+        SELECT 1 FROM f b WHERE b.lang = m.lang AND b.size > m.size AND b.f >= m.a AND contains(' ' || b.phrase || ' ', ' ' || m.phrase || ' '))
+    ), o AS (
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM u
+    )
+    SELECT * FROM o WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_collocations(table(spark, sf_dir, "documents"))
