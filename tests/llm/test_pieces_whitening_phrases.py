@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,25 +204,42 @@ def test_collocations_of_random_texts(spark):
     assert len(plain_collocations(docs, least=3)) > 100
 
 
-def test_collocations_given_out_in_parts(spark, monkeypatch):
-    docs = [("en", f"w{i % 7} w{i % 5} w{i % 3} tail") for i in range(200)]
-    want = plain_collocations(docs, least=10)
-
-    def small(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield [batch.column(0)[i].as_py()], [batch.column(1)[i].as_py().encode().translate(collocations._PLAIN)]
-
-    monkeypatch.setattr(collocations, "_texts", small)
-    assert collocation_rows(spark, docs, least=10) == want
+def test_long_texts_are_cut_at_pieces(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CHARS", 50)
+    docs = [("en", " ".join(f"w{i % 7} w{i % 5} w{i % 3} tail" + "." * (i % 4 == 0) for i in range(300))), ("fr", "x" * 500), ("fr", "y" * 500 + ". a b"), ("en", "w1 w1")]
+    batch = pa.RecordBatch.from_pydict({"lang": [x for x, _ in docs], "text": [x for _, x in docs]})
+    parts = list(collocations._texts(iter([batch])))
+    assert len(parts) > 50 and sum(len(t) for _, ts in parts for t in ts) == sum(len(t) for _, t in docs)
+    counted = collections.Counter()
+    for langs, texts in parts:
+        for lang, text in zip(langs, texts, strict=True):
+            for piece in text.decode().split("\n"):
+                w = piece.split()
+                counted.update((lang, *w[i : i + 2]) for i in range(len(w) - 1))
+    whole = collections.Counter()
+    for lang, text in docs:
+        for piece in text.lower().split("."):
+            w = piece.split()
+            whole.update((lang, *w[i : i + 2]) for i in range(len(w) - 1))
+    assert counted == whole
 
 
 def test_equal_hashes_are_told_apart():
-    counter = collocations._Counter(2)
+    words = collocations._Words([0], [b"a b longerword1 a b longerword2 a b longerword1"])
+    counter = collocations._Counter(1)
     counter.langs["en"] = 0
-    ids = np.array([counter.words[w] for w in (b"a", b"b", b"c", b"a", b"b")])
-    counter.add(ids, np.zeros(5, np.int64), np.zeros(5, np.uint64), np.arange(4))
-    assert sorted(counter.rows()) == [("en", "a b", 2), ("en", "b c", 1), ("en", "c a", 1)]
+    counter.add(words, np.zeros(9, np.uint64), np.arange(9))
+    assert sorted(counter.rows()) == [("en", "a", 3), ("en", "b", 3), ("en", "longerword1", 2), ("en", "longerword2", 1)]
+    assert words.same(np.array([0, 2]), np.array([3, 8])) and not words.same(np.array([0, 2]), np.array([3, 5])) and not words.same(np.array([0]), np.array([2]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab \n", max_size=30), min_size=1, max_size=5))
+def test_words_of_texts(texts):
+    words = collocations._Words(list(range(len(texts))), [t.encode() for t in texts])
+    want = [(i, w.encode()) for i, t in enumerate(texts) for w in t.replace("\n", " ").split(" ") if w]
+    assert list(zip(words.lang.tolist(), words.phrases(np.arange(len(words.hash)), 1), strict=True)) == want
+    assert {w: h for (_, w), h in zip(want, words.hash.tolist(), strict=True)}.items() >= set(zip((w for _, w in want), words.hash.tolist(), strict=True))
 
 
 def test_scores_beyond_64_bits_are_exact(spark):

@@ -16,27 +16,69 @@ from valprint.llm.shared import dropped, written
 
 #: Binary logarithm of the number of buckets, and of the ranges in which their counts are added up.
 BITS, RANGES = 22, 6
-#: Bytes of text handled at once, and distinct phrases or words that a task holds before it gives them out.
-CHARS, HELD = 8_000_000, 400_000
+#: Bytes of text handled at once, and distinct phrases that a task holds before it gives them out.
+CHARS, HELD = 4_000_000, 400_000
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Lower case for A-Z, a line feed for what ends a piece, a blank for a tab.
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _COUNTS = "lang string, phrase string, n long, span int, data binary"
 
 
-class _Words(dict):
-    """Number of each word in the order of first sight, with its hash."""
-
-    def __init__(self):
-        super().__init__({b"\n": 0, b"": 1})
-        self.names: list[bytes] = [b"\n", b""]
-        self.hashes: list[int] = [0, 0]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.names)
-        self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return k
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n-1) modulo 2^64."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+#: A word's hash is the sum of its bytes times powers of an odd base modulo 2^64, so all words' hashes come from one
+#: running sum; powers are products of those of two halves of their exponent.
+_BASE, _HALF = 0xD6E8FEB86659FD93, 16
+_BACK = pow(_BASE, -1, 1 << 64)
+_LOW, _LOW_BACK = _powers(_BASE, 1 << _HALF), _powers(_BACK, 1 << _HALF)
+
+
+class _Words:
+    """The words of texts joined by line feeds: where they begin and end, their piece, language and hash."""
+
+    def __init__(self, langs: list[int], texts: list[bytes]):
+        joined = b"\n".join(texts)
+        self.bytes = joined
+        data = np.frombuffer(joined + bytes(16), np.uint8)
+        text = data[: len(joined)]
+        #: at each byte the number that it and the next seven make
+        self.eights = np.ndarray(len(joined) + 8, "<u8", data, strides=(1,))
+        line = text == 10
+        gap = np.concatenate([[True], line | (text == 32), [True]])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
+        self.piece = np.cumsum(line, dtype=np.int64)[self.start]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.lang = np.repeat(np.array(langs, np.int64), np.diff(np.searchsorted(self.start, np.append(0, np.cumsum(sizes)))))
+        high = len(joined) // len(_LOW) + 1
+        step = pow(_BASE, len(_LOW), 1 << 64)
+        powers = (_powers(step, high)[:, None] * _LOW).ravel()[: len(joined)]
+        upto = np.append(np.zeros(1, np.uint64), np.cumsum(powers * text, dtype=np.uint64))
+        back = _LOW_BACK[self.start & (len(_LOW) - 1)] * _powers(pow(step, -1, 1 << 64), high)[self.start >> _HALF]
+        self.hash = (upto[self.end] - upto[self.start]) * back
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether each word of a has the bytes of the word at the same place in b."""
+        size = self.end[a] - self.start[a]
+        if (size != self.end[b] - self.start[b]).any():
+            return False
+        at = 0
+        while len(a):
+            apart = self.eights[self.start[a] + at] ^ self.eights[self.start[b] + at]
+            if (apart << (8 * np.maximum(8 - (size - at), 0)).astype(np.uint64)).any():
+                return False
+            at += 8
+            more = size > at
+            a, b, size = a[more], b[more], size[more]
+        return True
+
+    def phrases(self, at: np.ndarray, length: int) -> list[bytes]:
+        """The phrases of so many words that begin at these words."""
+        parts = [[self.bytes[x:y] for x, y in zip(self.start[at + j].tolist(), self.end[at + j].tolist(), strict=True)] for j in range(length)]
+        return parts[0] if length == 1 else [b" ".join(p) for p in zip(*parts, strict=True)]
 
 
 def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -108,58 +150,54 @@ def _batch(counts: list[tuple[str, str, int]], buckets: list[tuple[int, bytes]]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
-    """Languages and plain bytes of texts, in parts of about CHARS bytes; a longer text is a part of its own."""
+    """Languages and plain bytes of texts, in parts of about CHARS bytes. A longer text is cut where a piece ends."""
     langs: list[str] = []
     texts: list[bytes] = []
     held = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = text.as_buffer().to_pybytes().translate(_PLAIN) if text.is_valid else b""
-            if held and held + len(data) > CHARS:
-                yield langs, texts
-                langs, texts, held = [], [], 0
-            langs.append(lang)
-            texts.append(data)
-            held += len(data)
+            at = 0
+            while at < len(data):
+                to = len(data) if len(data) - at <= CHARS else (data.rfind(b"\n", at, at + CHARS) + 1 or data.find(b"\n", at) + 1 or len(data))
+                if held and held + to - at > CHARS:
+                    yield langs, texts
+                    langs, texts, held = [], [], 0
+                langs.append(lang)
+                texts.append(data[at:to])
+                held += to - at
+                at = to
     if texts:
         yield langs, texts
 
 
 class _Counter:
-    """A task's exact counts of the phrases of one length; given out once they are many."""
+    """A task's exact counts of the phrases of one length, given out once they are many."""
 
     def __init__(self, length: int):
-        self.length, self.words, self.langs, self.found = length, _Words(), {}, Counter()
-
-    def add(self, ids: np.ndarray, langs: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
-        """Counts the phrases that begin at these places. Equal hashes are told apart by their words."""
-        if self.length == 1:
-            cells = np.bincount(langs[at] * len(self.words) + ids[at])
-            for cell in np.flatnonzero(cells).tolist():
-                self.found[divmod(cell, len(self.words))] += int(cells[cell])
-            return
-        key = hashes[at] ^ self.lang_hash[langs[at]]
-        _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        rows = np.column_stack([langs[at], *(ids[at + j] for j in range(self.length))]).astype(np.int32)
-        heads = rows[first]
-        if len(rows) and (heads[inverse] != rows).any():
-            heads, n = np.unique(rows, axis=0, return_counts=True)
-        for row, count in zip(np.ascontiguousarray(heads).view(f"V{4 * (self.length + 1)}").ravel().tolist(), n.tolist(), strict=True):
-            self.found[row] += count
+        self.length, self.found = length, Counter()
+        self.langs: dict[str, int] = {}
 
     @property
-    def lang_hash(self) -> np.ndarray:
+    def voices(self) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)
 
-    def full(self) -> bool:
-        return len(self.found) > HELD or len(self.words) > HELD
+    def add(self, words: _Words, hashes: np.ndarray, at: np.ndarray) -> None:
+        """Counts the phrases that begin at these words. Phrases of one hash are held against each other's bytes."""
+        lang = words.lang[at]
+        _, first, inverse, n = np.unique(hashes[at] ^ self.voices[lang], return_index=True, return_inverse=True, return_counts=True)
+        head = at[first]
+        if (lang != lang[first][inverse]).any() or not all(words.same(at + j, head[inverse] + j) for j in range(self.length)):
+            head, n, lang = at, np.ones(len(at), np.int64), lang
+        else:
+            lang = lang[first]
+        for key, count in zip(zip(lang.tolist(), words.phrases(head, self.length), strict=True), n.tolist(), strict=True):
+            self.found[key] += count
 
     def rows(self) -> list[tuple[str, str, int]]:
-        names, langs, out = self.words.names, list(self.langs), []
-        for row, n in self.found.items():
-            lang, *words = row if self.length == 1 else np.frombuffer(row, np.int32).tolist()
-            out.append((langs[lang], b" ".join([names[w] for w in words]).decode(), n))
-        self.words, self.langs, self.found = _Words(), {}, Counter()
+        langs = list(self.langs)
+        out = [(langs[lang], phrase.decode(), n) for (lang, phrase), n in self.found.items()]
+        self.found = Counter()
         return out
 
 
@@ -176,38 +214,24 @@ def _pass(docs: DataFrame, length: int, longest: int, least: int, bits: int, fre
         counter = _Counter(length)
         buckets = _Buckets(bits, least) if length < longest else None
         for langs, texts in _texts(batches):
-            tokens = b"\n".join(texts).replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter(map(counter.words.__getitem__, tokens), np.int64, len(tokens))
-            del tokens
-            ids = ids[ids != 1]
-            # a document has as many breaks as its bytes, and one more between documents
-            breaks = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
-            which = np.array([counter.langs.setdefault(x, len(counter.langs)) for x in langs], np.int64)
-            doc = np.searchsorted(np.cumsum(breaks), np.cumsum(ids == 0), side="right")
-            lang = which[np.minimum(doc, len(texts) - 1)]
-            code = np.array(counter.words.hashes, np.uint64)[ids]
-            voice = counter.lang_hash[lang]
-            size = len(ids)
-            inside = ids != 0
-            hashes = code
-            shorter = None
-            for k in range(2, length + 1):
-                shorter = hashes
-                hashes = _longer(hashes[: size - k + 1], code[k - 1 :]) if size >= k else hashes[:0]
-                inside = inside[: size - k + 1] & (ids[k - 1 :] != 0) if size >= k else inside[:0]
-            counts = inside
-            if length > 1:
+            words = _Words([counter.langs.setdefault(x, len(counter.langs)) for x in langs], texts)
+            voice = counter.voices[words.lang]
+            size = max(0, len(words.hash) - length + 1)  # places with so many words from there on
+            hashes, shorter = words.hash, None
+            for k in range(1, length):
+                shorter, hashes = hashes, _longer(hashes[:-1], words.hash[k:])
+            counts = words.piece[:size] == words.piece[length - 1 :]
+            if length > 1 and size:
                 near = _set(frequent, _bucket(shorter, voice[: len(shorter)], bits))
-                counts = inside & near[: len(inside)] & near[1 : len(inside) + 1]
-                at = np.flatnonzero(counts)
-                keep = _set(hopeful, _bucket(hashes[at], voice[at], bits))
-                counts = np.zeros(len(inside), bool)
-                counts[at[keep]] = True
-            counter.add(ids, lang, hashes, np.flatnonzero(counts))
-            if buckets is not None and len(counts) > 1:
-                at = np.flatnonzero(counts[:-1] & counts[1:])
-                buckets.add(_bucket(_longer(hashes[at], code[at + length]), voice[at], bits))
-            if counter.full():
+                at = np.flatnonzero(counts & near[:-1] & near[1:])
+                counts[:] = False
+                counts[at[_set(hopeful, _bucket(hashes[at], voice[at], bits))]] = True
+            if size:
+                counter.add(words, hashes, np.flatnonzero(counts))
+            if buckets is not None and size > 1:
+                at = np.flatnonzero(counts[:-1] & counts[1:] & (words.piece[: size - 1] == words.piece[length:]))
+                buckets.add(_bucket(_longer(hashes[at], words.hash[at + length]), voice[at], bits))
+            if len(counter.found) > HELD:
                 yield _batch(counter.rows())
         yield _batch(counter.rows())
         for row in buckets.rows() if buckets is not None else ():
@@ -222,15 +246,14 @@ def _marked(frequent: DataFrame, least: int, bits: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = np.zeros(1 << bits, np.min_scalar_type(least))
         for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hashes = []
-            for phrase in phrases:
-                first, *rest = map(xxhash.xxh64_intdigest, phrase.encode().split(b" "))
-                for word in rest:
-                    first = (first * int(_STEP) + word) & (1 << 64) - 1
-                hashes.append(first)
-            if hashes:
-                buckets[_bucket(np.array(hashes, np.uint64), np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in langs], np.uint64), bits)] = least
+            langs = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in batch.column(0).to_pylist()], np.uint64)
+            words = _Words([0] * batch.num_rows, [x.encode() for x in batch.column(1).to_pylist()])
+            first = np.flatnonzero(np.diff(words.piece, prepend=-1))
+            hashes, length = words.hash[first], np.diff(np.append(first, len(words.hash)))
+            for k in range(1, int(length.max(initial=1))):
+                more = length > k
+                hashes[more] = _longer(hashes[more], words.hash[first[more] + k])
+            buckets[_bucket(hashes, langs, bits)] = least
         held = _Buckets(bits, least)
         held.counts = buckets
         for span, data in held.rows():
