@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valprint.sources.scratch import dropped, written
+
 
 def shared_domains(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """domain, col_a, col_b of pairs of columns with a domain over the threshold in both. found: cid, domain, containment."""
@@ -82,19 +84,81 @@ def reference_paths(hops: DataFrame) -> DataFrame:
     """consumer, producer, path, hops, confidence: every way from a table to another along references.
 
     hops has consumer, via_col, producer and confidence, a row a reference; a path's confidence is the product of its
-    hops'. No path meets a table twice, so cycles end. Each round is a join of tables as small as the catalog, cut by
-    checkpoint; there are as many rounds as the longest path has hops.
+    hops'. No path meets a table twice, so cycles end. Each round is a join of tables as small as the catalog, written
+    once; there are as many rounds as the longest path has hops. In a dense catalog ways are very many: best_paths()
+    has the surest of each pair alone.
     """
     step = F.concat("consumer", F.lit("."), "via_col")
-    hops = hops.filter("consumer <> producer").checkpoint()
+    hops = written(hops.filter("consumer <> producer"), "hops")
     ends = hops.select("consumer", "producer", step.alias("path"), F.lit(1).alias("hops"), "confidence", F.array("consumer", "producer").alias("met"))
     found = [ends]
     nexts = hops.select(F.col("consumer").alias("producer"), step.alias("step"), F.col("producer").alias("to"), F.col("confidence").alias("more"))
     while not ends.isEmpty():
         longer = ends.join(nexts, "producer").filter(~F.array_contains("met", F.col("to")))
-        ends = longer.select("consumer", F.col("to").alias("producer"), F.concat_ws(" > ", "path", "step").alias("path"), (F.col("hops") + 1).alias("hops"), (F.col("confidence") * F.col("more")).alias("confidence"), F.concat("met", F.array("to")).alias("met")).checkpoint()
+        ends = written(longer.select("consumer", F.col("to").alias("producer"), F.concat_ws(" > ", "path", "step").alias("path"), (F.col("hops") + 1).alias("hops"), (F.col("confidence") * F.col("more")).alias("confidence"), F.concat("met", F.array("to")).alias("met")), "ways")
         found.append(ends)
     whole = found[0]
     for f in found[1:]:
         whole = whole.unionByName(f)
     return whole.drop("met")
+
+
+def best_paths(hops: DataFrame) -> DataFrame:
+    """consumer, producer, path, hops, confidence: the surest way from each table to each other along references.
+
+    hops has consumer, via_col, producer and confidence (at most 1). Of equally sure ways the one of fewest hops
+    counts, then the first by name. There is one row a pair at any time: each round joins the ways found so far with
+    each other and keeps the best, so ways of twice as many hops are found each round until none gets better.
+    """
+    step = F.concat("consumer", F.lit("."), "via_col")
+    rank = F.struct((-F.col("confidence")).alias("doubt"), F.col("hops"), F.col("path"))
+    best = lambda ways: ways.groupBy("consumer", "producer").agg(F.min(rank).alias("best")).select("consumer", "producer", "best.path", "best.hops", (-F.col("best.doubt")).alias("confidence"))
+    known = written(best(hops.filter("consumer <> producer").select("consumer", "producer", step.alias("path"), F.lit(1).alias("hops"), "confidence")), "ways")
+    while True:
+        after = known.toDF("producer", "to", "more_path", "more_hops", "more")
+        longer = known.join(after, "producer").filter("consumer <> to").select("consumer", F.col("to").alias("producer"), F.concat_ws(" > ", "path", "more_path").alias("path"), (F.col("hops") + F.col("more_hops")).alias("hops"), (F.col("confidence") * F.col("more")).alias("confidence"))
+        was = known.select("consumer", "producer", F.col("path").alias("was"))
+        better = best(known.unionByName(longer)).join(was, ["consumer", "producer"], "left")
+        found = written(better, "ways")
+        dropped(known)
+        known = found.drop("was")
+        if found.filter("was is null or was <> path").isEmpty():
+            return known
+
+
+#: Tables that join_tree() links, at most: it keeps a row for each table and each subset of these.
+MOST_ENDS = 12
+
+
+def join_tree(hops: DataFrame, ends: DataFrame) -> DataFrame:
+    """consumer, via_col, producer, confidence: the references of the smallest tree that links all tables of ends (tbl).
+
+    References count in both directions. The tree has the fewest joins; of equals the least doubt (in millionths),
+    then the first by name. Trees grow by relaxation: for each table and subset of ends the best tree known that holds
+    them gets a reference more, or meets another tree at the same table, until none gets better. Tables that no tree
+    links, or less than two, give no rows.
+    """
+    ends = ends.select("tbl").distinct()
+    spark = hops.sparkSession
+    names = sorted(r["tbl"] for r in ends.limit(MOST_ENDS + 1).collect())
+    if len(names) > MOST_ENDS:
+        raise ValueError(f"a tree of over {MOST_ENDS} tables")
+    doubt = F.round((1 - F.col("confidence")) * 1_000_000).cast("long")
+    edges = written(hops.filter("consumer <> producer").groupBy("consumer", "via_col", "producer").agg(F.max("confidence").alias("confidence")).withColumn("edge", F.concat("consumer", F.lit("."), "via_col", F.lit(" > "), "producer")).withColumn("doubt", doubt), "references")
+    steps = edges.select(F.col("consumer").alias("tbl"), F.col("producer").alias("to"), "edge", F.col("doubt").alias("more")).union(edges.select("producer", "consumer", "edge", "doubt"))
+    state = "tbl string, mask long, joins int, doubt long, edges array<string>"
+    trees = written(spark.createDataFrame([(t, 1 << i, 0, 0, []) for i, t in enumerate(names)], state), "trees")
+    best = lambda t: t.groupBy("tbl", "mask").agg(F.min(F.struct("joins", "doubt", "edges")).alias("b")).select("tbl", "mask", "b.joins", "b.doubt", "b.edges")
+    together = lambda a, b: F.array_sort(F.array_union(a, b)).alias("edges")
+    while True:
+        grown = trees.join(steps, "tbl").select(F.col("to").alias("tbl"), "mask", (F.col("joins") + 1).alias("joins"), (F.col("doubt") + F.col("more")).alias("doubt"), together(F.col("edges"), F.array("edge")))
+        other = trees.toDF("tbl", "mask2", "joins2", "doubt2", "edges2")
+        met = trees.join(other, "tbl").filter("mask < mask2 and mask & mask2 = 0").select("tbl", F.col("mask").bitwiseOR(F.col("mask2")).alias("mask"), (F.col("joins") + F.col("joins2")).alias("joins"), (F.col("doubt") + F.col("doubt2")).alias("doubt"), together(F.col("edges"), F.col("edges2")))
+        was = trees.select("tbl", "mask", F.struct("joins", "doubt", "edges").alias("was"))
+        after = written(best(trees.unionByName(grown).unionByName(met)).join(was, ["tbl", "mask"], "left").withColumn("changed", F.col("was").isNull() | (F.col("was") > F.struct("joins", "doubt", "edges"))).drop("was"), "trees")
+        dropped(trees)
+        trees = after.drop("changed")
+        if after.filter("changed").isEmpty():
+            break
+    whole = trees.filter(F.col("mask") == (1 << len(names)) - 1).agg(F.min(F.struct("joins", "doubt", "edges")).alias("b")).select(F.explode("b.edges").alias("edge"))
+    return edges.join(whole, "edge").select("consumer", "via_col", "producer", "confidence")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from valprint.functions import codec, sketch
+from valprint.operators import chunked
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -51,9 +51,8 @@ def sample_distinct(df: DataFrame, limit: int = 4096) -> DataFrame:
 def fingerprints(df: DataFrame) -> DataFrame:
     """cid, n_sampled, n_distinct and the sets of values and of folded values in the portable format."""
     each = df.groupBy("cid").agg(F.count("*").alias("n_sampled"), F.count_distinct("val").alias("n_distinct"))
-    d = df.select("cid", "val").distinct()
-    sets = d.groupBy("cid").agg(sketch.build("val").alias("raw"), sketch.build("val", normalize=True).alias("folded"))
-    return each.join(sets, "cid").select("cid", "n_sampled", "n_distinct", codec.to_portable("raw").alias("raw"), codec.to_portable("folded").alias("folded"))
+    exported = lambda name, fold: chunked.exported(chunked.build(df, fold)).toDF("cid", name)
+    return each.join(exported("raw", False), "cid").join(exported("folded", True), "cid").select("cid", "n_sampled", "n_distinct", "raw", "folded")
 
 
 def family(values: Column) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
-from valprint.operators import catalog, formulas, match, pages, registry
-from valprint.operators.cells import canonical, cells, fingerprints, frequencies, value_sets
+from valprint.operators import catalog, chunked, formulas, match, pages, registry, triage
+from valprint.operators.cells import canonical, cells, frequencies, value_sets
 from valprint.plans.registry import query
+from valprint.sources.scratch import written
 from valprint.sources.tables import parquet
 
 #: Key-like columns of the tables, with the primary keys among them.
@@ -131,8 +132,12 @@ def value_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("set_build", f"SELECT event_type, count(DISTINCT {HASH_SQL.format(v='user_id::VARCHAR')})::BIGINT AS members FROM events GROUP BY event_type")
 def set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = parquet(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("u")).distinct()
-    return users.groupBy("event_type").agg(sketch.build("u").alias("s")).select("event_type", sketch.cardinality(F.col("s")).alias("members"))
+    return chunked.cardinality(_users(spark, sf_dir)).toDF("event_type", "members")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of each event type as chunked sets."""
+    return chunked.build(parquet(spark, sf_dir, "events").select(F.col("event_type").alias("cid"), F.col("user_id").cast("string").alias("val")))
 
 
 @query(
@@ -145,14 +150,12 @@ def set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT a, b, i::BIGINT AS common, (na + nb - i)::BIGINT AS whole, (na - i)::BIGINT AS only_a, round(i / na, 6) AS containment, round(i / (na + nb - i), 6) AS jaccard FROM p""",
 )
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of event types by their users, as sets of hashes; the sets are as many as the event types."""
-    users = parquet(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("u")).distinct()
-    s = users.groupBy("event_type").agg(sketch.build("u").alias("s"))
-    a, b = s.toDF("a", "x"), s.toDF("b", "y")
-    x, y = F.col("x"), F.col("y")
-    return a.join(b, F.col("a") < F.col("b")).select(
-        "a", "b", sketch.intersection_cardinality(x, y).alias("common"), sketch.cardinality(sketch.union(x, y)).alias("whole"), sketch.cardinality(sketch.difference(x, y)).alias("only_a"),
-        F.round(sketch.containment(x, y), 6).alias("containment"), F.round(sketch.jaccard(x, y), 6).alias("jaccard"),
+    """Pairs of event types by their users, container by container."""
+    s = _kept(_users(spark, sf_dir))
+    pairs = chunked.measures(s, s, F.col("ca") < F.col("cb"))
+    return pairs.select(
+        F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("inter").alias("common"), (F.col("na") + F.col("nb") - F.col("inter")).alias("whole"), (F.col("na") - F.col("inter")).alias("only_a"),
+        F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"),
     )
 
 
@@ -198,8 +201,8 @@ def residue(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT ca, cb, na, nb, 'jaccard', inter / (na + nb - inter) FROM e)""",
 )
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = sets_of(spark, sf_dir, KEYS)
-    return match.evidence(sets, sets.filter(F.col("cid").isin(PRIMARY))).withColumn("value", F.round("value", 6))
+    pairs = match.compared(sets_of(spark, sf_dir, KEYS), spark.createDataFrame([(k,) for k in PRIMARY], "cid string"))
+    return match.evidence_of(pairs).withColumn("value", F.round("value", 6))
 
 
 # Matrices, keys and clusters
@@ -269,16 +272,8 @@ def authority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df cut by a checkpoint, in a folder of our own where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="valprint-"))
-    return df.checkpoint()
+    """df written once to the shared folder, for plans that read it several times."""
+    return written(df, "kept")
 
 
 @query(
@@ -349,26 +344,42 @@ def nested_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT cid, count(*) AS n_distinct, count(*) FILTER (WHERE val IN (SELECT val FROM p)) AS overlap, round(count(*) FILTER (WHERE val IN (SELECT val FROM p)) / (SELECT count(*) FROM p), 6) AS containment FROM s GROUP BY cid""",
 )
 def stored_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier keys of line items against stored fingerprints, read back from the portable format."""
-    store = fingerprints(all_cells(spark, sf_dir, {"nation": ["n_nationkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]}))
-    probe = sets_of(spark, sf_dir, {"lineitem": ["l_suppkey"]}).agg(sketch.build("val").alias("probe"))
-    both = store.select("cid", "n_distinct", codec.from_portable("raw").alias("s")).crossJoin(F.broadcast(probe))
-    return both.select("cid", "n_distinct", sketch.intersection_cardinality(F.col("probe"), F.col("s")).alias("overlap"), F.round(sketch.containment(F.col("probe"), F.col("s")), 6).alias("containment"))
+    """Supplier keys of line items against stored fingerprints, all as containers; the store is written and read back."""
+    store = _kept(chunked.build(all_cells(spark, sf_dir, {"nation": ["n_nationkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]})))
+    probe = chunked.build(all_cells(spark, sf_dir, {"lineitem": ["l_suppkey"]}))
+    pairs = chunked.measures(probe, store, F.col("ca") != F.col("cb"))
+    return pairs.select(F.col("cb").alias("cid"), F.col("nb").alias("n_distinct"), F.col("inter").alias("overlap"), F.round("containment", 6).alias("containment"))
+
+
+#: Columns whose references are looked for without knowing any key.
+LINKS = {t: c for t, c in KEYS.items() if t != "events"}
+BOUNDS_SQL = f"""WITH f AS (SELECT cid, val, count(*) AS rows FROM ({cells_sql(LINKS)}) GROUP BY cid, val),
+      t AS (SELECT cid, sum(rows)::BIGINT AS rows, count(*) AS n, min(val::BIGINT) AS low, max(val::BIGINT) AS high FROM f GROUP BY cid),
+      k AS (SELECT cid, md5(val) AS h FROM f QUALIFY row_number() OVER (PARTITION BY cid ORDER BY md5(val)) <= {triage.FIRST}),
+      r AS (SELECT cid, max(h) AS reach, count(*) AS kept FROM k GROUP BY cid),
+      p AS (SELECT a.cid AS child, b.cid AS parent, CASE WHEN a.n = a.rows THEN 'key' WHEN a.n * 20 < a.rows THEN 'low-cardinality dimension' WHEN a.n * 2 > a.rows THEN 'measure' ELSE 'dimension' END AS child_class,
+          a.n AS na, b.n AS nb, least(a.n, greatest(0, least(a.high, b.high) - greatest(a.low, b.low) + 1)) AS room, CASE WHEN r.kept = b.n THEN '~' ELSE r.reach END AS reach
+        FROM t a JOIN t b ON a.cid <> b.cid AND b.n = b.rows AND b.n >= 8 JOIN r ON r.cid = b.cid),
+      g AS (SELECT child, parent, count(*) AS gone FROM p JOIN k ON k.cid = child AND h <= reach WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.cid = parent AND o.h = k.h) GROUP BY 1, 2),
+      b AS (SELECT p.*, least(1.0, nb / na, room / na, (na - coalesce(gone, 0)) / na) AS bound FROM p LEFT JOIN g ON g.child = p.child AND g.parent = p.parent)"""
+
+
+@query("key_bounds", f"{BOUNDS_SQL} SELECT child, parent, child_class, round(bound, 6) AS bound FROM b")
+def key_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every key-like column can lie in any column of unique values at most, from summaries alone."""
+    return triage.bounded_pairs(triage.summaries(all_cells(spark, sf_dir, LINKS))).withColumn("bound", F.round("bound", 6))
 
 
 @query(
     "layered_keys",
-    f"""{matrix_sql({t: c for t, c in KEYS.items() if t != "events"})}
-    SELECT ca AS child, cb AS parent, round(inter / na, 6) AS containment, nb AS parent_distinct, (na - inter)::BIGINT AS violations FROM m
-    WHERE cb IN ({", ".join(f"'{k}'" for k in PRIMARY)}) AND nb >= 8 AND inter / na >= 0.95 AND ca <> 'lineitem.l_linenumber'""",
+    f"""{BOUNDS_SQL}, i AS (SELECT x.cid AS child, y.cid AS parent, count(*) AS inter FROM f x JOIN f y USING (val) WHERE x.cid <> y.cid GROUP BY 1, 2)
+    SELECT child, parent, child_class, round(inter / na, 6) AS containment, (na - inter)::BIGINT AS violations FROM b JOIN i USING (child, parent) WHERE inter / na >= 0.95""",
 )
 def layered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References between tables after a first look that sets line numbers aside as a measure."""
-    columns = {t: c for t, c in KEYS.items() if t != "events"}
-    sets = sets_of(spark, sf_dir, columns)
-    looked = spark.createDataFrame([(f"{t}.{c}", "measure" if c == "l_linenumber" else "ambiguous") for t, cs in columns.items() for c in cs], "cid string, class string")
-    keys = spark.createDataFrame([(k,) for k in PRIMARY], "cid string")
-    return match.layered_keys(sets, looked, keys).withColumn("containment", F.round("containment", 6))
+    """References between tables in three layers: classes, bounds of containment, an exact count of what is left."""
+    all_ = _kept(all_cells(spark, sf_dir, LINKS))
+    pairs = _kept(triage.bounded_pairs(triage.summaries(all_)))
+    return triage.layered_keys(value_sets(all_), pairs).withColumn("containment", F.round("containment", 6))
 
 
 @query(
@@ -626,11 +637,24 @@ def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.enumerations(sets_of(spark, sf_dir, NAMES).toDF("domain_name", "label")).select("domain_name", "member_count")
 
 
-@query("registry_filters")
+def _little(x: str, octets: int) -> str:
+    """Hexadecimal digits of the bytes of a number, the lowest first."""
+    return f"printf('{'%02x' * octets}', {', '.join(f'({x} >> {8 * i}) & 255' for i in range(octets))})"
+
+
+#: The portable format of sets with array containers alone: cookie and count, keys and sizes, places, members.
+PORTABLE_SQL = f"""WITH s AS (SELECT DISTINCT cid, {HASH_SQL.format(v="val")}::BIGINT AS h FROM (SELECT DISTINCT cid, val FROM ({cells_sql(NAMES)}))),
+      c AS (SELECT cid, h >> 16 AS hi, count(*) AS n, string_agg({_little("(h & 65535)", 2)}, '' ORDER BY h) AS body FROM s GROUP BY 1, 2),
+      o AS (SELECT *, count(*) OVER (PARTITION BY cid) AS k, coalesce(sum(2 * n) OVER (PARTITION BY cid ORDER BY hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c),
+      x AS (SELECT cid, sum(n)::BIGINT AS members, unhex({_little("12346", 4)} || {_little("max(k)", 4)} || string_agg({_little("hi", 2)} || {_little("(n - 1)", 2)}, '' ORDER BY hi) || string_agg({_little("(8 + 8 * k + before)", 4)}, '' ORDER BY hi) || string_agg(body, '' ORDER BY hi)) AS data FROM o GROUP BY cid)"""
+
+
+@query("registry_filters", f"{PORTABLE_SQL} SELECT cid, members, base64(data) AS filter_b64, sha256(data) AS checksum FROM x")
 def registry_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each domain's set in the portable format, with its checksum."""
-    s = sets_of(spark, sf_dir, NAMES).groupBy("cid").agg(sketch.build("val").alias("s"))
-    return s.select("cid", codec.to_base64(F.col("s")).alias("filter_b64"), codec.checksum(F.col("s")).alias("checksum"))
+    """Each domain's set in the portable format, with its members and checksum; only the export puts a set in one row."""
+    sets = _kept(chunked.build(all_cells(spark, sf_dir, NAMES)))
+    sent = chunked.exported(sets).join(chunked.cardinality(sets), "cid")
+    return sent.select("cid", F.col("n").alias("members"), F.translate(F.base64("data"), "\r\n", "").alias("filter_b64"), sha256("data").alias("checksum"))
 
 
 # Exchange forms of sets and histograms
@@ -817,9 +841,102 @@ def popular_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reference_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every way from a table to another along declared references, with how far the values bear it out."""
+    hops = _hops(spark, sf_dir).withColumn("confidence", F.round("confidence", 3))
+    return catalog.reference_paths(hops).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "best_paths",
+    f"""{matrix_sql(KEYS).replace("WITH s", "WITH RECURSIVE s", 1)}, k(child, parent) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in FOREIGN)}),
+      h AS (SELECT split_part(child, '.', 1) AS consumer, child, split_part(parent, '.', 1) AS producer, coalesce(inter, 0) / n.n AS c FROM k JOIN n ON n.cid = child LEFT JOIN m ON ca = child AND cb = parent),
+      r AS (SELECT consumer, producer, child AS path, 1 AS hops, c AS confidence, [consumer, producer] AS met FROM h
+        UNION ALL SELECT r.consumer, h.producer, path || ' > ' || child, hops + 1, confidence * c, list_append(met, h.producer) FROM r JOIN h ON h.consumer = r.producer WHERE NOT list_contains(met, h.producer))
+    SELECT consumer, producer, path, hops, round(confidence, 6) AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY consumer, producer ORDER BY confidence DESC, hops, path) = 1""",
+)
+def best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surest way from each table to each other, one row a pair."""
+    return catalog.best_paths(_hops(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared references with the part of their values that bears them out."""
     part = lambda c, i: F.substring_index(c, ".", i)
-    hops = key_validation(spark, sf_dir).select(part("child", 1).alias("consumer"), part("child", -1).alias("via_col"), part("parent", 1).alias("producer"), F.col("containment").alias("confidence"))
-    return catalog.reference_paths(_kept(hops)).withColumn("confidence", F.round("confidence", 6))
+    held = match.validated_keys(sets_of(spark, sf_dir, KEYS), spark.createDataFrame(FOREIGN, "child string, parent string"), None)
+    return held.select(part("child", 1).alias("consumer"), part("child", -1).alias("via_col"), part("parent", 1).alias("producer"), F.col("containment").alias("confidence"))
+
+
+PRIMARY_COLUMNS = {t: [c for c in cs if f"{t}.{c}" in PRIMARY] for t, cs in KEYS.items() if any(f"{t}.{c}" in PRIMARY for c in cs)}
+SOURCES_SQL = f"""WITH s AS (SELECT DISTINCT cid, val FROM ({cells_sql(SLAB)})), l AS (SELECT DISTINCT cid, val FROM ({cells_sql(PRIMARY_COLUMNS)})),
+      a AS (SELECT cid AS ca, count(*) AS na FROM s GROUP BY 1), b AS (SELECT cid AS cb, count(*) AS nb FROM l GROUP BY 1), i AS (SELECT s.cid AS ca, l.cid AS cb, count(*) AS inter FROM s JOIN l USING (val) GROUP BY 1, 2),
+      c AS (SELECT ca AS cid, cb AS source, inter / na AS containment, inter / greatest(na, nb) AS mutual FROM i JOIN a USING (ca) JOIN b USING (cb)),
+      o AS (SELECT * FROM c WHERE mutual >= 0.5 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY mutual DESC, containment DESC, source) = 1)"""
+
+
+@query("slab_sources", f"{SOURCES_SQL} SELECT cid, source, round(containment, 6) AS containment, round(mutual, 6) AS mutual FROM o")
+def slab_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key that each column of line items, as if unnamed, most likely is."""
+    found = match.sources(all_cells(spark, sf_dir, SLAB), sets_of(spark, sf_dir, PRIMARY_COLUMNS))
+    return found.withColumns({c: F.round(c, 6) for c in ("containment", "mutual")})
+
+
+@query(
+    "slab_join_tree",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT split_part(source, '.', 1) AS tbl FROM ({SOURCES_SQL} SELECT source FROM o)),
+      h AS ({matrix_sql(KEYS)}, k(child, parent) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in FOREIGN)})
+        SELECT split_part(child, '.', 1) AS consumer, split_part(child, '.', 2) AS via_col, split_part(parent, '.', 1) AS producer, coalesce(inter, 0) / n.n AS confidence, child || ' > ' || split_part(parent, '.', 1) AS edge FROM k JOIN n ON n.cid = child LEFT JOIN m ON ca = child AND cb = parent),
+      r(tables, edges) AS (SELECT [min(tbl)], []::VARCHAR[] FROM e
+        UNION SELECT list_sort(list_append(tables, CASE WHEN list_contains(tables, consumer) THEN producer ELSE consumer END)), list_sort(list_append(edges, edge)) FROM r JOIN h ON list_contains(tables, consumer) <> list_contains(tables, producer)),
+      f AS (SELECT edges, (SELECT sum(round((1 - confidence) * 1000000)) FROM h WHERE list_contains(r.edges, edge)) AS doubt FROM r WHERE (SELECT bool_and(list_contains(r.tables, tbl)) FROM e)),
+      b AS (SELECT edges FROM f ORDER BY len(edges), doubt, edges LIMIT 1)
+    SELECT consumer, via_col, producer, round(confidence, 6) AS confidence FROM h, b WHERE list_contains(b.edges, edge)""",
+)
+def slab_join_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joins that bring together the tables that the columns of line items, as if unnamed, most likely come from."""
+    found = match.sources(all_cells(spark, sf_dir, SLAB), sets_of(spark, sf_dir, PRIMARY_COLUMNS))
+    tree = catalog.join_tree(_hops(spark, sf_dir), found.select(F.substring_index("source", ".", 1).alias("tbl")))
+    return tree.withColumn("confidence", F.round("confidence", 6))
+
+
+#: All key-like and name columns, each a domain for the others.
+COLUMNS = {t: KEYS.get(t, []) + NAMES.get(t, []) for t in dict.fromkeys([*KEYS, *NAMES])}
+#: Columns whose names one column mixes.
+MIXED = {"nation": "n_name", "part": "p_brand", "supplier": "s_name", "orders": "o_orderpriority"}
+
+
+def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers of all columns, and of one that mixes the names of several, by the columns as domains."""
+    domains = _kept(sets_of(spark, sf_dir, COLUMNS))
+    mixed = domains.filter(F.col("cid").isin([f"{t}.{c}" for t, c in MIXED.items()])).select(F.lit("mixed.names").alias("cid"), "val").distinct()
+    return match.domain_covers(domains.unionByName(mixed), domains)
+
+
+def _covers_sql(rounds: int = 4) -> str:
+    """The rounds of greedy covers as tables: hits h, best b and picks p of each round."""
+    mixed = " UNION ".join(f"SELECT 'mixed.names', {c} FROM {t}" for t, c in MIXED.items())
+    parts = [f"WITH d AS (SELECT DISTINCT cid, val FROM ({cells_sql(COLUMNS)})), s AS (SELECT cid, val FROM d UNION {mixed}), n AS (SELECT cid, count(*) AS n FROM s GROUP BY cid), h1 AS (SELECT p.cid, p.val, d.cid AS domain FROM s p JOIN d USING (val) JOIN n ON n.cid = d.cid AND n.n >= 8 WHERE p.cid <> d.cid)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"b{i} AS (SELECT cid, domain, count(*) AS gain FROM h{i} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY count(*) DESC, domain) = 1)")
+        before, join = ("q.covered + b.gain", f"JOIN p{i - 1} q ON q.cid = b.cid") if i > 1 else ("b.gain", "")
+        parts.append(f"p{i} AS (SELECT b.cid, {i} AS pick, b.domain, b.gain, n.n, {before} AS covered FROM b{i} b JOIN n ON n.cid = b.cid {join})")
+        parts.append(f"h{i + 1} AS (SELECT h.* FROM h{i} h JOIN p{i} p ON p.cid = h.cid AND p.covered < p.n * 0.98 WHERE NOT EXISTS (SELECT 1 FROM h{i} x WHERE x.cid = p.cid AND x.domain = p.domain AND x.val = h.val))")
+    union = " UNION ALL ".join(f"SELECT cid, pick, domain, gain, n, covered FROM p{i}" for i in range(1, rounds + 1))
+    return f"{', '.join(parts)}, c AS ({union})"
+
+
+@query("domain_covers", f"{_covers_sql()} SELECT cid, pick::INTEGER AS pick, domain, round(gain / n, 6) AS marginal, round(covered / n, 6) AS coverage FROM c")
+def domain_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the tables covered by the others, all of them at once."""
+    return _covers(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("marginal", "coverage")})
+
+
+@query(
+    "union_types",
+    f"{_covers_sql()} SELECT cid, string_agg(domain, ',' ORDER BY pick) AS domains, round(max(covered / n), 6) AS coverage, round(1 - max(covered / n), 6) AS residual, count(*) > 1 AND max(covered / n) >= 0.9 AS is_union FROM c GROUP BY cid",
+)
+def union_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that two or more domains make up together."""
+    found = match.union_types(_covers(spark, sf_dir))
+    return found.select("cid", F.array_join("domains", ",").alias("domains"), F.round("coverage", 6).alias("coverage"), F.round("residual", 6).alias("residual"), "is_union")
 
 
 TYPE_FAMILIES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "integer": "integer", "bigint": "integer", "float": "numeric", "double": "numeric", "decimal": "numeric", "string": "text", "varchar": "text"}
