@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,43 +154,86 @@ def matches(sig: Column, expression: str) -> Column:
 
     ! binds tightest, then &, ^ and |. An unknown name or a wrong expression gives null for every row.
     """
-    spans = list(re.finditer(r"\s*([A-Za-z0-9_]+|[!~&^|()])", expression))
-    if not spans or "".join(m[0] for m in spans) != expression.rstrip():
-        return F.lit(None).cast("boolean")
-    tokens = [m[1] for m in spans]
+    join = {"|": lambda a, b: a | b, "^": lambda a, b: a != b, "&": lambda a, b: a & b}
     try:
-        column, rest = _level(sig, tokens, 0)
+        return _read(expression, lambda name: has_feature(sig, name), lambda a: ~a, join)
     except ValueError:
         return F.lit(None).cast("boolean")
-    return F.lit(None).cast("boolean") if rest else column
+
+
+#: Clauses that one expression may have, at most.
+MOST_CLAUSES = 1024
+
+
+def clauses(expression: str) -> list[tuple[int, int]]:
+    """The expression as alternatives of two masks, bits that a signature must have and bits that it must lack.
+
+    A signature satisfies it if it does one of them. Alternatives that another one covers are left out. A wrong
+    expression, or one of over MOST_CLAUSES alternatives, gives a ValueError.
+    """
+
+    def least(found: set) -> frozenset:
+        kept: list[tuple[int, int]] = []
+        for need, lack in sorted(found, key=lambda c: (c[0].bit_count() + c[1].bit_count(), c)):
+            if not any(n & need == n and x & lack == x for n, x in kept):
+                kept.append((need, lack))
+        if len(kept) > MOST_CLAUSES:
+            raise ValueError("too many alternatives")
+        return frozenset(kept)
+
+    def both(a: frozenset, b: frozenset) -> frozenset:
+        if len(a) * len(b) > MOST_CLAUSES * MOST_CLAUSES:
+            raise ValueError("too many alternatives")
+        return least({(n | m, x | y) for n, x in a for m, y in b if not (n | m) & (x | y)})
+
+    # each part is known by what makes it true and what makes it false
+    join = {
+        "&": lambda a, b: (both(a[0], b[0]), least(a[1] | b[1])),
+        "|": lambda a, b: (least(a[0] | b[0]), both(a[1], b[1])),
+        "^": lambda a, b: (least(both(a[0], b[1]) | both(a[1], b[0])), least(both(a[0], b[0]) | both(a[1], b[1]))),
+    }
+    leaf = lambda name: (frozenset({(1 << BITS[name], 0)}), frozenset({(0, 1 << BITS[name])}))
+    return sorted(_read(expression, leaf, lambda a: (a[1], a[0]), join)[0])
+
+
+def _read(expression: str, leaf: Callable, invert: Callable, join: dict[str, Callable]):
+    """What an expression makes of its names by leaf, invert and join; a ValueError if it is wrong."""
+    spans = list(re.finditer(r"\s*([A-Za-z0-9_]+|[!~&^|()])", expression))
+    if not spans or "".join(m[0] for m in spans) != expression.rstrip():
+        raise ValueError("not an expression")
+    value, rest = _level([m[1] for m in spans], 0, leaf, invert, join)
+    if rest:
+        raise ValueError("something follows the expression")
+    return value
 
 
 #: Binary operators from the loosest to the tightest.
-_BINARY = (("|", lambda a, b: a | b), ("^", lambda a, b: a != b), ("&", lambda a, b: a & b))
+_BINARY = "|^&"
 
 
-def _level(sig: Column, tokens: list[str], depth: int) -> tuple[Column, list[str]]:
+def _level(tokens: list[str], depth: int, leaf: Callable, invert: Callable, join: dict[str, Callable]) -> tuple:
+    again = lambda t, d: _level(t, d, leaf, invert, join)
     if depth < len(_BINARY):
-        sign, join = _BINARY[depth]
-        column, tokens = _level(sig, tokens, depth + 1)
+        sign = _BINARY[depth]
+        value, tokens = again(tokens, depth + 1)
         while tokens[:1] == [sign]:
-            other, tokens = _level(sig, tokens[1:], depth + 1)
-            column = join(column, other)
-        return column, tokens
+            other, tokens = again(tokens[1:], depth + 1)
+            value = join[sign](value, other)
+        return value, tokens
     if not tokens:
         raise ValueError("an operand is missing")
     first, tokens = tokens[0], tokens[1:]
-    if first in "!~":
-        column, tokens = _level(sig, tokens, depth)
-        return ~column, tokens
+    if first in ("!", "~"):
+        value, tokens = again(tokens, depth)
+        return invert(value), tokens
     if first == "(":
-        column, tokens = _level(sig, tokens, 0)
+        value, tokens = again(tokens, 0)
         if tokens[:1] != [")"]:
             raise ValueError("a parenthesis is open")
-        return column, tokens[1:]
+        return value, tokens[1:]
     if first not in BITS:
         raise ValueError(f"unknown feature {first}")
-    return has_feature(sig, first), tokens
+    return leaf(first), tokens
 
 
 def signatures(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
-from valprint.operators import catalog, chunked, formulas, match, pages, registry, triage
-from valprint.operators.cells import canonical, cells, frequencies, value_sets
+from valprint.operators import catalog, chunked, expressions, formulas, match, pages, registry, stability, triage
+from valprint.operators.cells import canonical, cells, family, frequencies, value_sets
 from valprint.plans.registry import query
 from valprint.sources.scratch import written
 from valprint.sources.tables import parquet
@@ -438,7 +438,7 @@ def domain_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARROWS_SQL = f"""WITH k(tbl, col, target) AS (VALUES {", ".join(f"('{a.split('.')[0]}', '{a.split('.')[1]}', '{b.split('.')[0]}')" for a, b in FOREIGN)}),
-      p(tbl, col) AS (VALUES {", ".join(f"('{k.split('.')[0]}', '{k.split('.')[1]}')" for k in PRIMARY)}),
+      p(tbl, col) AS ({" UNION ALL ".join(f"SELECT '{t}', '{c}' FROM {t} HAVING count(DISTINCT {c}) = count(*)" for t, cs in LINKS.items() for c in cs)}),
       c AS ({" UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name AS col, column_type AS kind, row_number() OVER () AS ord FROM (DESCRIBE {t})" for t in KEYS)}),
       g AS (SELECT c.tbl, c.col, c.ord, p.col IS NOT NULL AS key, CASE WHEN target IS NOT NULL THEN 'domain:' || target WHEN regexp_matches(kind, 'INT|NUMERIC|REAL|DEC|DOUBLE|FLOAT') THEN 'measure'
         WHEN regexp_matches(kind, 'DATE|TIME') THEN 'temporal' ELSE 'text' END AS tag FROM c LEFT JOIN k ON k.tbl = c.tbl AND k.col = c.col LEFT JOIN p ON p.tbl = c.tbl AND p.col = c.col)"""
@@ -446,13 +446,12 @@ ARROWS_SQL = f"""WITH k(tbl, col, target) AS (VALUES {", ".join(f"('{a.split('.'
 
 @query("relation_arrows", f"{ARROWS_SQL} SELECT tbl AS relvar, '{{ ' || coalesce(string_agg(col, ', ' ORDER BY ord) FILTER (WHERE key), '') || ' }}' AS d, '{{ ' || coalesce(string_agg(col || ':' || tag, ', ' ORDER BY ord) FILTER (WHERE NOT key), '') || ' }}' AS c FROM g GROUP BY tbl")
 def relation_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key and typed columns of each table, from its own schema."""
-    rows = []
-    for t in KEYS:
-        for i, (c, kind) in enumerate(parquet(spark, sf_dir, t).dtypes):
-            rows.append((t, c, i, int(f"{t}.{c}" in PRIMARY), kind))
-    keys = [(a.split(".")[0], a.split(".")[1], b.split(".")[0]) for a, b in FOREIGN]
-    return catalog.arrows(spark.createDataFrame(rows, "tbl string, col string, ord int, pk_ord int, decl_type string"), spark.createDataFrame(keys, "tbl string, from_col string, target_tbl string"))
+    """Key and typed columns of each table: keys are the key-like columns whose values are unique, types its schema's."""
+    keys = all_cells(spark, sf_dir, LINKS).groupBy("cid", "val").agg(F.count("*").alias("f")).groupBy("cid").agg(F.max("f").alias("f")).filter("f = 1")
+    rows = [(t, c, i, kind) for t in KEYS for i, (c, kind) in enumerate(parquet(spark, sf_dir, t).dtypes)]
+    columns = spark.createDataFrame(rows, "tbl string, col string, ord int, decl_type string").withColumn("cid", F.concat("tbl", F.lit("."), "col")).join(keys, "cid", "left").withColumn("pk_ord", F.coalesce("f", F.lit(0).cast("long")))
+    targets = [(a.split(".")[0], a.split(".")[1], b.split(".")[0]) for a, b in FOREIGN]
+    return catalog.arrows(columns.select("tbl", "col", "ord", "pk_ord", "decl_type"), spark.createDataFrame(targets, "tbl string, from_col string, target_tbl string"))
 
 
 # Shapes of values
@@ -746,10 +745,50 @@ def envelope_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.envelope_report(sets_of(spark, sf_dir, CODES).toDF("domain", "m"), spark.createDataFrame(DECLARED, "domain string, feature_name string"))
 
 
-@query("broken_features", f"WITH {BITS_SQL}, d(domain, name) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{n}{chr(39)})' for a, n in DECLARED)}) SELECT domain, name AS broken_fk FROM d WHERE name NOT IN (SELECT name FROM b)")
+@query(
+    "broken_features",
+    f"""WITH {BITS_SQL}, d(domain, name) AS (VALUES {", ".join(f"('{a}', '{n}')" for a, n in DECLARED)}), n AS (SELECT cid, count(DISTINCT val) AS members FROM ({cells_sql(CODES)}) GROUP BY cid)
+    SELECT domain, name AS broken_fk, members FROM d JOIN n ON cid = domain WHERE name NOT IN (SELECT name FROM b)""",
+)
 def broken_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared features that the vocabulary lacks."""
-    return registry.broken_features(spark.createDataFrame(DECLARED, "domain string, feature_name string"))
+    """Declared features that the vocabulary lacks, with how many values the domain has that cannot be held against them."""
+    broken = registry.broken_features(spark.createDataFrame(DECLARED, "domain string, feature_name string"))
+    return broken.join(match.sizes(sets_of(spark, sf_dir, CODES)).toDF("domain", "members"), "domain")
+
+
+#: Definitions with one of each trouble: a double, an unknown name, a cycle and what hangs on it.
+DEFINITIONS = {
+    "plain": "has_upper & !has_lower", "ranked": "plain & has_dash", "tight": "ranked&!(has_paren|has_at) ^ all_digits", "shout": "has_upper&!has_lower", "numbered": "leads_alpha & has_digit | year_shaped",
+    "either": "plain ^ numbered", "typo": "plain & len_55", "worse": "typo | has_at", "loop": "knot & has_digit", "knot": "loop | has_upper", "hangs": "plain & loop", "short": "len_1 | !multi_token & len_2",
+}
+
+
+def _defined_sql() -> str:
+    """Texts by replacing one name after the other, and what each sound one means in bits."""
+    has = lambda n: f"((sig & {1 << charclass.BITS[n]}) <> 0)"
+    plain = f"({has('has_upper')} AND NOT {has('has_lower')})"
+    ranked = f"({plain} AND {has('has_dash')})"
+    numbered = f"({has('leads_alpha')} AND {has('has_digit')} OR {has('year_shaped')})"
+    tight = f"(({ranked} AND NOT ({has('has_paren')} OR {has('has_at')})) <> {has('all_digits')})"
+    means = {"plain": plain, "shout": plain, "ranked": ranked, "tight": tight, "numbered": numbered, "either": f"({plain} <> {numbered})", "short": f"({has('len_1')} OR NOT {has('multi_token')} AND {has('len_2')})"}
+    return f"""WITH RECURSIVE {SYMS_SQL}, {BITS_SQL}, d(name, expr) AS (VALUES {", ".join(f"('{n}', '{e}')" for n, e in DEFINITIONS.items())}),
+      e(name, text, step) AS (SELECT name, expr, 0 FROM d
+        UNION ALL SELECT name, regexp_replace(text, '\\b' || ref || '\\b', '(' || (SELECT expr FROM d WHERE d.name = ref) || ')', 'g'), step + 1
+        FROM (SELECT *, (SELECT min(d.name) FROM d WHERE regexp_matches(text, '\\b' || d.name || '\\b')) AS ref FROM e WHERE step < 24) WHERE ref IS NOT NULL),
+      x AS (SELECT name, text, (SELECT count(*) FROM d WHERE regexp_matches(text, '\\b' || d.name || '\\b')) > 0 AS cyclic FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY step DESC) = 1),
+      i AS (SELECT name, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS id FROM x WHERE NOT cyclic),
+      u AS (SELECT i.name, string_agg(id, ', ' ORDER BY id) FILTER (WHERE bit IS NULL) AS unknown, bit_or(1::BIGINT << bit) AS mask FROM i LEFT JOIN b ON b.name = id GROUP BY 1),
+      h AS ({" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER (WHERE {p}) AS members FROM g" for n, p in means.items())})
+    SELECT x.name, CASE WHEN NOT cyclic THEN text END AS expanded, CASE WHEN cyclic THEN 'cycle' WHEN unknown IS NOT NULL THEN 'undefined: ' || unknown END AS problem,
+      coalesce(mask, 0)::BIGINT AS mask, CASE WHEN NOT cyclic THEN sha256(regexp_replace(text, '\\s+', '', 'g')) END AS surrogate, coalesce(members, 0)::BIGINT AS members
+    FROM x LEFT JOIN u ON u.name = x.name LEFT JOIN h ON h.name = x.name"""
+
+
+@query("composite_registry", _defined_sql())
+def composite_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named expressions as rows: what they stand for, what is wrong with them, and how many codes satisfy them."""
+    symbols = sets_of(spark, sf_dir, CODES).select(F.col("val").alias("sym"))
+    return expressions.report(symbols, spark.createDataFrame(list(DEFINITIONS.items()), "name string, expr string")).select("name", "expanded", "problem", "mask", "surrogate", "members")
 
 
 @query(
@@ -942,12 +981,40 @@ def union_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPE_FAMILIES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "integer": "integer", "bigint": "integer", "float": "numeric", "double": "numeric", "decimal": "numeric", "string": "text", "varchar": "text"}
 
 
+#: Columns of every kind of type.
+TYPED = {**COLUMNS, "lineitem": [*COLUMNS["lineitem"], "l_quantity", "l_extendedprice", "l_shipdate"], "orders": [*COLUMNS["orders"], "o_totalprice", "o_orderdate"]}
+
+
 @query(
     "declared_families",
-    f"""WITH f(kind, family) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TYPE_FAMILIES.items())}), c AS ({" UNION ALL ".join(f"SELECT '{t}.' || column_name AS cid, lower(split_part(column_type, '(', 1)) AS kind FROM (DESCRIBE {t})" for t in KEYS)})
-    SELECT cid, family FROM c LEFT JOIN f USING (kind)""",
+    f"""WITH f(kind, declared) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TYPE_FAMILIES.items())}), c AS ({" UNION ALL ".join(f"SELECT '{t}.' || column_name AS cid, lower(split_part(column_type, '(', 1)) AS kind FROM (DESCRIBE {t})" for t in TYPED)}),
+      o AS (SELECT cid, CASE WHEN bool_and(regexp_full_match(val, '[-+]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(val, '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?')) THEN 'numeric' ELSE 'string' END AS observed FROM ({cells_sql(TYPED)}) GROUP BY cid)
+    SELECT cid, declared, observed FROM o JOIN c USING (cid) LEFT JOIN f USING (kind)""",
 )
 def declared_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The family of every column's declared type; dates and times have none here."""
-    rows = [(f"{t}.{c}", kind) for t in KEYS for c, kind in parquet(spark, sf_dir, t).dtypes]
-    return spark.createDataFrame(rows, "cid string, kind string").select("cid", catalog.declared_family(F.col("kind"), TYPE_FAMILIES).alias("family"))
+    """The family of every column's declared type beside that of its values; dates and times have no declared one here."""
+    rows = [(f"{t}.{c}", kind) for t in TYPED for c, kind in parquet(spark, sf_dir, t).dtypes]
+    declared = spark.createDataFrame(rows, "cid string, kind string").select("cid", catalog.declared_family(F.col("kind"), TYPE_FAMILIES).alias("declared"))
+    return all_cells(spark, sf_dir, TYPED).groupBy("cid").agg(family(F.col("val")).alias("observed")).join(declared, "cid").select("cid", "declared", "observed")
+
+
+# Samples
+
+
+#: Columns whose shapes are held against each other, with the key that deals their rows to samples.
+SAMPLED = {"customer": ("c_custkey", ["c_name", "c_mktsegment"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"]), "part": ("p_partkey", ["p_brand", "p_type"]), "lineitem": ("l_orderkey * 8 + l_linenumber", ["l_returnflag", "l_suppkey"])}
+
+
+@query(
+    "shape_stability",
+    f"""WITH c AS ({" UNION ALL ".join(f"SELECT '{t}.{c}' AS cid, floor((('0x' || substr(md5(({k})::VARCHAR), 1, 8))::BIGINT % 10000) / 1250)::INTEGER AS part, {c}::VARCHAR AS val FROM {t}" for t, (k, cs) in SAMPLED.items() for c in cs)}),
+      f AS (SELECT cid, part, val, count(*) AS f FROM c WHERE part < 4 AND trim(val) <> '' GROUP BY ALL), t AS (SELECT cid, part, sum(f) AS rows, count(*) AS n FROM f GROUP BY ALL),
+      p AS (SELECT cid, part, n / rows AS x, ln(1 + rows / n) / ln(1000001) AS y FROM t), g AS (SELECT a.cid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.cid = b.cid AND a.part < b.part),
+      m AS (SELECT cid, avg(d) AS distance, max(d) - min(d) AS spread FROM g GROUP BY cid)
+    SELECT p.cid, count(*) AS samples, round(any_value(distance), 6) AS distance, round(any_value(spread), 6) AS spread, round(stddev_samp(x), 6) AS ratio_deviation FROM p LEFT JOIN m ON m.cid = p.cid GROUP BY p.cid""",
+)
+def shape_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far shapes of columns differ between four disjoint samples of an eighth of the rows each."""
+    parts = [stability.sampled_cells(parquet(spark, sf_dir, t), t, cs, F.expr(k), 4, 50.0) for t, (k, cs) in SAMPLED.items()]
+    found = stability.shape_stability(reduce(DataFrame.unionByName, parts))
+    return found.select("cid", "samples", *[F.round(c, 6).alias(c) for c in ("distance", "spread", "ratio_deviation")])
