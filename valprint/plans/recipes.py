@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
-from valprint.operators import catalog, chunked, expressions, formulas, match, pages, registry, stability, triage
+from valprint.operators import catalog, chunked, expressions, formulas, hierarchy, match, pages, registry, stability, triage
 from valprint.operators.cells import canonical, cells, family, frequencies, value_sets
 from valprint.plans.registry import query
-from valprint.sources.scratch import written
+from valprint.sources import store
+from valprint.sources.scratch import new_folder, written
 from valprint.sources.tables import parquet
 
 #: Key-like columns of the tables, with the primary keys among them.
@@ -1018,3 +1019,85 @@ def shape_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [stability.sampled_cells(parquet(spark, sf_dir, t), t, cs, F.expr(k), 4, 50.0) for t, (k, cs) in SAMPLED.items()]
     found = stability.shape_stability(reduce(DataFrame.unionByName, parts))
     return found.select("cid", "samples", *[F.round(c, 6).alias(c) for c in ("distance", "spread", "ratio_deviation")])
+
+
+# Captures over time, properties and hierarchies
+
+
+KINDS = {**{c: "fk" for c, _ in FOREIGN}, **{k: "pk" for k in PRIMARY}}
+EARLIER_SQL = f"""WITH w AS (SELECT 1 AS k, * FROM ({cells_sql({t: cs for t, cs in KEYS.items() if t != "orders"})}) UNION ALL SELECT 1, 'orders.o_orderkey', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, 'orders.o_custkey', o_custkey::VARCHAR FROM orders WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT 2, * FROM ({cells_sql(KEYS)})),
+      c AS (SELECT k, cid, count(*) AS rows, count(DISTINCT val) AS n FROM w GROUP BY k, cid)"""
+
+
+def _earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of key-like columns as they were when only orders of even keys were there."""
+    others = all_cells(spark, sf_dir, {t: cs for t, cs in KEYS.items() if t != "orders"})
+    return others.unionByName(cells(parquet(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(*KEYS["orders"]), "orders"))
+
+
+@query(
+    "fingerprint_store",
+    f"""{EARLIER_SQL}, m(cid, kind, referenced) AS (VALUES {", ".join(f"('{c}', '{k}', {chr(39) + dict(FOREIGN)[c] + chr(39) if c in dict(FOREIGN) else 'NULL'})" for c, k in KINDS.items())}),
+      p AS (SELECT cid, kind, referenced, a.n AS n1, b.n AS n2 FROM m JOIN c a USING (cid) JOIN c b USING (cid) WHERE a.k = 1 AND b.k = 2)
+    SELECT 'first' AS at, cid, kind, referenced, n1 AS n, n1 AS held_members, 'c20240101000000' AS held FROM p
+    UNION ALL SELECT 'second', cid, kind, referenced, n2, n2, CASE WHEN n1 = n2 THEN 'c20240101000000' ELSE 'c20240201000000' END FROM p""",
+)
+def fingerprint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures of the key columns, the second with more orders, read as of a time after each."""
+    path = new_folder(spark, "store")
+    rows = [(f"{t}.{c}", KINDS.get(f"{t}.{c}"), dict(FOREIGN).get(f"{t}.{c}")) for t, cs in KEYS.items() for c in cs]
+    members = spark.createDataFrame(rows, "cid string, kind string, referenced string")
+    store.capture(chunked.build(_earlier(spark, sf_dir)), members, path, "2024-01-01")
+    store.capture(chunked.build(all_cells(spark, sf_dir, KEYS)), members, path, "2024-02-01")
+    read = []
+    for at, when in (("first", "2024-01-15"), ("second", "2024-02-15 12:00:00")):
+        held = chunked.cardinality(store.sets_as_of(spark, path, when)).toDF("cid", "held_members")
+        read.append(store.members_as_of(spark, path, when).join(held, "cid").select(F.lit(at).alias("at"), "cid", "kind", "referenced", "n", "held_members", "held"))
+    return read[0].unionByName(read[1])
+
+
+@query(
+    "survey_properties",
+    f"""{EARLIER_SQL}, r AS (SELECT cid, rows, n FROM c WHERE k = CASE WHEN cid LIKE 'orders.%' THEN 2 ELSE 1 END)
+    SELECT split_part(cid, '.', 1) AS object, split_part(cid, '.', 2) AS "column", CASE WHEN n = rows THEN 'key' WHEN n * 20 < rows THEN 'low-cardinality dimension' WHEN n * 2 > rows THEN 'measure' ELSE 'dimension' END AS classification,
+      rows::VARCHAR AS rows, n::VARCHAR AS members FROM r""",
+)
+def survey_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties found on an earlier state, with those of one table merged in from a later one, as a column each."""
+
+    def found(all_: DataFrame) -> DataFrame:
+        s = frequencies(all_).groupBy("cid").agg(F.sum("freq").cast("long").alias("rows"), F.count("*").alias("n"))
+        each = {"classification": triage.column_class(F.col("rows"), F.col("n")), "rows": F.col("rows").cast("string"), "members": F.col("n").cast("string")}
+        rows = F.explode(F.array(*[F.struct(F.lit(f"survey.{k}").alias("property"), v.alias("value")) for k, v in each.items()])).alias("p")
+        return s.select(F.substring_index("cid", ".", 1).alias("object"), F.substring_index("cid", ".", -1).alias("column"), rows).select("object", "column", "p.property", "p.value")
+
+    later = found(all_cells(spark, sf_dir, {"orders": KEYS["orders"]}))
+    merged = store.merged_rows(found(_earlier(spark, sf_dir)), later, ["object", "column", "property"])
+    return store.faceted(merged, "survey", ["classification", "rows", "members"])
+
+
+@query(
+    "place_paths",
+    """SELECT 'c' || c_custkey AS id, r_name || ' > ' || n_name || ' > ' || c_name AS path, 2::BIGINT AS depth, 'r' || r_regionkey AS root FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 's' || s_suppkey, r_name || ' > ' || n_name || ' > ' || s_name, 2, 'r' || r_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'n' || n_nationkey, r_name || ' > ' || n_name, 1, 'r' || r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, 0, 'r' || r_regionkey FROM region""",
+)
+def place_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations, customers and suppliers as one hierarchy with the path of each."""
+    level = lambda t, i, p, label: parquet(spark, sf_dir, t).select(F.concat(F.lit(i[0]), i[1]).alias("id"), (F.concat(F.lit(p[0]), p[1]) if p else F.lit(None).cast("string")).alias("parent"), F.col(label).alias("label"))
+    nodes = [level("region", ("r", "r_regionkey"), None, "r_name"), level("nation", ("n", "n_nationkey"), ("r", "n_regionkey"), "n_name"), level("customer", ("c", "c_custkey"), ("n", "c_nationkey"), "c_name"), level("supplier", ("s", "s_suppkey"), ("n", "s_nationkey"), "s_name")]
+    return hierarchy.label_paths(reduce(DataFrame.unionByName, nodes))
+
+
+@query(
+    "new_labels",
+    "SELECT DISTINCT label FROM (SELECT lower(p_brand) AS label FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT o_orderpriority FROM orders) WHERE upper(label) NOT IN (SELECT upper(p_brand) FROM part WHERE p_partkey % 3 = 0 UNION SELECT upper(o_orderpriority) FROM orders WHERE o_orderkey % 2 = 0)",
+)
+def new_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands in lower case, types and priorities that a registry of some brands and priorities lacks."""
+    part, orders = parquet(spark, sf_dir, "part"), parquet(spark, sf_dir, "orders")
+    label = lambda df, c: df.select((F.col(c) if isinstance(c, str) else c).alias("label"))
+    candidates = label(part, F.lower("p_brand")).union(label(part, "p_type")).union(label(orders, "o_orderpriority"))
+    existing = label(part.filter("p_partkey % 3 = 0"), "p_brand").union(label(orders.filter("o_orderkey % 2 = 0"), "o_orderpriority"))
+    return hierarchy.new_labels(candidates, existing)

@@ -19,9 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder among our own in the shared one."""
+    return f"{shared_folder(spark)}/valprint/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written once to a new table of the shared folder and read back; unlike a checkpoint its input runs once."""
-    path = f"{shared_folder(df.sparkSession)}/valprint/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
