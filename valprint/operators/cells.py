@@ -44,7 +44,7 @@ def sampled(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:
 
 def sample_distinct(df: DataFrame, limit: int = 4096) -> DataFrame:
     """At most limit distinct values of each column, the first in the order of their hash, so that runs agree."""
-    w = Window.partitionBy("cid").orderBy(F.xxhash64("val"), "val")
+    w = Window.partitionBy("cid").orderBy(F.md5(F.col("val").cast("binary")), "val")
     return df.select("cid", "val").distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).drop("rn")
 
 

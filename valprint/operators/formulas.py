@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _CELL = r"\$?[A-Z]{1,3}\$?[0-9]{1,7}"
 _TOKEN = rf'"[^"]*"|{_CELL}:{_CELL}|{_CELL}|[0-9]+(?:\.[0-9]+)?|[A-Z_][A-Z0-9_.]*|<=|>=|<>|[-+*/^&=<>(),%;:]'
@@ -88,3 +89,63 @@ def similar(formulas: DataFrame, library: DataFrame, threshold: float = 0.5) ->
     each = met.groupBy("formula", "match", *keys).agg(F.count("*").alias("common"), F.first(F.size("x") + F.size("y")).alias("both"))
     jac = F.col("common") / (F.col("both") - F.col("common"))
     return each.withColumn("jaccard", jac).filter(F.col("jaccard") >= threshold).select("formula", "match", "jaccard")
+
+
+def _tokens_of(skeletons: DataFrame) -> DataFrame:
+    """skeleton, pos, token, depth of each token; depth is that inside the parentheses that it opens or closes."""
+    token = rf'(@[0-9]*|#|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[A-Z_][A-Z0-9_.]*|<=|>=|<>|[-+*/^&=<>(),%;:])'
+    each = skeletons.select("skeleton", F.posexplode(F.regexp_extract_all("skeleton", F.lit(token), 1)).alias("pos", "token"))
+    order = Window.partitionBy("skeleton").orderBy("pos")
+    opens, closes = (F.col("token") == "(").cast("int"), (F.col("token") == ")").cast("int")
+    before = F.coalesce(F.sum(opens - closes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("depth", before + opens)
+
+
+def calls(skeletons: DataFrame) -> DataFrame:
+    """skeleton, pos, depth, call of each call in skeletons (skeleton), with the text from its name to its closing parenthesis.
+
+    The parentheses of one depth open and close in turn, so a call ends at the next one of its depth. Windows hold one
+    skeleton's tokens. Parentheses without a name before them are no calls, and one that never closes has no end.
+    """
+    tokens = _tokens_of(skeletons.select("skeleton").distinct())
+    order = Window.partitionBy("skeleton").orderBy("pos")
+    named = tokens.withColumns({"name": F.lag("token").over(order), "at": F.lag("pos").over(order)})
+    marks = named.filter("token in ('(', ')')").withColumn("end", F.lead(F.struct("token", "pos")).over(Window.partitionBy("skeleton", "depth").orderBy("pos")))
+    spans = marks.filter(F.col("token") == "(").filter(F.col("name").rlike(r"\A[A-Z_]") & (F.col("end.token") == ")")).select("skeleton", F.col("at").alias("first"), F.col("end.pos").alias("last"), "depth")
+    inside = spans.join(tokens.select("skeleton", "pos", "token"), "skeleton").filter("pos between first and last")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "")
+    return inside.groupBy("skeleton", F.col("first").alias("pos"), "depth").agg(text.alias("call"))
+
+
+def call_support(formulas: DataFrame) -> DataFrame:
+    """call and n, how often each call comes in formulas (formula), in flat skeletons; repeats in one formula count.
+
+    A skeleton is cut up once, however many formulas have it.
+    """
+    weights = formulas.groupBy(skeleton("formula").alias("skeleton")).agg(F.count("*").alias("w"))
+    return calls(weights).join(weights, "skeleton").groupBy("call").agg(F.sum("w").alias("n"))
+
+
+def guided_cuts(formulas: DataFrame, support: int = 2, known: DataFrame | None = None) -> DataFrame:
+    """sheet, cell, pos, call, n: the calls of formulas (sheet, cell, formula) that are popular, where they stand.
+
+    A call is popular with support or more in known (call, n), by default in the formulas themselves. Calls that are
+    not are left out, with what only they hold.
+    """
+    popular_calls = (known if known is not None else call_support(formulas)).filter(F.col("n") >= support)
+    flat = formulas.select("sheet", "cell", skeleton("formula").alias("skeleton"))
+    cuts = calls(flat).join(popular_calls.select("call", "n"), "call")
+    return flat.join(cuts, "skeleton").select("sheet", "cell", "pos", "call", "n")
+
+
+def measured(formulas: DataFrame) -> DataFrame:
+    """skeleton, n, nodes, operators, functions, reads, depth of the flat skeletons of formulas (formula).
+
+    nodes counts calls, operators, cells, ranges and literals; reads counts different cells and ranges of the first
+    formula by text.
+    """
+    each = formulas.groupBy(skeleton("formula").alias("skeleton")).agg(F.count("*").alias("n"), F.min("formula").alias("first"))
+    t = F.regexp_extract_all("skeleton", F.lit(r"(@|#|[A-Z_][A-Z0-9_.]*|<=|>=|<>|[-+*/^&=<>(),%;:])"), 1)
+    many = lambda pattern: F.size(F.filter(t, lambda x: x.rlike(rf"\A(?:{pattern})\z")))
+    operators, names = r"<=|>=|<>|[-+*/^&=<>%]", r"[A-Z_][A-Z0-9_.]*"
+    return each.select("skeleton", "n", many(rf"@|#|{names}|{operators}").alias("nodes"), many(operators).alias("operators"), F.size(functions_of("skeleton")).alias("functions"), arity("first").alias("reads"), depth("skeleton").alias("depth"))

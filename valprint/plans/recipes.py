@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from valprint.functions import charclass, codec, histogram, sketch
 from valprint.functions.hashing import sha256, value_hash, value_hash_normalized
-from valprint.operators import catalog, chunked, expressions, formulas, hierarchy, match, pages, registry, stability, triage
-from valprint.operators.cells import canonical, cells, family, frequencies, value_sets
+from valprint.operators import catalog, chunked, expressions, formulas, hierarchy, match, pages, registry, stability, triage, weights
+from valprint.operators.cells import canonical, cells, family, frequencies, sample_distinct, value_sets
 from valprint.plans.registry import query
 from valprint.sources import store
 from valprint.sources.scratch import new_folder, written
-from valprint.sources.tables import parquet
+from valprint.sources.tables import csv_lenient, csv_text, csv_typed, json_rows, parquet, replace_partitions, write_csv
 
 #: Key-like columns of the tables, with the primary keys among them.
 KEYS: dict[str, list[str]] = {
@@ -1101,3 +1101,155 @@ def new_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = label(part, F.lower("p_brand")).union(label(part, "p_type")).union(label(orders, "o_orderpriority"))
     existing = label(part.filter("p_partkey % 3 = 0"), "p_brand").union(label(orders.filter("o_orderkey % 2 = 0"), "o_orderpriority"))
     return hierarchy.new_labels(candidates, existing)
+
+
+# Cuts of formulas
+
+
+#: Formulas over line items by l_linenumber % 4: calls within calls, a group without a name, a call that comes twice.
+NESTED = ["IF(SUM(A1:A{k})>{n},SUM(B1:B{k})*2,ROUND(C{k}/3,2))", "ROUND(SUM(A1:A{k}),0)", "(A1+MAX(B{k},{n}))*IF(C1>{n},1,0)", "VLOOKUP(A{k},B1:C9,2)"]
+CALLS = [
+    ["IF(SUM(@)>#,SUM(@)*#,ROUND(@/#,#))", "SUM(@)", "SUM(@)", "ROUND(@/#,#)"], ["ROUND(SUM(@),#)", "SUM(@)"], ["MAX(@,#)", "IF(@>#,#,#)"], ["VLOOKUP(@,@,#)"],
+]
+PLACES = [[0, 2, 9, 16], [0, 2], [3, 11], [0]]
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
+    text = F.element_at(F.array(*[F.lit(f"={t}") for t in NESTED]), (k % 4).cast("int") + 1)
+    put = F.replace(F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{n}"), n)
+    return parquet(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.concat(F.lit("D"), F.col("l_orderkey").cast("string"), F.lit("_"), k.cast("string")).alias("cell"), put.alias("formula"))
+
+
+CALLS_SQL = f"WITH c(form, pos, call) AS (VALUES {', '.join(f'({i}, {p}, {chr(39)}{c}{chr(39)})' for i, (ps, cs) in enumerate(zip(PLACES, CALLS, strict=True)) for p, c in zip(ps, cs, strict=True))}), f AS (SELECT l_returnflag AS sheet, 'D' || l_orderkey || '_' || l_linenumber AS cell, l_linenumber % 4 AS form FROM lineitem), n AS (SELECT call, count(*) AS n FROM f JOIN c USING (form) GROUP BY call)"
+
+
+@query("call_support", f"{CALLS_SQL} SELECT call, n FROM n")
+def call_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each call comes within formulas."""
+    return formulas.call_support(_nested(spark, sf_dir))
+
+
+@query("formula_cuts", f"{CALLS_SQL} SELECT sheet, cell, pos, call, n FROM f JOIN c USING (form) JOIN n USING (call) WHERE n >= (SELECT count(*) FROM f) / 4")
+def formula_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of calls that come in a quarter of all formulas or more, as often as there are formulas."""
+    nested = _nested(spark, sf_dir)
+    least = nested.agg((F.count("*") / 4).alias("least"))
+    support = formulas.call_support(nested).join(F.broadcast(least), F.col("n") >= F.col("least")).select("call", "n")
+    return formulas.guided_cuts(nested, 1, support)
+
+
+@query("formula_measures", f"{CALLS_SQL}, m(form, skeleton, nodes, operators, functions, reads, depth) AS (VALUES (0, 'IF(SUM(@)>#,SUM(@)*#,ROUND(@/#,#))', 14, 3, 3, 3, 2), (1, 'ROUND(SUM(@),#)', 4, 0, 2, 1, 2), (2, '(@+MAX(@,#))*IF(@>#,#,#)', 12, 3, 2, 3, 2), (3, 'VLOOKUP(@,@,#)', 4, 0, 1, 2, 1)) SELECT skeleton, count(*) AS n, nodes, operators, functions, reads, depth FROM f JOIN m USING (form) GROUP BY ALL")
+def formula_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the skeletons of formulas."""
+    return formulas.measured(_nested(spark, sf_dir))
+
+
+# Histograms as rows
+
+
+HELD_SQL = f"""WITH w AS (SELECT cid, val, count(*)::DOUBLE AS weight FROM ({cells_sql(NAMES)}) GROUP BY 1, 2), d AS (SELECT DISTINCT cid AS domain, val FROM ({cells_sql(CODES)})),
+      t AS (SELECT cid, count(*) AS n, sum(weight) AS total_rows FROM w GROUP BY 1), h AS (SELECT w.cid, domain, sum(weight) / any_value(total_rows) AS held FROM w JOIN d USING (val) JOIN t ON t.cid = w.cid GROUP BY 1, 2)"""
+
+
+@query("weighted_domains", f"{HELD_SQL} SELECT cid, domain, round(held, 6) AS held FROM h")
+def weighted_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each name column's rows the sets of codes hold."""
+    return weights.held(weights.weights(frequencies(all_cells(spark, sf_dir, NAMES))), sets_of(spark, sf_dir, CODES)).withColumn("held", F.round("held", 6))
+
+
+@query(
+    "weighted_classes",
+    f"""{HELD_SQL}, b AS (SELECT *, count(*) OVER (PARTITION BY cid, held) AS ties FROM h QUALIFY row_number() OVER (PARTITION BY cid ORDER BY held DESC, domain) = 1)
+    SELECT t.cid, t.n, total_rows, round(t.n / total_rows, 6) AS cardinality_ratio, domain, round(coalesce(held, 0), 6) AS held, coalesce(ties, 0) AS ties FROM t LEFT JOIN b USING (cid)""",
+)
+def weighted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain of codes that holds most of each name column, and how many are as good."""
+    found = weights.classified(weights.weights(frequencies(all_cells(spark, sf_dir, NAMES))), sets_of(spark, sf_dir, CODES))
+    return found.withColumns({c: F.round(c, 6) for c in ("cardinality_ratio", "held")})
+
+
+@query(
+    "shape_distances",
+    f"""WITH w AS (SELECT cid, val, count(*)::DOUBLE AS weight FROM ({cells_sql(NAMES)}) GROUP BY 1, 2), s AS (SELECT cid, count(*) / sum(weight) AS x, ln(1 + sum(weight) / count(*)) / ln(1000001) AS y FROM w GROUP BY cid)
+    SELECT a.cid AS a, b.cid AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM s a JOIN s b ON a.cid < b.cid""",
+)
+def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the shapes of name columns are from each other."""
+    s = _kept(weights.shapes(weights.weights(frequencies(all_cells(spark, sf_dir, NAMES)))))
+    ids = s.select("cid")
+    pairs = ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b"))
+    return weights.distances(s, pairs).withColumn("distance", F.round("distance", 6))
+
+
+# Exchange with files, and what the vocabulary says of values
+
+
+@query(
+    "csv_exchange",
+    """SELECT 'text' AS how, count(*) AS n, sum(n_nationkey)::BIGINT AS keys, min(n_name) AS first FROM nation UNION ALL SELECT 'typed', count(*), sum(n_nationkey)::BIGINT, min(n_name) FROM nation
+    UNION ALL SELECT 'lenient', count(*), sum(n_nationkey)::BIGINT, min(n_name) FROM nation WHERE n_nationkey % 5 <> 0""",
+)
+def csv_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as CSV and read as text, typed, and leaving out the rows whose key is no number."""
+    path, broken = new_folder(spark, "csv"), new_folder(spark, "csv")
+    nation = parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    write_csv(nation, path)
+    write_csv(nation.withColumn("n_nationkey", F.when(F.col("n_nationkey") % 5 == 0, "none").otherwise(F.col("n_nationkey").cast("string"))), broken)
+    told = lambda df, how: df.agg(F.count("*").alias("n"), F.sum(F.col("n_nationkey").cast("long")).alias("keys"), F.min("n_name").alias("first")).select(F.lit(how).alias("how"), "n", "keys", "first")
+    schema = "n_nationkey long, n_name string"
+    return told(csv_text(spark, path), "text").unionByName(told(csv_typed(spark, path, schema), "typed")).unionByName(told(csv_lenient(spark, broken, schema), "lenient"))
+
+
+@query("json_unnest", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
+def json_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations sent as one JSON document a region and taken apart again."""
+    path = new_folder(spark, "json")
+    row = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    parquet(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(row).alias("items")).select(F.to_json(F.struct("items")).alias("value")).write.text(path)
+    return json_rows(spark, path, "items", "key long, name string, region long", lines=True)
+
+
+@query(
+    "replaced_domains",
+    """SELECT o_orderstatus AS domain, o_orderpriority AS label, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS state, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority < '3' GROUP BY ALL""",
+)
+def replaced_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by domain in a partitioned table, of which one domain is then replaced."""
+    path = new_folder(spark, "domains")
+    rows = parquet(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("domain"), F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    replace_partitions(rows.withColumn("state", F.lit("old")), path, "domain")
+    replace_partitions(rows.filter("domain = 'F' and label < '3'").withColumn("state", F.lit("new")), path, "domain")
+    return spark.read.schema("label string, n long, state string, domain string").parquet(path)
+
+
+@query("distinct_samples", f"SELECT cid, val FROM (SELECT DISTINCT cid, val FROM ({cells_sql(NAMES)})) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY md5(val), val) <= 40")
+def distinct_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 40 different values of each name column, the same in every run."""
+    return sample_distinct(all_cells(spark, sf_dir, NAMES), 40)
+
+
+@query(
+    "feature_names",
+    f"""{PROFILE_SQL}, v(name, expr) AS (VALUES {", ".join(f"('{n}', {chr(39) + e + chr(39) if e else 'NULL'})" for n, e in ((n, charclass.EXPRESSIONS.get(n)) for n in charclass.FEATURES.values()))})
+    SELECT cid, bit, b.name, expr, count(*) AS n FROM g JOIN b ON (sig >> bit) & 1 = 1 JOIN v ON v.name = b.name GROUP BY ALL""",
+)
+def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of every name column's values by name, with the expression that the published vocabulary has for each."""
+    told = "struct<features:array<struct<bit:int,expr:string,name:string,regexp:string>>,version:int>"
+    words = spark.range(1).select(F.inline(F.from_json(charclass.vocabulary_json(), told)["features"])).select("name", "expr")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("sig").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0)
+    each = charclass.signatures(all_cells(spark, sf_dir, NAMES), "val", ["cid"]).select("cid", "n", F.explode(bits).alias("bit"))
+    return each.groupBy("cid", "bit").agg(F.sum("n").alias("n")).withColumn("name", charclass.feature_name(F.col("bit"))).join(words, "name").select("cid", "bit", "name", "expr", "n")
+
+
+@query(
+    "shape_texts",
+    f"{SHAPES_SQL} SELECT g, round(cr, 8) AS cardinality_ratio, round(rep, 6) AS repeatability, 'two of seven' AS origin, 5::BIGINT AS keys FROM s",
+)
+def shape_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of histograms as JSON text with a source, read back."""
+    h = histogram.build_steps(_steps(spark, sf_dir), ["g"], "k", "eq", "rng", "drng", "k")
+    text = h.select("g", histogram.shape_json(histogram.set_shape(F.col("histogram"), source="two of seven")).alias("j"))
+    get = lambda n: F.get_json_object("j", f"$.{n}")
+    return text.select("g", F.round(get("cardinality_ratio").cast("double"), 8).alias("cardinality_ratio"), F.round(get("repeatability").cast("double"), 6).alias("repeatability"), get("source").alias("origin"), F.size(F.json_object_keys("j")).cast("long").alias("keys"))

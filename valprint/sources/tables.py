@@ -30,9 +30,9 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def json_rows(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """The elements of an array field of JSON documents, one row each."""
-    return spark.read.json(path, schema=f"{field} array<struct<{schema}>>", multiLine=True).select(F.inline(field))
+def json_rows(spark: SparkSession, path: str, field: str, schema: str, lines: bool = False) -> DataFrame:
+    """The elements of an array field of JSON documents, one row each; a document is a file, or with lines a line."""
+    return spark.read.json(path, schema=f"{field} array<struct<{schema}>>", multiLine=not lines).select(F.inline(field))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
