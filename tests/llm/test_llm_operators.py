@@ -359,6 +359,40 @@ def test_languages_of_hard_rows(spark):
     assert backoff_language.learn(unlabelled).langs == []
 
 
+@pytest.mark.parametrize("same", [7, 10, None])
+def test_languages_learned_from_rows_of_one_id(spark, same):
+    """Twenty thousand rows that share a doc_id, or have none, are sampled by themselves."""
+    if same is not None and zlib.crc32(str(same).encode()) % 3 == 1:
+        same += 4
+    texts = {"en": "the and with of this that", "fr": "le la avec des cette que"}
+    rows = [(same, t, lang) for lang, t in texts.items() for _ in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = backoff_language.learn(docs, 500)
+    assert model.langs == ["en", "fr"]
+    probe = spark.createDataFrame([(1, "cette avec", None), (2, "this with", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in backoff_language.identify(probe, model).collect()} == {1: "fr", 2: "en"}
+
+
+def test_the_sample_of_languages_is_bounded_and_counted_whole(spark):
+    docs = documents(spark)
+    rows = [r for r in docs.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    plain = {}
+    for r in rows:  # every labelled row fits the sample: its counts are those of all
+        for w in backoff_language.words_of(r["text"].lower()):
+            plain[r["lang"], w] = plain.get((r["lang"], w), 0) + 1
+    model = backoff_language.learn(docs)
+    key, logs = model.tables[0]
+    kinds = len({w for _, w in plain})
+    assert len(key) == kinds
+    total = {x: sum(n for (lang, _), n in plain.items() if lang == x) for x in model.langs}
+    for (lang, w), n in list(plain.items())[::97]:
+        at = int(np.searchsorted(key, np.uint64(backoff_language.hash_of(w))))
+        assert logs[at, model.langs.index(lang)] == pytest.approx(math.log((n + 0.5) / (total[lang] + 0.5 * kinds)), abs=1e-5)
+    # a bound on bytes thins the sample, and so what it teaches
+    few = backoff_language.learn(docs, octets=sum(len(r["text"].encode()) for r in rows) // 10)
+    assert 0 < len(few.tables[0][0]) < kinds
+
+
 def test_texts_without_letters_have_no_language(spark):
     model = backoff_language.learn(documents(spark))
     docs = spark.createDataFrame([(1, "½ ² ①"), (2, "12 _ --"), (3, "ab²cd"), (None, "the and"), (4, "Ⅷ")], "doc_id long, text string")
@@ -915,6 +949,14 @@ def test_top_k_query_equals_the_oracle(spark):
     assert sorted(map(tuple, df.select(*rel.columns).collect())) == sorted(rel.fetchall())
 
 
+def test_sequence_numbers_outlast_many_turns(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 600, 1, i) for i in range(5)], best_fit.PIECE + ", row long")
+    got = best_fit._packed(pieces, 5, 1024, 200, 1 << 33).collect()
+    assert len({r["sequence_id"] for r in got}) == 5 and min(r["sequence_id"] for r in got) >> 28 == 1 << 33
+    with pytest.raises(ValueError, match="too many pieces"):
+        best_fit._packed(pieces, 5, 1024, 200, 1 << 34)
+
+
 def test_pipeline_drops_what_each_stage_finds(spark):
     docs = documents(spark)
     columns = docs.columns
@@ -952,7 +994,7 @@ def test_stages_judge_rows_by_their_own_text(spark):
     hard = docs.unionByName(bad.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(bad.withColumn("doc_id", F.lit(5).cast("long"))).unionByName(leak.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).unionByName(clean)
     for i, t in enumerate(ODD):
         hard = hard.unionByName(docs.limit(1).withColumn("text", F.lit(t).cast("string")).withColumn("doc_id", F.lit(None if i % 3 == 0 else 10_000 + i).cast("long")))
-    hard = hard.withColumns({"score": F.lit("x"), "__row": F.lit(1), "node": F.lit("n"), "kept": F.lit(None).cast("string")}).drop("__row")
+    hard = hard.withColumns({"score": F.lit("x"), "__row": F.lit(1), "node": F.lit("n"), "kept": F.lit(None).cast("string"), "_metadata": F.lit(7), "__row_": F.lit("r")})
     text = bad.first()["text"]
     after = corpus_pipeline.toxicity(spark, hard, SF)
     assert after.columns == hard.columns and after.filter(F.col("text") == text).count() == 0
@@ -963,7 +1005,10 @@ def test_stages_judge_rows_by_their_own_text(spark):
     assert after.columns == hard.columns and after.filter("text is null or text in ('', ' ')").count() == 0
     after = corpus_pipeline.near_duplicates(spark, hard, SF)
     rows = after.collect()
-    assert after.columns == hard.columns and len({r["text"] or "" for r in rows}) == len(rows)
+    assert after.dtypes == hard.dtypes and len({r["text"] or "" for r in rows}) == len(rows)
+    assert {(r["__row"], r["_metadata"], r["__row_"]) for r in rows} == {(1, 7, "r")}
+    written = corpus_pipeline.written(hard, "hard-rows")
+    assert sorted((r["text"] or "", r["__row"]) for r in corpus_pipeline.near_duplicates(spark, written, SF).collect()) == sorted((r["text"] or "", r["__row"]) for r in rows)
     assert corpus_pipeline.packing(spark, hard, SF).select("doc_id").distinct().count() == hard.select("doc_id").distinct().count()
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from valprint.llm.shared import dropped, held_out, kept, kept_rows, slices, written
 
-#: Labelled documents that the model learns from, about; it keeps all words and n-grams of theirs.
-SAMPLE = 8_000
+#: Labelled documents that the model learns from, about, and bytes of them at most, about; it keeps all words and n-grams of theirs.
+SAMPLE, BYTES = 8_000, 64_000_000
 #: Characters of the longest n-gram, with the marks at a word's ends.
 LONGEST = 5
 #: Words whose evidence makes a score; longer texts are scored as so many words like their average.
@@ -139,24 +139,22 @@ class Scorer:
         return out
 
 
-def _logs(counts: np.ndarray, totals: np.ndarray, kinds: int) -> np.ndarray:
-    """Smoothed log frequency of each row in each language."""
-    return np.log((counts + 0.5) / (totals + 0.5 * max(1, kinds)))
-
-
 COUNTED = "lang string, size int, hash long, n long"
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on about sample labelled documents (doc_id, text, lang), chosen by a hash of doc_id.
+def learn(docs: DataFrame, sample: int = SAMPLE, octets: int = BYTES) -> Model:
+    """Fits a model on about sample labelled documents (doc_id, text, lang), of about octets bytes at most, chosen by chance.
 
+    The choice is by a hash of a row's doc_id, text and place, so rows that share a doc_id, have none, or repeat each
+    other are each chosen or not by themselves; the same table gives the same choice.
     Rows without text or lang and those that held_out() marks teach nothing; a table without any that teach gives a
     model without languages. All words and n-grams of the chosen documents are counted on executors, and all are kept
     as hashes with a count for each language.
     """
     able = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = able.agg(F.count("*")).first()[0]
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(min(1, sample / max(1, found)) * (1 << 20))
+    found, whole = able.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1, sample / max(1, found), octets / max(1, whole))
+    chosen = able.withColumn("chance", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40))).filter(F.col("chance") < math.ceil(share * (1 << 40)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, chars=16_000_000):
@@ -178,7 +176,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
             lang, size, key = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "hash", "n"])
 
-    words = able.filter(part).select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = chosen.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = written(words.mapInArrow(count_grams, COUNTED).groupBy("lang", "size", "hash").agg(F.sum("n").alias("n")), "language-counts")
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", "size").agg(F.sum("n")).collect()}
     langs = sorted({lang for lang, _ in totals})

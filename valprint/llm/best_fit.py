@@ -100,16 +100,17 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fills
 
 
-def _packed(pieces: DataFrame, rows: int, capacity: int, turn: int) -> DataFrame:
+def _packed(pieces: DataFrame, rows: int, capacity: int, turn: int, before: int) -> DataFrame:
+    """pieces packed in partitions dealt anew each turn; before counts the partitions of earlier turns, for the numbers."""
     buckets = -(-rows // EACH)
-    if not 0 <= buckets < 1 << 30:
+    if before + buckets >= 1 << 34:
         raise ValueError("too many pieces for the numbering of sequences")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         bins, offsets, fills = best_fit(pdf["length"].tolist(), capacity)
         gap = len(fills) - lower_bound(pdf["length"].to_numpy(), capacity)
-        sequence = (turn << 58) + (int(pdf["bucket"].iloc[0]) << 28) + np.array(bins, np.int64)
+        sequence = ((before + int(pdf["bucket"].iloc[0])) << 28) + np.array(bins, np.int64)
         return pdf.drop(columns="bucket").assign(sequence_id=sequence, offset=offsets, fill=np.array(fills, np.int64)[bins], gap=gap)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
@@ -128,7 +129,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     often as they come; an empty table gives no rows; further columns are left out.
     """
     pieces = written(cut(docs, capacity, end_id, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    placed = written(_packed(pieces, pieces.count(), capacity, 0), "packed")
+    n = pieces.count()
+    placed, before = written(_packed(pieces, n, capacity, 0, 0), "packed"), -(-n // EACH)
     dropped(pieces)
     done = None
     for turn in itertools.count(1):
@@ -142,7 +144,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
         if loose < 2:
             break
         pool = placed.join(chosen.select("sequence_id"), "sequence_id", "left_semi")
-        again = written(_packed(pool, rows, capacity, turn), "packed")
+        again = written(_packed(pool, rows, capacity, turn, before), "packed")
+        before += -(-rows // EACH)
         if again.agg(F.count_distinct("sequence_id")).first()[0] >= loose:
             dropped(again)
             break

@@ -123,6 +123,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def parts_for(rows: int, each: int, spark: SparkSession) -> int:
-    """Partitions for so many rows, at least one for each core."""
-    return max(-(-rows // each), spark.sparkContext.defaultParallelism, 1)
+#: Partitions whose ranges or totals the driver keeps, at most; beyond them partitions grow, and sorts spill.
+MOST_PARTS = 16_384
+
+
+def parts_for(rows: int, each: int, spark: SparkSession, most: int | None = None) -> int:
+    """Partitions for so many rows, at least one for each core; with most no more than these."""
+    parts = max(-(-rows // each), spark.sparkContext.defaultParallelism, 1)
+    return parts if most is None else min(parts, most)

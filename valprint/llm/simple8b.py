@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valprint.llm.byte_ids import encoder
-from valprint.llm.shared import parts_for, slices, written
+from valprint.llm.shared import MOST_PARTS, parts_for, slices, written
 
 #: Ids of a block; blocks begin at word boundaries that the file lists.
 BLOCK = 256
@@ -138,7 +138,7 @@ def write_ids(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -
     equal doc_ids by a hash of the text. Each row of the table is a chunk of whole documents with the ids before it in its part.
     A null text counts as empty and holds the end id alone.
     """
-    parts = parts_for(docs.count(), 4096, docs.sparkSession)
+    parts = parts_for(docs.count(), 4096, docs.sparkSession, MOST_PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
