@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from valprint.functions import codec, containers, sketch
+from valprint.functions.hashing import value_hash
 from valprint.operators import chunked
 
 SETS = {
@@ -88,6 +89,17 @@ def test_values_equal_the_sets_of_one_row(spark):
         assert read(chunked.build(values, fold)) == want
 
 
+def test_registry_filters_hold_folded_labels(spark):
+    import base64
+
+    from valprint.operators import registry
+
+    rows = spark.createDataFrame([("d", "Été"), ("d", "ete"), ("d", "x"), ("d", None), ("e", "X")], "domain_name string, label string")
+    got = {r["domain_name"]: r for r in registry.enumerations(rows).collect()}
+    hashes = {r["h"] for r in spark.sql("select 'x' v union all select 'ete'").select(value_hash("v").alias("h")).collect()}
+    assert got["d"]["member_count"] == 2 and set(codec.decode(base64.b64decode(got["d"]["filter_b64"])).tolist()) == hashes and got["e"]["member_count"] == 1
+
+
 def test_no_sets(spark, built):
     none = built.filter("cid = 'no such'")
     assert chunked.merged(none).count() == chunked.exported(none).count() == chunked.common(none, built).count() == chunked.members(none).count() == 0

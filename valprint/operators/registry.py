@@ -7,14 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valprint.functions import charclass, codec, sketch
+from valprint.functions import charclass
 from valprint.functions.hashing import normalized, sha256
+from valprint.operators import chunked
 
 
 def enumerations(members: DataFrame) -> DataFrame:
     """domain_name, member_count, filter_b64 of members (domain_name, label), one for each label without case and accents."""
     folded = members.filter(F.col("label").isNotNull()).select("domain_name", normalized("label").alias("label")).distinct()
-    return folded.groupBy("domain_name").agg(F.count("*").alias("member_count"), sketch.build("label").alias("s")).select("domain_name", "member_count", codec.to_base64(F.col("s")).alias("filter_b64"))
+    sent = chunked.exported(chunked.build(folded.select(F.col("domain_name").alias("cid"), F.col("label").alias("val"))))
+    text = F.translate(F.base64("data"), "\r\n", "").alias("filter_b64")
+    return folded.groupBy("domain_name").agg(F.count("*").alias("member_count")).join(sent.withColumnRenamed("cid", "domain_name"), "domain_name").select("domain_name", "member_count", text)
 
 
 def refreshed(registry: DataFrame, new: DataFrame) -> DataFrame:

@@ -1115,10 +1115,11 @@ PLACES = [[0, 2, 9, 16], [0, 2], [3, 11], [0]]
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the sheet, cell and text of a formula each."""
     k, n = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
     text = F.element_at(F.array(*[F.lit(f"={t}") for t in NESTED]), (k % 4).cast("int") + 1)
     put = F.replace(F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{n}"), n)
-    return parquet(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.concat(F.lit("D"), F.col("l_orderkey").cast("string"), F.lit("_"), k.cast("string")).alias("cell"), put.alias("formula"))
+    return parquet(spark, sf_dir, "lineitem").select("*", F.col("l_returnflag").alias("sheet"), F.concat(F.lit("D"), F.col("l_orderkey").cast("string"), F.lit("_"), k.cast("string")).alias("cell"), put.alias("formula"))
 
 
 CALLS_SQL = f"WITH c(form, pos, call) AS (VALUES {', '.join(f'({i}, {p}, {chr(39)}{c}{chr(39)})' for i, (ps, cs) in enumerate(zip(PLACES, CALLS, strict=True)) for p, c in zip(ps, cs, strict=True))}), f AS (SELECT l_returnflag AS sheet, 'D' || l_orderkey || '_' || l_linenumber AS cell, l_linenumber % 4 AS form FROM lineitem), n AS (SELECT call, count(*) AS n FROM f JOIN c USING (form) GROUP BY call)"
@@ -1145,6 +1146,24 @@ def formula_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.measured(_nested(spark, sf_dir))
 
 
+SKELETONS = ["IF(SUM(@)>#,SUM(@)*#,ROUND(@/#,#))", "ROUND(SUM(@),#)", "(@+MAX(@,#))*IF(@>#,#,#)", "VLOOKUP(@,@,#)"]
+
+
+@query(
+    "similar_formulas",
+    f"""WITH x(form, text, skeleton) AS (VALUES {", ".join(f"({i}, '={t}', '{k}')" for i, (t, k) in enumerate(zip(NESTED, SKELETONS, strict=True)))}),
+      t AS (SELECT form, list_concat(['^'], regexp_extract_all(skeleton, '@|#|[A-Z]+|[-+*/>(),]'), ['$']) AS t FROM x), s AS (SELECT form, list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS s FROM t),
+      j AS (SELECT a.form AS fa, b.form AS fb, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM s a JOIN s b ON len(list_intersect(a.s, b.s)) > 0),
+      f AS (SELECT DISTINCT form, l_suppkey, replace(replace(text, '{{k}}', l_linenumber::VARCHAR), '{{n}}', l_suppkey::VARCHAR) AS formula, l_returnflag AS rf, l_linestatus AS ls FROM lineitem JOIN x ON form = l_linenumber % 4)
+    SELECT DISTINCT a.formula, b.formula AS match, round(jaccard, 6) AS jaccard FROM f a JOIN f b ON a.rf = b.rf AND a.ls = b.ls AND b.l_suppkey = 1 JOIN j ON fa = a.form AND fb = b.form WHERE jaccard >= 0.1""",
+)
+def similar_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over line items beside like ones of the first supplier, of one return flag and line status."""
+    made = _nested(spark, sf_dir).select("l_suppkey", "formula", F.array("l_returnflag").alias("in_domains"), F.col("l_linestatus").alias("out_domain"))
+    found = formulas.similar(made, made.filter("l_suppkey = 1"), 0.1)
+    return found.select("formula", "match", F.round("jaccard", 6).alias("jaccard")).distinct()
+
+
 # Histograms as rows
 
 
@@ -1253,3 +1272,15 @@ def shape_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = h.select("g", histogram.shape_json(histogram.set_shape(F.col("histogram"), source="two of seven")).alias("j"))
     get = lambda n: F.get_json_object("j", f"$.{n}")
     return text.select("g", F.round(get("cardinality_ratio").cast("double"), 8).alias("cardinality_ratio"), F.round(get("repeatability").cast("double"), 6).alias("repeatability"), get("source").alias("origin"), F.size(F.json_object_keys("j")).cast("long").alias("keys"))
+
+
+@query(
+    "code_members",
+    """WITH c AS (SELECT DISTINCT p_size::VARCHAR AS code, p_brand AS name FROM part), m AS (SELECT code AS label FROM c UNION SELECT lpad(code, 4, '0') FROM c UNION SELECT name FROM c UNION SELECT code || ' ' || name FROM c)
+    SELECT 'sizes' AS domain_name, count(*) AS member_count, (SELECT count(*) FROM m WHERE label LIKE '0%') AS padded, min(label) AS first FROM m""",
+)
+def code_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of parts with their brands as members of a domain: each code plain and padded, its description, and both."""
+    part = parquet(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("code"), "p_brand").distinct()
+    members = part.select(F.explode(registry.code_forms(F.col("code"), F.col("p_brand"), 4)).alias("label")).distinct()
+    return members.agg(F.count("*").alias("member_count"), F.count_if(F.col("label").like("0%")).alias("padded"), F.min("label").alias("first")).select(F.lit("sizes").alias("domain_name"), "member_count", "padded", "first")

@@ -20,8 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """The path of a new folder among our own in the shared one."""
-    return f"{shared_folder(spark)}/valprint/{label}-{uuid.uuid4().hex}"
+    """The path of a new folder among our own in the shared one; what is left of it goes when the driver ends."""
+    name = f"{shared_folder(spark)}/valprint/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)  # only what is there can be named for deletion
+    files.deleteOnExit(path)
+    files.delete(path, True)
+    return name
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
