@@ -73,6 +73,15 @@ def test_batches_hold_equal_lengths_and_tokens(spark):
     assert sorted(r["batch"] for r in found if r["bucket"] == 11) == list(range(last[11] + 1))
 
 
+def test_ids_of_very_long_runs():
+    from valprint.llm.byte_ids import encoder
+
+    texts = ["a" * 300_000, " " * 1_500_000 + "x", "^" * 300_000, "\n" * 300_000 + " y", "é" * 100_000, "12" * 100_000, "  ab" * 60_000, "x \u3000" * 60_000]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, ids in zip(texts, encoder().encode(texts), strict=True):
+        assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:3]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 70_000), min_size=1, max_size=20), st.integers(0, 12))
 def test_decompose(sizes, log):

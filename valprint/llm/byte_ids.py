@@ -1,4 +1,4 @@
-"""Token ids of whole texts for a byte-level vocabulary, remembered by chunk."""
+"""Token ids of whole texts for a byte-level vocabulary."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ import numpy as np
 
 from valprint.llm.shared import kept
 
-#: Entries of a worker's memory of encoded chunks; it starts anew beyond them.
-MEMO = 250_000
-_loose = re.compile(r" (?=\s|\Z)")
-_before_blank = re.compile(r"(?= \S)")
+
+#: Blanks in a row that the faster encoder's word pattern is not asked to go back over; texts with more go to the library.
+BLANKS = 50_000
+_blanks = re.compile(rf"\s{{{BLANKS}}}")
 
 
 def byte_vocabulary() -> str:
@@ -26,10 +26,8 @@ def byte_vocabulary() -> str:
 class ByteEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, as the library gives them without added special tokens.
 
-    The vocabulary's word pattern lets a blank only begin a token, so a text may be cut before each blank that a
-    visible character follows, and a worker encodes each distinct chunk once. Chunks go through an encoder over the
-    same ranks where the vocabulary allows it, else to the library; texts that hold the string of a special token
-    go to the library whole.
+    Texts go whole through an encoder over the same ranks where the vocabulary allows it, else to the library; texts
+    that hold the string of a special token, or very many blanks in a row, always go to the library.
     """
 
     def __init__(self, path: str):
@@ -38,11 +36,7 @@ class ByteEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.ranked = self._by_rank(path)
-        if self.ranked is not None:
-            self.size = np.array([len(self.ranked.decode_single_token_bytes(i)) for i in range(self.ranked.n_vocab)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.inner: dict[str, bytes] = {}  # by the chunk without its leading blank
-        self.first: dict[str, bytes] = {}  # chunks at the start of a text
 
     @staticmethod
     def _by_rank(path: str):
@@ -61,57 +55,16 @@ class ByteEncoder:
         ranks = {bytes(map(byte.__getitem__, k)): v for k, v in vocab.items() if v < 256 + len(made)}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _learn(self, memo: dict[str, bytes], lead: str, chunks: set[str]) -> None:
-        new = list(chunks - memo.keys())
-        if self.ranked is not None:
-            if lead:
-                self._learn_joined(memo, new)
-            else:
-                memo.update((c, array("I", self.ranked.encode_ordinary(c)).tobytes()) for c in new)
-            return
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for chunk, e in zip(some, self.library.encode_batch([lead + c for c in some], add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn_joined(self, memo: dict[str, bytes], chunks: list[str]) -> None:
-        """One call for all chunks; the tokens' lengths tell where each chunk ends."""
-        if not chunks:
-            return
-        ids = np.array(self.ranked.encode_ordinary(" " + " ".join(chunks)), "<u4")
-        sizes = np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks))
-        upto = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1
-        flat, at = ids.tobytes(), 0
-        for chunk, to in zip(chunks, (upto * 4).tolist(), strict=True):
-            memo[chunk] = flat[at:to]
-            at = to
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads: list[str | None] = []
-        tails: list[list[str]] = []
-        whole: dict[int, bytes] = {}
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                heads.append(None)
-                tails.append([])
-                continue
-            if _loose.search(text):
-                chunks = _before_blank.split(text)
-                head, *rest = chunks
-                rest = [c[1:] for c in rest]
+        if self.ranked is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special) or len(text) >= BLANKS and _blanks.search(text):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                head, *rest = text.split(" ")
-            heads.append(head)
-            tails.append(rest)
-        if len(self.inner) > MEMO:
-            self.inner.clear()
-        if len(self.first) > MEMO // 10:
-            self.first.clear()
-        self._learn(self.inner, " ", set().union(*tails))
-        self._learn(self.first, "", {h for h in heads if h is not None})
-        get = self.inner.__getitem__
-        return [whole[i] if h is None else self.first[h] + b"".join(map(get, t)) for i, (h, t) in enumerate(zip(heads, tails, strict=True))]
+                out.append(array("I", self.ranked.encode_ordinary(text)).tobytes())
+        return out
 
 
 def encoder(path: str | None = None) -> ByteEncoder:
