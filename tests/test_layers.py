@@ -34,7 +34,8 @@ def test_no_reference_is_lost(spark, first):
     columns = random_columns(first)
     distinct = {c: {str(v) for v in vs} for c, vs in columns.items()}
     all_ = cells(spark, columns)
-    pairs = triage.bounded_pairs(triage.summaries(all_, first))
+    summed = triage.summaries(all_, first).cache()
+    pairs = triage.bounded_pairs(summed)
     found = {(r["child"], r["parent"]): r["bound"] for r in pairs.collect()}
     true = lambda a, b: len(distinct[a] & distinct[b]) / len(distinct[a])
     assert all(bound >= true(*p) - 1e-12 for p, bound in found.items())
@@ -44,6 +45,9 @@ def test_no_reference_is_lost(spark, first):
     assert {p for p in itertools.product(distinct, keys) if p[0] != p[1] and number(p[0]) == number(p[1]) and "measure" not in p} == {p for p in found if "measure" not in p}
     exact = {(r["child"], r["parent"]): (r["containment"], r["violations"]) for r in triage.layered_keys(all_.distinct(), pairs, 0.9).collect()}
     assert exact == {(a, b): (true(a, b), len(distinct[a] - distinct[b])) for a, b in found if true(a, b) >= 0.9}
+    # a threshold on the sizes first loses none either
+    able = {(r["child"], r["parent"]): r["bound"] for r in triage.bounded_pairs(summed, threshold=0.9).collect()}
+    assert able.items() <= found.items() and {p for p, b in found.items() if b >= 0.9} <= able.keys()
     pruned = sum(b < 0.9 for b in found.values()) / len(found)
     assert pruned > {4: 0.5, 64: 0.6, 512: 0.6}[first] and len(exact) >= 8
 

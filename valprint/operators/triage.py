@@ -47,31 +47,35 @@ def column_class(rows: Column, n: Column) -> Column:
     return F.when(n == rows, "key").when(n * 20 < rows, "low-cardinality dimension").when(n * 2 > rows, "measure").otherwise("dimension")
 
 
-def containment_bound(a: Column, b: Column) -> Column:
-    """The largest part of column a that can lie in b, from structs of their summaries.
-
-    It is the least of what follows from the sizes, from the ends of whole numbers, and from the first values: what
-    a's hold up to where b's reach and b's lack is certainly missing.
-    """
+def size_bound(a: Column, b: Column) -> Column:
+    """The largest part of column a that can lie in b by their sizes and the ends of whole numbers, from structs of their summaries."""
     na = a["n"]
     room = F.greatest(F.least(a["high"], b["high"]).cast("decimal(20,0)") - F.greatest(a["low"], b["low"]) + 1, F.lit(0))
     inside = F.when(a["low"].isNotNull() & b["low"].isNotNull(), F.least(na.cast("decimal(20,0)"), room)).otherwise(na.cast("decimal(20,0)")).cast("double")
+    return F.least(F.lit(1.0), b["n"] / na, inside / na)
+
+
+def head_bound(a: Column, b: Column) -> Column:
+    """The same by the first values: what a's hold up to where b's reach and b's lack is certainly missing."""
     reach = F.when(~b["whole"], F.array_max(b["head"]))
     seen = F.filter(a["head"], lambda h: reach.isNull() | (h <= reach))
-    missing = F.size(F.array_except(seen, b["head"]))
-    return F.least(F.lit(1.0), b["n"] / na, inside / na, (na - missing) / na)
+    return (a["n"] - F.size(F.array_except(seen, b["head"]))) / a["n"]
 
 
-def bounded_pairs(summed: DataFrame, least: int = 8) -> DataFrame:
+def bounded_pairs(summed: DataFrame, least: int = 8, threshold: float = 0.0) -> DataFrame:
     """child, parent, child_class, bound for each column against each key of its family with least or more values.
 
-    The rows are columns by keys, not values; both sides meet by their family.
+    The rows are columns by keys, not values; both sides meet by their family with sizes and ends alone. Only pairs
+    whose bound by these reaches the threshold are told, and get the first values of both to be held against each other.
     """
-    column = lambda name: F.struct("n", "low", "high", "head", "whole").alias(name)
+    column = lambda name: F.struct("n", "low", "high").alias(name)
     kind = column_class(F.col("rows"), F.col("n"))
     children = summed.select("family", F.col("cid").alias("child"), kind.alias("child_class"), column("a"))
     parents = summed.filter((kind == "key") & (F.col("n") >= least)).select("family", F.col("cid").alias("parent"), column("b"))
-    return children.join(parents, "family").filter("child <> parent").select("child", "parent", "child_class", containment_bound(F.col("a"), F.col("b")).alias("bound"))
+    met = children.join(parents, "family").filter("child <> parent").select("child", "parent", "child_class", size_bound(F.col("a"), F.col("b")).alias("bound")).filter(F.col("bound") >= threshold)
+    heads = lambda cid, name: summed.select(F.col("cid").alias(cid), F.struct("n", "head", "whole").alias(name))
+    both = met.join(heads("child", "a"), "child").join(heads("parent", "b"), "parent")
+    return both.select("child", "parent", "child_class", F.least("bound", head_bound(F.col("a"), F.col("b"))).alias("bound"))
 
 
 def layered_keys(sets: DataFrame, pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -368,7 +368,7 @@ BOUNDS_SQL = f"""WITH f AS (SELECT cid, val, count(*) AS rows FROM ({cells_sql(L
 @query("key_bounds", f"{BOUNDS_SQL} SELECT child, parent, child_class, round(bound, 6) AS bound FROM b")
 def key_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far every key-like column can lie in any column of unique values at most, from summaries alone."""
-    return triage.bounded_pairs(triage.summaries(all_cells(spark, sf_dir, LINKS))).withColumn("bound", F.round("bound", 6))
+    return triage.bounded_pairs(_kept(triage.summaries(all_cells(spark, sf_dir, LINKS)))).withColumn("bound", F.round("bound", 6))
 
 
 @query(
@@ -379,7 +379,7 @@ def key_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References between tables in three layers: classes, bounds of containment, an exact count of what is left."""
     all_ = _kept(all_cells(spark, sf_dir, LINKS))
-    pairs = _kept(triage.bounded_pairs(triage.summaries(all_)))
+    pairs = _kept(triage.bounded_pairs(_kept(triage.summaries(all_)), threshold=0.95))
     return triage.layered_keys(value_sets(all_), pairs).withColumn("containment", F.round("containment", 6))
 
 
