@@ -631,7 +631,9 @@ def test_maps_of_bits_never_overstate(common, one, other, seed):
     assert near_copies.bits_apart(near_copies.parity_bits(a), near_copies.parity_bits(b)) <= one + other
 
 
-def test_similar_groups_among_lookalikes(spark, monkeypatch):
+@pytest.mark.parametrize("group", [near_copies.GROUP, 40])
+def test_similar_groups_among_lookalikes(spark, monkeypatch, group):
+    monkeypatch.setattr(near_copies, "GROUP", group)
     monkeypatch.setattr(near_copies, "CELL", 64)
     monkeypatch.setattr(near_copies, "PARTNERS", 16)
     rng = np.random.default_rng(6)
