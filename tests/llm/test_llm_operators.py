@@ -794,6 +794,10 @@ def brute_leaks(docs, items):
 
     def fit(a, b):  # the kind as which two tokens are one, None if they are not
         (_, ka, va), (_, kb, vb) = a, b
+        if T.COUNT in (ka, kb):
+            if va == vb and ka == kb:
+                return T.WORD
+            return T.NUM if {ka, kb} <= {T.COUNT, T.NUM} else None
         if T.OPENER in (ka, kb):
             if va == vb and {ka, kb} <= {T.WORD, T.OPENER, T.NAM}:
                 return T.WORD
@@ -815,7 +819,7 @@ def brute_leaks(docs, items):
         doc = list(zip(*tokens(text or ""), strict=True))
         words = {v for _, _, v in doc}
         for i, item in split.items():
-            if len([1 for _, k, _ in item if k in (T.WORD, T.OPENER)]) < 3 or not words & {v for _, k, v in item if k == T.WORD}:
+            if len([1 for _, k, _ in item if k in (T.WORD, T.OPENER, T.COUNT)]) < 3 or not words & {v for _, k, v in item if k == T.WORD}:
                 continue
             least = min(T.RUN, len(item))
             need = T._needed(np.array([k for _, k, _ in item]), T.WINDOW)
@@ -835,6 +839,27 @@ def brute_leaks(docs, items):
     return found
 
 
+def test_leaks_with_numbers_in_words(spark):
+    item = "The baker sold five loaves to Maria before noon and then 12 rolls to the school near the old bridge."
+    other = item.replace("five", "seven").replace("12", "thirty")
+    digits = item.replace("five", "5").replace("12", "twelve")
+    torn = item.replace("five", "some")
+    got = leaked(spark, item, other, digits, torn, "one of the five bakers had nothing to sell to us", items=((1, item),))
+    # what follows the torn word is 13 tokens still
+    assert got == {(0, 1): False, (1, 1): True, (2, 1): False, (3, 1): False}
+    short = "Tom has three cats and four dogs"
+    assert leaked(spark, short.replace("three", "9").replace("four", "six"), short.replace("cats", "cows"), items=((1, short),)) == {(0, 1): True}
+
+
+def test_leaks_with_names_of_other_capitals(spark):
+    item = "In the spring McDonald had 5 apples, which he sold to TOM and to the old school for 9 dollars."
+    got = leaked(spark, item, item.replace("McDonald", "OBrien").replace("TOM", "ANNA"), item.replace("McDonald", "Anna").replace("TOM", "Olga"), item.upper(), items=((1, item),))
+    assert got == {(0, 1): False, (1, 1): True, (2, 1): True, (3, 1): False}
+    kinds = template_leaks.Canon()(["he met TOM SMITH there but ALL OF THIS was LOUD"])[1]
+    w, o = template_leaks.WORD, template_leaks.OPENER
+    assert kinds[:-1].tolist() == [w, w, o, o, w, w, w, w, w, w, o]
+
+
 QUESTIONS = [
     "Maria has {a} apples. Then she buys {b} more pears. {n} sells {a} of them at noon. What is left of the {b} pears?",
     "A train leaves the station at {a} km an hour and {n} waits for it {b} minutes near the bridge, so how long is the way?",
@@ -847,8 +872,10 @@ QUESTIONS = [
 
 def test_leaks_against_all_places(spark):
     rng = np.random.default_rng(9)
-    names = ["Tom", "Anna", "Olga Petrova", "John", "Peter Paul Smith", "Ravi"]
-    filled = lambda q, k: q.format(a=int(rng.integers(2, 90)), b=int(rng.integers(100, 900)), n=names[k % len(names)])
+    names = ["Tom", "Anna", "Olga Petrova", "John", "Peter Paul Smith", "Ravi", "McDonald", "ANNA"]
+    counts = list(template_leaks.COUNTS)
+    number = lambda low, high: counts[int(rng.integers(2, 20))] if rng.random() < 0.2 else int(rng.integers(low, high))
+    filled = lambda q, k: q.format(a=number(2, 90), b=number(100, 900), n=names[k % len(names)])
     items = [(i, filled(q, i)) for i, q in enumerate(QUESTIONS)]
     lead = ["", "so here it is: ", "As was said before. ", "we ask whether "]
     plants = [(1000 + n, lead[n % 4] + filled(QUESTIONS[n % 6], n // 6 + 1) + " " + "and so on it went with them for long."[: n % 30]) for n in range(72)]

@@ -26,6 +26,11 @@ MEMO = 200_000
 POWER, FORMS = 0x9E3779B97F4A7C15, 500_000
 
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg ton tons oz lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules byte bytes kb mb gb tb".split())
+#: English words that count, with their numbers; "one" is a pronoun more often and stays a word.
+COUNTS = dict(zip("zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), [0, *range(2, 21)], strict=True))
+COUNTS |= dict(zip("thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split(), [*range(30, 100, 10), 100, 10**3, 10**6, 10**9], strict=True))
+#: Words in capitals in a row that are no names but a loud sentence.
+LOUD = 3
 #: Characters of scripts that write words without blanks; each is a token.
 _LONE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
 _token = re.compile(rf"\d+(?:[.,:/]\d+)*|[{_LONE}]|[^\W\d_{_LONE}]+(?:['’][^\W\d_{_LONE}]+)*")
@@ -38,13 +43,34 @@ WORD, NUM, NAM, UNI = 0, 1, 2, 3
 OPENER = 4
 #: No tokens: a lone stop between sentences, and the end of a text.
 STOP, END = 9, 8
+#: A word in capitals, an opener or in a row of LOUD a plain word; a word that counts, which may be a plain word or a number.
+CAPS, COUNT = 5, 6
+
+
+def _kind(word: str, low: str) -> int:
+    """The kind of a word by itself, which what stands around it may change."""
+    if low in COUNTS:
+        return COUNT
+    if low in UNITS:
+        return UNI
+    if low == word or not word[0].isupper():
+        return WORD
+    if len(word) > 1 and word.isupper():
+        return CAPS
+    return NAM if len(word) > 1 else WORD
+
+
+def _value(low: str) -> int:
+    """The hash of a lower-case word; that of its digits, of a word that counts."""
+    return xxhash.xxh64_intdigest(str(COUNTS.get(low, low)))
 
 
 class Canon:
     """Turns texts into arrays of template tokens; remembers the chunks between blanks that it has met.
 
-    A number is a slot; so is a unit after one, and a capitalised word that begins no sentence, as a name. One that
-    begins a sentence is an opener, with the hash of its word. Further capitalised words with but a blank before them
+    A number is a slot; so is a unit after one, and a capitalised word that begins no sentence, as a name, with capitals
+    inside or not. A word that counts may be a word or a number, and has its number's value. One that begins a sentence is an opener, with the hash of its
+    word; so is a word in capitals wherever it stands, but not three in a row, which are words. Further capitalised words with but a blank before them
     belong to the name or the opener, so a name of two words is one token. All else is a lower-case word, a character
     of scripts without blanks by itself. Signs between tokens are left out.
     """
@@ -57,14 +83,14 @@ class Canon:
     def _learn(self, chunks: set[str]) -> None:
         if not chunks:
             return
-        values, kinds, afters, sizes, digest = [], [], [], [], xxhash.xxh64_intdigest
+        values, kinds, afters, sizes = [], [], [], []
         for chunk in chunks:
             one = _plain(chunk)
             if one:  # nearly all are a word with signs after it
                 word, after = one.groups()
                 low = word.lower()
-                values.append(digest(low))
-                kinds.append((UNI if low in UNITS else WORD) if low == word else UNI if low in UNITS else NAM if word[0].isupper() and word[1:].islower() else WORD)
+                values.append(_value(low))
+                kinds.append(_kind(word, low))
                 afters.append((2 if _end(after) else 1) if after else 0)
                 sizes.append(1)
                 continue
@@ -72,8 +98,8 @@ class Canon:
             for i, m in enumerate(found):
                 word, after = m[0], chunk[m.end() : found[i + 1].start() if i + 1 < len(found) else None]
                 low = word.lower()
-                values.append(digest(low))
-                kinds.append(NUM if word[0].isdigit() else UNI if low in UNITS else NAM if low != word and word[0].isupper() and word[1:].islower() else WORD)
+                values.append(_value(low))
+                kinds.append(NUM if word[0].isdigit() else _kind(word, low))
                 afters.append((2 if _end(after) else 1) if after else 0)
             if not found and chunk and _end(chunk):
                 values.append(0)
@@ -103,7 +129,14 @@ class Canon:
         real = kind != STOP
         begins, value, kind, after = begins[real], value[real], kind[real], after[real]
         kind[(kind == NAM) & begins] = OPENER
-        kind[(kind == UNI) & (np.append(0, kind[:-1])[: len(kind)] != NUM)] = WORD
+        caps = kind == CAPS
+        if caps.any():
+            kind[caps] = OPENER
+            for begin, end in _stretches(caps):
+                if end - begin >= LOUD:
+                    kind[begin:end] = WORD
+        before = np.append(0, kind[:-1])[: len(kind)]
+        kind[(kind == UNI) & (before != NUM) & (before != COUNT)] = WORD
         named = (kind == NAM) | (kind == OPENER)
         joins = np.append(False, (kind[1:] == NAM) & named[:-1] & (after[:-1] == 0))[: len(kind)]
         if joins.any():
@@ -120,9 +153,10 @@ class Canon:
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of windows of size tokens, where they begin, and how many openers each takes as names; in several parts.
+    """Hashes of windows of size tokens, where they begin, and how many words each takes as slots; in several parts.
 
-    A window has a hash for each way to take its openers, as words or as names. No window spans two texts.
+    A window has a hash for each way to take its openers, as words or as names, and its words that count, as words or as
+    numbers. No window spans two texts.
     """
     n = len(code) - size + 1
     if n <= 0:
@@ -131,16 +165,18 @@ def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> Iterator[tup
     for j in range(size):
         h = h * np.uint64(POWER) + code[j : j + n]
     ends = np.append(0, np.cumsum(kind == END, dtype=np.int32))
-    openers = np.append(0, np.cumsum(kind == OPENER, dtype=np.int32))
-    whole, ways = ends[size:] == ends[:n], openers[size:] - openers[:n]
+    either = (kind == OPENER) | (kind == COUNT)
+    before = np.append(0, np.cumsum(either, dtype=np.int32))
+    whole, ways = ends[size:] == ends[:n], before[size:] - before[:n]
     at = np.flatnonzero(whole & (ways == 0))
     yield _mixed(h[at]), at, np.zeros(len(at), np.int8)
     at = np.flatnonzero(whole & (ways > 0))
     for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(1 << ways[at]) // FORMS)) + 1):
         f, at, named = h[part], part, np.zeros(len(part), np.int8)
         for j in range(size):
-            on = np.flatnonzero(kind[at + j] == OPENER)
-            other = f[on] + (np.uint64(NAME) - code[at[on] + j]) * np.uint64(pow(POWER, size - 1 - j, 1 << 64))
+            on = np.flatnonzero(either[at + j])
+            slot = np.where(kind[at[on] + j] == COUNT, np.uint64(NUMBER), np.uint64(NAME))
+            other = f[on] + (slot - code[at[on] + j]) * np.uint64(pow(POWER, size - 1 - j, 1 << 64))
             f, at, named = np.concatenate([f, other]), np.concatenate([at, at[on]]), np.concatenate([named, named[on] + np.int8(1)])
         yield _mixed(f), at, named
 
@@ -175,7 +211,7 @@ def _needed(kind: np.ndarray, window: int) -> int:
 
 
 def _wordlike(kind: np.ndarray) -> np.ndarray:
-    return (kind == WORD) | (kind == OPENER)
+    return (kind == WORD) | (kind == OPENER) | (kind == COUNT)
 
 
 def index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
@@ -275,14 +311,18 @@ def _stretches(on: np.ndarray) -> list[list[int]]:
 def _fits(ours: tuple[np.ndarray, np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Whether each token of an item (code, kind, value) and of a text can be one, and the kind as which they are.
 
-    An opener is a word to a word or an opener like it, and a name to a name or to another opener.
+    An opener is a word to a word or an opener like it, and a name to a name or to another opener. A word that counts is
+    a word to itself, and a number to a number or to another.
     """
     (icode, ikind, ivalue), (code, kind, value) = ours, theirs
     opener = (ikind == OPENER) | (kind == OPENER)
     word = opener & (ivalue == value) & (_wordlike(ikind) | (ikind == NAM)) & (_wordlike(kind) | (kind == NAM))
     name = opener & ((ikind == OPENER) | (ikind == NAM)) & ((kind == OPENER) | (kind == NAM))
-    fits = word | name | (~opener & (icode == code) & (ikind == kind))
-    return fits, np.where(word, WORD, np.where(name, NAM, ikind))
+    counts = (ikind == COUNT) | (kind == COUNT)
+    word |= (ikind == COUNT) & (kind == COUNT) & (ivalue == value)
+    number = counts & ((ikind == COUNT) | (ikind == NUM)) & ((kind == COUNT) | (kind == NUM))
+    fits = word | name | number | (~opener & ~counts & (icode == code) & (ikind == kind))
+    return fits, np.where(word, WORD, np.where(name, NAM, np.where(number, NUM, ikind)))
 
 
 def find(ix: Index, hits: set[tuple[int, int]], code: np.ndarray, kind: np.ndarray, value: np.ndarray, run: int = RUN, window: int = WINDOW) -> list[tuple[int, int, int, int, bool, bool]]:
@@ -362,10 +402,10 @@ LEAK = "doc_id long, item_id long, first_token int, covered_tokens int, item_tok
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """A row for each document (doc_id, text) and benchmark item (item_id, text) that the document repeats.
 
-    Both become template tokens: numbers, units after numbers and names are typed slots. A document leaks an item
+    Both become template tokens: numbers in digits or words, units after numbers and names are typed slots. A document leaks an item
     if 13 or more tokens in a row (all, of a shorter item) have the item's template and slots are filled
     consistently, one value for one value; the longest such stretch is given. A capitalised word that opens a
-    sentence passes as the word and as a name. reparameterised says that some value differs from the item's. The
+    sentence, and a word in capitals, pass as the word and as a name. reparameterised says that some value differs from the item's. The
     windows of 8 tokens with 4 plain words (of a shorter item all but one of its plain words, 2 at least) join by hash
     against the benchmark's, which goes out in broadcasts of about 32 MB of text; windows with fewer join by their
     values, so passages of hardly any words are found if some window of 8 tokens is as in the item. Each broadcast is
