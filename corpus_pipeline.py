@@ -32,6 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group of similar texts: that of the smallest doc_id, rows without one last.
 
+    Operator 7 links texts by their fingerprints and each link is checked exactly; similar texts that it does not reach
+    are found by their rare shingles.
     Repeated rows are copies of each other; different texts under one doc_id are not. Null and empty texts are equal.
     All columns stay; an empty table gives no rows.
     """

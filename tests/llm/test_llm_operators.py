@@ -652,6 +652,27 @@ def test_similar_groups_among_lookalikes(spark, monkeypatch, group):
     assert got == {i: r for i, r in low.items() if i != r}
 
 
+def test_near_copies_come_through_operator_7(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(rng.choice(words, 400)) for _ in range(12)]
+    ends = [t + " and an end" for t in base]
+    hollow = ["x " * 1500 + " ".join(rng.choice(words, 6)) for _ in range(4)]  # one fingerprint, hardly a shingle in common
+    texts = [*base, *ends, *hollow, "", " ", "\t", None]
+    fp, sets = [plain_fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (fp[a] ^ fp[b]).bit_count() <= 2]
+    pairs = [(a, b) for a, b in linked if (texts[a] or "") == (texts[b] or "") or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_copies._printed(docs.select(F.col("doc_id").alias("node"), "text")).collect()
+    assert plain_components([tuple(r) for r in got], range(len(texts))) == plain_components(linked, range(len(texts)))
+    none = spark.createDataFrame([], near_copies.MET), spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(near_copies, "_met", lambda *_: none)
+    low = plain_components(pairs, range(len(texts)))
+    want = {i for i, r in low.items() if i == r}
+    assert len(want) < len(texts) - 6 and set(range(24, 31)) <= want
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+
+
 # 1
 
 ITEM = "A farmer in the north valley sold 12 apples to Maria for 30 dollars and later gave 12 pears to the old school near Maria because the harvest was good."

@@ -1,4 +1,4 @@
-"""Groups of similar texts by rare-first prefixes of their shingles with exact checks (operator 7, for filtering)."""
+"""Groups of similar texts by operator 7's fingerprints with exact checks, and of what these miss by rare-first prefixes."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valprint.llm.components import roots
-from valprint.llm.gray_index import FEW, forest, shingle_hashes
+from valprint.llm.gray_index import FEW, forest, links, prints, shingle_hashes
 from valprint.llm.shared import MOST_PARTS, dropped, forgetful, parts_for, slices, written
 
 #: Texts from which it is estimated how common a shingle is, about; common shingles that are remembered at most.
@@ -173,6 +173,29 @@ def _met(texts: DataFrame, n: int, words: int, similarity: float) -> tuple[DataF
     return met, near.distinct()
 
 
+def _printed(texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of texts (node, text) that operator 7 links, enough for its components.
+
+    A text goes with the first of its fingerprint, and the first texts of two fingerprints that the Gray-order index
+    links go together.
+    """
+    each = written(prints(texts.select(F.col("node").alias("doc_id"), "text")), "text-prints")
+    nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "text-nodes")
+    many = nodes.filter("n > 1").select("fp", "doc")
+    same = _joined(each, many, many.count(), "fp").filter("doc <> doc_id").select(F.col("doc").alias("u"), F.col("doc_id").alias("v"))
+    near = links(nodes.select("doc", "fp")).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
+    pairs = written(same.unionByName(near).distinct(), "print-pairs")
+    dropped(each, nodes)
+    return pairs
+
+
+def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are not of one component by root."""
+    n = root.count()
+    tops = _joined(_joined(pairs, root.toDF("u", "a"), n, "u", "left"), root.toDF("v", "b"), n, "v", "left")
+    return tops.filter(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
+
+
 def _open(met: DataFrame, root: DataFrame, similarity: float) -> DataFrame:
     """The rows of met with top, their component by root, of shingles whose texts are not all joined, and the ways to deal them."""
     tops = _joined(met, root.toDF("node", "top"), root.count(), "node", "left").withColumn("top", F.coalesce("top", "node"))
@@ -334,7 +357,7 @@ def _linked(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -
                     both = np.concatenate([own, theirs])
                     both.sort(kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
-                    if common >= similarity * (len(both) - common):
+                    if common and common >= similarity * (len(both) - common):
                         found.append((u, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
@@ -354,8 +377,13 @@ def _grouped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     first = written(each.groupBy("key").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "texts")
     n = first.count()
     texts = _joined(rows.select("__row", "text"), first.select(F.col("first.row").alias("__row"), "node"), n, "__row").select("node", "text")
+    # first what the fingerprints link, then what these have not joined
+    printed = _printed(texts)
+    linked = _linked(texts, printed, words, similarity)
+    joined = roots(linked)
+    dropped(printed)
     met, near = _met(texts, n, words, similarity)
-    linked = _linked(texts, near, words, similarity)
+    linked = linked.unionByName(_linked(texts, _apart(near, joined), words, similarity))
     joined = roots(linked)
     met = met.filter("pair = 0").drop("pair", "other")
     open_, bits = _open(met, joined, similarity), None
@@ -385,11 +413,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """doc_id and root of each row that is not the first of its group; root is the smallest doc_id of the group.
 
     Texts link if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more; equal texts link; groups
-    are what links reach, and no link is missed. Of each distinct text the shingles are put in one order of all,
-    those first that are rare in a sample; two similar texts share one in the first fifth of theirs, and after the
-    first that they share enough are left. Texts so met are first paired with a neighbour and the first of those
-    they meet, and checked exactly on all shingles; then those that would join the most; then every other pair that
-    these links have not joined already is checked, too. A shingle that many texts share is dealt into cells, a text of many partners into several tasks.
+    are what links reach, and no link is missed. Distinct texts are first linked by operator 7: SimHash fingerprints,
+    whose near ones its Gray-order index finds, each pair checked exactly on all shingles. Similar texts often differ
+    in more bits than it allows, so what it has not joined is found otherwise: of each distinct text the shingles are
+    put in one order of all, those first that are rare in a sample; two similar texts share one in the first fifth of
+    theirs, and after the first that they share enough are left. Texts so met are first paired with a neighbour and
+    the first of those they meet, and checked in the same way; then those that would join the most; then every other
+    pair that these links have not joined already is checked, too. A shingle that many texts share is dealt into cells, a text of many partners into several tasks.
     Texts without words link only if equal; a null text equals an empty one. A row without doc_id comes after all
     with one, repeated rows after the first of them; root is null if no row of the group has a doc_id.
     """
