@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from valprint.llm import backoff_language, best_fit, differencing, gray_index, near_copies, noisy_or, perspectives, rank_merge, simple8b, template_leaks, threshold_search
+from valprint.llm import backoff_language, best_fit, differencing, gray_index, near_copies, noisy_or, perspectives, rank_merge, shared, simple8b, template_leaks, threshold_search
 from valprint.llm.components import roots
 from valprint.llm.queries import LLM_ORACLES, LLM_QUERIES
 
@@ -673,6 +674,19 @@ def test_near_copies_come_through_operator_7(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
 
 
+def test_filters_leave_nothing_in_workers(spark):
+    docs = documents(spark)
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(shared._kept)])], ["n"])
+
+    kept = [noisy_or.without_toxic(docs, noisy_or.Model({})), backoff_language.of_known_language(docs, backoff_language.learn(docs), 0.5), corpus_pipeline.decontamination(spark, docs, SF)]
+    for df in kept:
+        df.count()
+        assert {r["n"] for r in docs.repartition(4).mapInArrow(held, "n long").collect()} == {0}
+
+
 # 1
 
 ITEM = "A farmer in the north valley sold 12 apples to Maria for 30 dollars and later gave 12 pears to the old school near Maria because the harvest was good."

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valprint.llm.shared import dropped, held_out, kept, kept_rows, slices, written
+from valprint.llm.shared import dropped, forgetful, held_out, kept, kept_rows, slices, written
 
 #: Labelled documents that the model learns from, about, and bytes of them at most, about; it keeps all words and n-grams of theirs.
 SAMPLE, BYTES = 8_000, 64_000_000
@@ -176,8 +176,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, octets: int = BYTES) -> Model:
             lang, size, key = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["lang", "size", "hash", "n"])
 
-    words = chosen.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = written(words.mapInArrow(count_grams, COUNTED).groupBy("lang", "size", "hash").agg(F.sum("n").alias("n")), "language-counts")
+    words = chosen.select("text", "lang").mapInArrow(forgetful(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = written(words.mapInArrow(forgetful(count_grams), COUNTED).groupBy("lang", "size", "hash").agg(F.sum("n").alias("n")), "language-counts")
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", "size").agg(F.sum("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]

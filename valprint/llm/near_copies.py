@@ -376,7 +376,8 @@ def _grouped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     first = written(each.groupBy("key").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "texts")
     n = first.count()
-    texts = _joined(rows.select("__row", "text"), first.select(F.col("first.row").alias("__row"), "node"), n, "__row").select("node", "text")
+    # read several times, so they are joined once and not at each reading
+    texts = written(_joined(rows.select("__row", "text"), first.select(F.col("first.row").alias("__row"), "node"), n, "__row").select("node", "text"), "distinct-texts")
     # first what the fingerprints link, then what these have not joined
     printed = _printed(texts)
     linked = _linked(texts, printed, words, similarity)
@@ -400,7 +401,7 @@ def _grouped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     top = first.join(joined, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     best = top.groupBy("root").agg(F.min("first").alias("best"))
     named = written(top.join(best, "root").select("key", "best"), "named")
-    dropped(met)
+    dropped(met, texts)
     # texts that many rows have, of which there are few, go by broadcast
     hot = F.broadcast(each.groupBy("key").count().filter(F.col("count") * 4096 > each.count()).join(named, "key").select("key", F.col("best").alias("hot")))
     marked = each.join(hot, "key", "left")
