@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from valprint.llm import backoff_language, best_fit, near_copies, noisy_or, template_leaks
-from valprint.llm.shared import dropped, table, written
+from valprint.llm.shared import dropped, small_batches, table, written
 
 #: Least language score of a document that stays.
 LEAST_SCORE = 0.5
@@ -50,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 1024 tokens; a null text counts as empty, repeated rows each."""
+    small_batches(spark)
     return best_fit.pack(docs)
 
 

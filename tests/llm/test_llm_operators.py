@@ -1088,3 +1088,22 @@ def test_run_leaves_no_stage_tables(spark):
     before = {p.name for p in root.glob("stage-*")}
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert {p.name for p in root.glob("stage-*")} == before
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_hand_over_small_batches(spark, tmp_path, name, stage):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for own, most in ((None, 1_000_000), ("300000", 300_000), ("5m", 1_000_000)):
+        spark.conf.unset(bound) if own is None else spark.conf.set(bound, own)
+        stage(spark, docs, SF)
+        each = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(each) > 20_000_000
+        assert max(each) < most + 10_000
+    spark.conf.unset(bound)

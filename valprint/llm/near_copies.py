@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from valprint.llm.components import roots
 from valprint.llm.gray_index import FEW, forest, links, prints, shingle_hashes
-from valprint.llm.shared import MOST_PARTS, dropped, forgetful, parts_for, slices, written
+from valprint.llm.shared import MOST_PARTS, dropped, forgetful, parts_for, slices, small_batches, written
 
 #: Texts from which it is estimated how common a shingle is, about; common shingles that are remembered at most.
 SAMPLE, COMMON = 20_000, 500_000
@@ -370,6 +370,7 @@ def _linked(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -
 
 def _grouped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, __row and root (doc_id and row of the first) of each row that is not the first of its group; rows as of numbered()."""
+    small_batches(rows.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     # rows without doc_id come last
     each = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", F.unhex(F.sha2(text, 256)).alias("key")), "copies")

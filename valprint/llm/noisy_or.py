@@ -133,13 +133,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     able = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(8))
     chosen = able.orderBy(order, "doc_id").limit(sample).toPandas()
-    ids = spark.createDataFrame(list(zip(chosen["doc_id"].tolist(), chosen["toxic"].tolist(), strict=True)), "doc_id long, toxic int")
+    # from Arrow, as rows of Python's would start a second set of workers, whose server stays on each executor
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(chosen["doc_id"].tolist(), pa.int64()), "toxic": pa.array(chosen["toxic"].tolist(), pa.int32())}))
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("n"), order.alias("h"))
     # what fits is decided from lengths alone, before any text reaches the driver
     fits = found.filter(F.col("n") <= chars // 100)
     sizes = fits.select("doc_id", "n", "h").orderBy("h", "doc_id", "n").limit(ROWS * sample).toPandas()
     sizes = sizes[sizes["n"].cumsum() <= chars]
-    fitting = spark.createDataFrame([(x,) for x in sorted(set(sizes["doc_id"].tolist()))], "doc_id long")
+    fitting = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(set(sizes["doc_id"].tolist())), pa.int64())}))
     rows = fits.join(F.broadcast(fitting), "doc_id").select("toxic", "text").orderBy("h", "doc_id", "n").limit(len(sizes)).toPandas()
     return fit(rows["text"].tolist(), (rows["toxic"] > 0).to_numpy().astype(np.int64))
 
