@@ -100,6 +100,33 @@ def test_registry_filters_hold_folded_labels(spark):
     assert got["d"]["member_count"] == 2 and set(codec.decode(base64.b64decode(got["d"]["filter_b64"])).tolist()) == hashes and got["e"]["member_count"] == 1
 
 
+#: Values of one 32-bit hash: two pairs of whole numbers, one of texts.
+COLLIDING = ["40186", "797189", "40187", "797188", "346d78d6", "6ed765a8"]
+
+
+def test_exact_sets_of_any_values(spark):
+    odd = ["0", "-0", "+7", "7", "007", "-1", "-65536", "-65537", str(2**63 - 1), str(-(2**63)), str(2**63), "4294967303", "7.0", "1e3", "é", "e", "a,b", "41,42", " ", "", "\x00"]
+    dense = [str(i) for i in range(-70_000, 70_000)]
+    sets = {"a": {*COLLIDING, *odd}, "b": {*COLLIDING[::2], *odd[::3], "more"}, "c": {*dense, "x"}, "d": {*dense[::2], *odd[1::2], "6ed765a8"}}
+    df = lambda s: spark.createDataFrame([(c, v) for c, vs in s.items() for v in [*vs, *vs]] + [("a", None), ("none", None)], "cid string, val string").repartition(3)
+    one = chunked.exact(df(sets)).cache()
+    assert {r["cid"]: r["n"] for r in chunked.cardinality(one).collect()} == {c: len(s) for c, s in sets.items()}
+    assert {(r["ca"], r["cb"]): r["inter"] for r in chunked.common(one, one).collect()} == {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if x & y}
+    again = chunked.exact(df({c: reversed(sorted(s)) for c, s in sets.items()}).repartition(5))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, again.collect()))  # the same rows whatever the order
+    assert one.filter("cid = 'c' and card = 65536").count() == 2 and one.filter("cid = 'c'").count() == 5
+
+
+def test_exact_numbers_take_part_in_algebra_and_texts_are_refused(spark):
+    df = lambda *vs: chunked.exact(spark.createDataFrame([("a", v) for v in vs], "cid string, val string"))
+    one, two = df("-1", "5", str(1 << 40)), df("5", "6")
+    assert read(chunked.combined(one, two, "union")) == read(chunked.merged(one.unionByName(two))) == {"a": {-1, 5, 6, 1 << 40}}
+    assert read(chunked.combined(one, two, "difference")) == {"a": {-1, 1 << 40}}
+    for made in (chunked.members(df("x")), chunked.merged(df("x")), chunked.combined(df("x"), two, "union"), chunked.exported(df("x")), chunked.exported(one)):
+        with pytest.raises(Exception, match="sets of texts have no numbers|only 32-bit numbers have portable bytes"):
+            made.collect()
+
+
 def test_no_sets(spark, built):
     none = built.filter("cid = 'no such'")
     assert chunked.merged(none).count() == chunked.exported(none).count() == chunked.common(none, built).count() == chunked.members(none).count() == 0

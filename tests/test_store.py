@@ -61,6 +61,21 @@ def test_a_broken_capture_is_harmless(spark, tmp_path):
         store.members_as_of(spark, path, "yesterday")
 
 
+def exact(spark, **columns):
+    return chunked.exact(spark.createDataFrame([(c, v) for c, vs in columns.items() for v in vs], "cid string, val string"))
+
+
+def test_values_of_one_hash_stay_apart(spark, tmp_path):
+    """40186 and 797189 have one 32-bit hash; so a change from one to the other is seen, and both count."""
+    path = f"file://{tmp_path}/store"
+    for when, values in (("2024-01-01", ["40186", "x"]), ("2024-02-01", ["797189", "x"]), ("2024-03-01", ["40186", "797189", "x", "y"])):
+        store.capture(exact(spark, a=values), members(spark, a="pk"), path, when)
+    got = [[(r["n"], r["held"][:7]) for r in store.members_as_of(spark, path, w).collect()] for w in ("2024-01-15", "2024-02-15", "2024-03-15")]
+    assert got == [[(2, "c202401")], [(2, "c202402")], [(4, "c202403")]]
+    assert chunked.common(exact(spark, p=["40186", "y"]), store.sets_as_of(spark, path, "2024-02-15")).count() == 0
+    assert chunked.common(exact(spark, p=["40186", "y"]), store.sets_as_of(spark, path, "2024-03-15")).first()["inter"] == 2
+
+
 def test_digests_follow_members_alone(spark):
     one, two, other = (sets(spark, a=x) for x in (range(70_000), reversed(range(70_000)), range(1, 70_001)))
     d = [s.transform(store.digests).first() for s in (one, two.repartition(3), other)]

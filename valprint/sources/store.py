@@ -56,7 +56,7 @@ def capture(sets: DataFrame, members: DataFrame, path: str, when: str) -> None:
         return
     if done and name < done[-1]:
         raise ValueError(f"the store has a later capture: {done[-1]}")
-    sets = written(sets.select("cid", "hi", "card", "data"), "capture-sets")
+    sets = written(sets.select("cid", F.col("hi").cast("long").alias("hi"), "card", "data"), "capture-sets")
     now = members.select("cid", "kind", "referenced").dropDuplicates(["cid"]).join(digests(sets), "cid", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "digest": F.coalesce("digest", F.lit(0).cast("decimal(38,0)"))})
     before = _manifest(spark, path, done[-1]) if done else spark.createDataFrame([], MEMBER)
     rows = written(now.join(before.select("cid", "digest", "held"), ["cid", "digest"], "left").select("cid", "kind", "referenced", "n", "digest", F.coalesce("held", F.lit(name)).alias("held")), "capture")
@@ -80,7 +80,7 @@ def members_as_of(spark: SparkSession, path: str, when: str, kinds: tuple[str, .
 def sets_as_of(spark: SparkSession, path: str, when: str, kinds: tuple[str, ...] | None = KINDS) -> DataFrame:
     """The chunked sets of members_as_of(), each from the capture that holds it; only those captures are read."""
     members = members_as_of(spark, path, when, kinds)
-    schema = "cid string, hi int, card int, data binary"
+    schema = "cid string, hi long, card int, data binary"
     held = [r["held"] for r in members.select("held").distinct().collect()]
     parts = [spark.read.schema(schema).parquet(f"{path}/containers/capture={h}").withColumn("held", F.lit(h)) for h in sorted(held)]
     whole = spark.createDataFrame([], f"{schema}, held string")
