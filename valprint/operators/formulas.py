@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from valprint.sources.scratch import dropped, written
+
 _CELL = r"\$?[A-Z]{1,3}\$?[0-9]{1,7}"
 _TOKEN = rf'"[^"]*"|{_CELL}:{_CELL}|{_CELL}|[0-9]+(?:\.[0-9]+)?|[A-Z_][A-Z0-9_.]*|<=|>=|<>|[-+*/^&=<>(),%;:]'
 
@@ -59,11 +61,22 @@ def arity(formula: Column | str) -> Column:
     return F.size(F.array_distinct(F.filter(tokens(formula), lambda x: _is(x, f"{_CELL}(?::{_CELL})?"))))
 
 
+def _flat(formula: Column | str) -> Column:
+    """The tokens with cells and ranges as @ and literals as #."""
+    return F.transform(tokens(formula), lambda x: F.when(_is(x, f"{_CELL}(?::{_CELL})?"), "@").when(_is(x, '"[^"]*"|[0-9]+(?:\\.[0-9]+)?'), "#").otherwise(x))
+
+
+def _runs(form: Column | str) -> Column:
+    """The set of runs of three tokens of an array; it is bound once, as a lambda evaluates all that it holds each time."""
+    t = F.col(form) if isinstance(form, str) else form
+    ends = F.concat(F.array(F.lit("^")), t, F.array(F.lit("$")))
+    runs = lambda e: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(e) - 2, F.lit(1))), lambda i: F.array_join(F.slice(e, i, 3), " ")))
+    return F.element_at(F.transform(F.array(ends), runs), 1)
+
+
 def shapes(formula: Column | str) -> Column:
     """The set of runs of three skeleton tokens, for comparing formulas as sets."""
-    t = F.transform(tokens(formula), lambda x: F.when(_is(x, f"{_CELL}(?::{_CELL})?"), "@").when(_is(x, '"[^"]*"|[0-9]+(?:\\.[0-9]+)?'), "#").otherwise(x))
-    ends = F.concat(F.array(F.lit("^")), t, F.array(F.lit("$")))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ends) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ends, i, 3), " ")))
+    return _runs(_flat(formula))
 
 
 def clones(formulas: DataFrame) -> DataFrame:
@@ -79,16 +92,22 @@ def popular(formulas: DataFrame, support: int = 2) -> DataFrame:
 def similar(formulas: DataFrame, library: DataFrame, threshold: float = 0.5) -> DataFrame:
     """formula, match, jaccard of formulas and library formulas with the same in_domains and out_domain.
 
-    Both sides have formula, in_domains and out_domain. Distinct formulas join on their domains and one common shape,
-    so formulas that share none never meet.
+    Both sides have formula, in_domains and out_domain. Formulas of one flat form have the same shapes, so what is
+    compared is the distinct forms of each domains, by one common shape; forms that share none never meet. Formulas take
+    their matches by their form.
     """
     keys = ["in_domains", "out_domain"]
-    a = formulas.select("formula", *keys).distinct().withColumn("x", shapes("formula"))
-    b = library.select(F.col("formula").alias("match"), *keys).distinct().withColumn("y", shapes("match"))
-    met = a.withColumn("s", F.explode("x")).join(b.withColumn("s", F.explode("y")), [*keys, "s"])
-    each = met.groupBy("formula", "match", *keys).agg(F.count("*").alias("common"), F.first(F.size("x") + F.size("y")).alias("both"))
-    jac = F.col("common") / (F.col("both") - F.col("common"))
-    return each.withColumn("jaccard", jac).filter(F.col("jaccard") >= threshold).select("formula", "match", "jaccard")
+    a = written(formulas.select("formula", *keys).distinct().withColumn("form", _flat("formula")), "formulas")
+    b = written(library.select(F.col("formula").alias("match"), *keys).distinct().withColumn("like", _flat("match")), "library")
+    # explode() would have a filter on the runs of every formula
+    ways = lambda df, form: df.select(*keys, form).distinct().withColumn("shapes", _runs(form)).select(*keys, form, F.size("shapes").alias("size"), F.explode_outer("shapes").alias("s"))
+    met = ways(a, "form").join(ways(b, "like").withColumnRenamed("size", "other"), [*keys, "s"])
+    each = met.groupBy(*keys, "form", "like").agg(F.count("*").alias("common"), F.first(F.col("size") + F.col("other")).alias("both"))
+    near = each.withColumn("jaccard", F.col("common") / (F.col("both") - F.col("common"))).filter(F.col("jaccard") >= threshold)
+    # few forms have many formulas each, which a table of known size spares a shuffle by form
+    found = written(near.join(b, [*keys, "like"]).select(*keys, "form", "match", "jaccard"), "forms")
+    dropped(b)
+    return a.join(found, [*keys, "form"]).select("formula", "match", "jaccard")
 
 
 def _tokens_of(skeletons: DataFrame) -> DataFrame:
